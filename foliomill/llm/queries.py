@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .mixing import OP7_SQL, op7_mixing
 from .token_counts import op1_token_counts
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op7_mixing": op7_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
