@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import op8_licenses
 from .mixing import OP7_SQL, op7_mixing
 from .token_counts import op1_token_counts
 from .toxicity import op2_toxicity
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_licenses": op8_licenses,
 }
 
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
