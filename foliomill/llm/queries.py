@@ -5,6 +5,7 @@ from __future__ import annotations
 from .licenses import op8_licenses
 from .mixing import OP7_SQL, op7_mixing
 from .token_counts import op1_token_counts
+from .topk import OP9_SQL, op9_topk
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
+    "op9_topk": op9_topk,
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_topk": OP9_SQL}
