@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .licenses import op8_licenses
 from .mixing import OP7_SQL, op7_mixing
+from .quality import op6_quality
 from .token_counts import op1_token_counts
 from .topk import OP9_SQL, op9_topk
 from .toxicity import op2_toxicity
@@ -11,6 +12,7 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
     "op9_topk": op9_topk,
