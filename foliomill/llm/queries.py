@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import op8_licenses
+from .lm_scores import op10_lm_scores
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op6_quality
 from .token_counts import op1_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
     "op9_topk": op9_topk,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_topk": OP9_SQL}
