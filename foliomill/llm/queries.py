@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op4_decontamination
 from .licenses import op8_licenses
 from .lm_scores import op10_lm_scores
 from .mixing import OP7_SQL, op7_mixing
@@ -13,6 +14,7 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
