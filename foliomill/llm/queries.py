@@ -6,6 +6,7 @@ from .decontamination import op4_decontamination
 from .licenses import op8_licenses
 from .lm_scores import op10_lm_scores
 from .mixing import OP7_SQL, op7_mixing
+from .ngram_join import op3_ngram_join
 from .quality import op6_quality
 from .token_counts import op1_token_counts
 from .topk import OP9_SQL, op9_topk
@@ -14,6 +15,7 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_decontamination": op4_decontamination,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,

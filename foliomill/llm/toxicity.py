@@ -1,8 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Every hashed n-gram (inside word borders) has the ratio ``r = log(share in toxic texts / share in others)``. A
-text's features are its n-gram counts times ``r`` over its number of n-grams; a logistic regression on them is fitted
-in numpy. The score is additive over words, so workers keep a cache of word sums and texts cost one look-up a word.
+text's features are the n-gram counts of its distinct words times ``r`` over their number; a logistic regression on
+them is fitted in numpy. A second, tiny one weighs that sum over the whole text against its largest value in any run
+of ``WINDOW`` words, so that a long text with one toxic paragraph is found as well. Sums are additive over words: workers
+keep a cache of word sums and texts cost one look-up a word.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from . import common
 SIZES = (2, 3, 4, 5)
 BITS = 18
 #: Most labelled rows of either class that the fit reads, and the longest text (characters) among them.
-MAX_ROWS, MAX_CHARS = 3000, 20_000
+MAX_ROWS, MAX_CHARS = 2000, 4000
 CACHE = 400_000
+WINDOW = 48
+#: N-grams without a say that are added to every sum, so that a handful of words decides little.
+SMOOTH = 100
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,13 +54,14 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """``weight`` holds r times the fitted coefficient of every bucket."""
+    """``weight`` holds r times the fitted coefficient of every bucket; ``top`` weighs (whole text, best window, 1)."""
 
     weight: np.ndarray
     bias: float
+    top: tuple[float, float, float] = (1.0, 0.0, 0.0)
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], rounds: int = 200, ridge: float = 1e-6) -> Model:
+    def fit(cls, texts: list[str], labels: list[int], rounds: int = 150, ridge: float = 1e-6) -> Model:
         """Logistic regression by Adam on the ratio-scaled features; the same rows give the same model.
 
         Without rows, or with one class only, the score is that share (0.5 without rows) for every text.
@@ -66,21 +72,22 @@ class Model:
             return cls(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
         row, col, val = [], [], []
         for i, t in enumerate(texts):
-            b, _ = grams(t.lower().encode("utf-8", "surrogatepass").split())
+            b, _ = grams(sorted(set(t.lower().encode("utf-8", "surrogatepass").split())))
             u, c = np.unique(b, return_counts=True)
             row.append(np.full(len(u), i, np.int32))
             col.append(u)
-            val.append(c / max(1, c.sum()))
+            val.append((c / (c.sum() + SMOOTH)).astype(np.float32))
         row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
         hot = y[row] == 1
         p = np.bincount(col[hot], minlength=1 << BITS) + 0.5
         q = np.bincount(col[~hot], minlength=1 << BITS) + 0.5
         r = np.log((p / y.sum()) / (q / (len(y) - y.sum())))
-        x = val * r[col] * 100
-        w, b = np.zeros(1 << BITS), 0.0
+        x, b = val * (r[col] * 100).astype(np.float32), 0.0
+        del val, hot
         weight_of = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
         used = np.unique(col)
-        pos = np.searchsorted(used, col)
+        pos = np.searchsorted(used, col).astype(np.int32)
+        del col
         w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
         mb = vb = 0.0
         for k in range(1, rounds + 1):
@@ -94,14 +101,24 @@ class Model:
             b -= step * mb / (np.sqrt(vb / (1 - 0.999**k)) + 1e-8)
         full = np.zeros(1 << BITS)
         full[used] = w * r[used] * 100
-        return cls(full, float(b))
+        model = cls(full, float(b))
+        x = np.column_stack([Scorer(model).parts(texts), np.ones(len(y))])
+        scale = np.maximum(np.abs(x).mean(0), 1e-9)
+        x /= scale
+        top = np.zeros(3)
+        for _ in range(50):  # Newton steps
+            s = 1 / (1 + np.exp(-np.clip(x @ top, -30, 30)))
+            top -= np.linalg.solve((x * (s * (1 - s) + 1e-6)[:, None]).T @ x / len(y) + 1e-4 * np.eye(3), x.T @ (s - y) / len(y) + 1e-4 * top)
+        model.top = tuple((top / scale).tolist())
+        return model
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def parts(self, texts: list[str]) -> np.ndarray:
+        """For each text the sum over its distinct words and the largest over a window, both per n-gram."""
         words = [t.lower().encode("utf-8", "surrogatepass").split() for t in texts]
         known = self.known
         new = set().union(*words).difference(known) if words else set()
@@ -116,9 +133,20 @@ class Scorer:
                 s = np.bincount(owner, self.model.weight[b], len(part))
                 n = np.bincount(owner, minlength=len(part))
                 known.update(zip(part, (s + 1j * n).tolist()))
-        sums = np.array([sum(map(known.__getitem__, w), 0j) for w in words], np.complex128)
-        z = sums.real / np.maximum(sums.imag, 1) + self.model.bias
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        bias, out = self.model.bias, np.empty((len(words), 2))
+        for i, w in enumerate(words):
+            each = np.fromiter(map(known.__getitem__, w), np.complex128, len(w))
+            whole = sum(map(known.__getitem__, set(w)), 0j)
+            each.real[1:][each[1:] == each[:-1]] = 0  # one word over and over says nothing more
+            run = np.concatenate([[0j], np.cumsum(each)])
+            run = run[WINDOW:] - run[:-WINDOW] if len(w) >= WINDOW else run[-1:]
+            out[i] = whole.real / (whole.imag + SMOOTH) + bias, (run.real / (run.imag + SMOOTH)).max() + bias
+        return out
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        a, b, c = self.model.top
+        part = self.parts(texts)
+        return 1 / (1 + np.exp(-np.clip(a * part[:, 0] + b * part[:, 1] + c, -40, 40)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int, positive: int = 1) -> list:
@@ -150,11 +178,11 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """
     kept = docs.drop("toxicity")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "toxicity double"])
-    shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))  # 1 MB whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.top))  # 1 MB whatever the corpus
 
     def make():
-        weight, bias = shared.value
-        scorer = Scorer(Model(weight.astype(np.float64), bias))
+        weight, bias, top = shared.value
+        scorer = Scorer(Model(weight.astype(np.float64), bias, top))
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             s = scorer.scores(common.texts(batch))
