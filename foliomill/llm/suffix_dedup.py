@@ -159,12 +159,13 @@ def kind_pa(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def find_repeats(docs: DataFrame, least: int = 400, keep_first: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, least: int = 400, keep_first: bool = False, whole_chars: bool = False) -> DataFrame:
     """Adds ``spans`` (start and end byte of each maximal removed run) and ``kept`` (the other bytes) to every row.
 
     A byte goes if a string of ``least`` bytes that covers it starts anywhere else too, in the same document or another;
     overlaps count, strings never cross documents and are judged on the input. With ``keep_first`` the first occurrence
-    in the order of (doc_id, text hash, place) is not removed. Null texts count as empty: no spans, no bytes. Rows
+    in the order of (doc_id, text hash, place) is not removed. With ``whole_chars`` a run gives back the bytes of characters
+    that it holds only a part of, so that ``kept`` is text again. Null texts count as empty: no spans, no bytes. Rows
     repeated as a whole are occurrences of their own; with ``keep_first`` they share one fate, so one text stays in each.
     Columns ``spans`` and ``kept`` in ``docs`` are replaced; an empty table stays empty.
     """
@@ -201,10 +202,20 @@ def find_repeats(docs: DataFrame, least: int = 400, keep_first: bool = False) ->
     per_doc = marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "marks")
     rows = docs.join(per_doc, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d", "_t", "th")
-    return _applied(rows, least)
+    return _applied(rows, least, whole_chars)
 
 
-def _applied(rows: DataFrame, least: int) -> DataFrame:
+def _snap(data: bytes, start: int, end: int) -> tuple[int, int]:
+    """The part of a run that is whole UTF-8 characters."""
+    inside = lambda at: at < len(data) and 0x80 <= data[at] <= 0xBF
+    while start < end and inside(start):
+        start += 1
+    while end > start and inside(end):
+        end -= 1
+    return start, end
+
+
+def _applied(rows: DataFrame, least: int, whole_chars: bool) -> DataFrame:
     fields = [f for f in rows.schema.fields if f.name != "marks"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "spans array<struct<start:bigint,end:bigint>>", "kept binary"])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -223,8 +234,12 @@ def _applied(rows: DataFrame, least: int) -> DataFrame:
                 np.add.at(edge, np.asarray(x[1]) + least, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 cuts = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
-                spans.append([{"start": a, "end": z} for a, z in zip(cuts[::2], cuts[1::2])])
-                kept.append(np.frombuffer(b, np.uint8)[~gone].tobytes())
+                pairs = list(zip(cuts[::2], cuts[1::2]))
+                if whole_chars:
+                    pairs = [p for p in (_snap(b, *p) for p in pairs) if p[0] < p[1]]
+                spans.append([{"start": a, "end": z} for a, z in pairs])
+                borders = [0, *(x for p in pairs for x in p), len(b)]
+                kept.append(b"".join(b[a:z] for a, z in zip(borders[::2], borders[1::2])))
             names = [f.name for f in fields]
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in names]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(spans, span_type), pa.array(kept, pa.binary())], names=[*names, "spans", "kept"])
