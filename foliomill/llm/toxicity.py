@@ -149,18 +149,19 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(a * part[:, 0] + b * part[:, 1] + c, -40, 40)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int, positive: int = 1) -> list:
+def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> list[tuple[str, int]]:
     """At most ``max_rows`` labelled texts of either class, those whose ids hash lowest; in a fixed order.
 
-    Only bounded data reach the driver: two top-k reports of texts no longer than ``max_chars``.
+    Ids are picked from the labels alone (twice as many, as texts beyond ``max_chars`` are passed over) and broadcast, at
+    most ``4 * max_rows`` of them, so no text is shuffled. Two top-k reports of bounded texts reach the driver.
     """
-    marked = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
-    rows = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= max_chars).join(marked, "doc_id")
-    rows = rows.withColumn("_o", F.xxhash64("doc_id"))
+    marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
+    marked = marked.withColumn("_o", F.xxhash64("doc_id"))
     got = []
-    for side in (F.col("_y") == positive, F.col("_y") != positive):
-        ids = rows.where(side).select("_o", "doc_id", "_y", "text").orderBy("_o", "doc_id", "text").limit(max_rows)
-        got += ids.collect()
+    for side in (F.col("_y") == 1, F.col("_y") != 1):
+        ids = marked.where(side).orderBy("_o", "doc_id").limit(2 * max_rows)
+        rows = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= max_chars).join(F.broadcast(ids), "doc_id")
+        got += rows.select("_o", "doc_id", "_y", "text").orderBy("_o", "doc_id", "text").limit(max_rows).collect()
     return [(r.text or "", int(r._y)) for r in got]
 
 
