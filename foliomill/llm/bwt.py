@@ -11,60 +11,94 @@ from __future__ import annotations
 
 import numpy as np
 
+#: A text has fewer characters than this, so that two ranks and a place fit one 63-bit sort key.
+_PLACE = 21
+MOST = (1 << _PLACE) - 1
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by at least their first ``depth`` characters (values below 512), then by position."""
+
+def _ranked(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank from 1) of keys that leave their low bits free for the place."""
+    key = np.sort((key << _PLACE) | np.arange(n))
+    order, key = key & MOST, key >> _PLACE
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
+    return order, rank
+
+
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(suffixes sorted by at least ``depth`` characters, packed first characters of each place, how many, bits of one).
+
+    Characters become ranks of the alphabet, as many as fit are packed, and ranks are doubled from there.
+    """
     n = len(text)
-    key = np.zeros(n, np.int64)
-    padded = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
-    for i in range(7):
-        key = (key << 9) | padded[i : i + n]
-    have = 7
-    while True:
-        order = np.argsort(key)
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
-        if have >= depth or rank[order[-1]] == n:
-            break
-        key = rank << 32
+    used = np.zeros(512, np.int64)
+    used[text] = 1
+    text = np.cumsum(used)[text]  # from 1; 0 lies beyond the end
+    bits = int(text.max()).bit_length()
+    width = (63 - _PLACE) // bits
+    padded = np.concatenate([text, np.zeros(width, np.int64)])
+    packed = np.zeros(n, np.int64)
+    for i in range(width):
+        packed = (packed << bits) | padded[i : i + n]
+    order, rank = _ranked(packed, n)
+    have = width
+    while have < depth and rank[order[-1]] < n:
+        key = rank << _PLACE
         key[: max(0, n - have)] |= rank[have:]
+        order, rank = _ranked(key, n)
         have *= 2
-    return np.argsort((rank << 32) | np.arange(n))
+    return order, packed, width, bits
+
+
+def _short_prefixes(order: np.ndarray, packed: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Common prefix of each suffix with the one before it, where it is shorter than ``width``; else ``width``."""
+    x = packed[order[1:]] ^ packed[order[:-1]]
+    out = np.full(len(order), width, np.int64)
+    differ = np.flatnonzero(x)
+    top = np.floor(np.log2(x[differ].astype(np.float64))).astype(np.int64)  # below 2**42: exact
+    out[differ + 1] = width - 1 - top // bits
+    out[0] = -1
+    return out
 
 
 def classes(pieces: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
     """(class of each position of the joined pieces, start of each piece): positions whose next ``least`` bytes are equal
-    and inside a piece have one class. Positions too near their piece's end have classes of no meaning."""
+    and inside a piece have one class. Positions too near their piece's end have classes of no meaning.
+
+    Common prefixes shorter than the packed sort key are read off the key; expansion goes on from there.
+    """
     size = np.array([len(p) for p in pieces], np.int64)
     starts = np.cumsum(size + 1) - (size + 1)
-    text = np.ones(int((size + 1).sum()) + 1, np.int32)  # 1 ends a piece, 0 the text, bytes start at 2
+    n = int((size + 1).sum()) + 1
+    if n > MOST:
+        raise ValueError("too much text for one transform")
+    text = np.ones(n, np.int32)  # 1 ends a piece, 0 the text, bytes start at 2
     text[-1] = 0
     body = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32) + 2
     text[np.arange(len(body)) + np.repeat(np.arange(len(pieces)), size)] = body
-    n = len(text)
-    order = suffix_order(text, least + 1)
+    order, packed, width, bits = suffix_order(text, least)
     at = np.empty(n, np.int64)
     at[order] = np.arange(n)
-    before = text[order - 1]  # the transform
+    before = text[order - 1].astype(np.int64)  # the transform
     lf = at[order - 1]
-    known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
-    length = 0
+    length = min(width, least)
+    short = _short_prefixes(order, packed, width, bits)
+    known = np.concatenate([short < length, [True]])
+    ends = np.flatnonzero(np.concatenate([short[1:], [-1]]) == length - 1) + 1  # right ends of the intervals to start from
+    heads = np.flatnonzero(known[:-1])
+    lo, hi = heads[np.searchsorted(heads, ends, "left") - 1], ends
     while len(lo) and length < least:
         span = hi - lo
-        ends = np.cumsum(span)
-        rows = np.arange(ends[-1]) + np.repeat(lo - (ends - span), span)
-        key = (np.repeat(np.arange(len(lo)), span) << 9) | before[rows]
-        by = np.argsort(key)
-        key = key[by]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.cumsum(span)
+        rows = np.arange(total[-1]) + np.repeat(lo - (total - span), span)
+        key = ((np.repeat(np.arange(len(lo)), span) << 9) | before[rows]) << _PLACE
+        key = np.sort(key | lf[rows])
+        group, place = key >> _PLACE, key & MOST
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         count = np.diff(np.concatenate([first, [len(key)]]))
-        new_lo = np.minimum.reduceat(lf[rows[by]], first)
-        new_hi = new_lo + count
+        new_hi = place[first] + count  # sorted by place within a group, which is one interval
         fresh = ~known[new_hi]
-        lo, hi = new_lo[fresh], new_hi[fresh]
+        lo, hi = place[first][fresh], new_hi[fresh]
         known[hi] = True
         length += 1
     out = np.empty(n, np.int64)
