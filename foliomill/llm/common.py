@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -66,6 +68,15 @@ def crc_mod(col: str | Column, m: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(m)
 
 
+def release() -> None:
+    """Hands memory that a task has freed back to the system: workers are reused, and some wait idle."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None]], schema: str) -> DataFrame:
     """``mapInArrow`` with a kernel built once per task; batches are cut so that little text is held at once."""
 
@@ -77,6 +88,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 if out is None:
                     continue
                 yield from out if isinstance(out, list) else [out]
+        del kernel
+        release()
 
     return df.mapInArrow(run, schema)
 

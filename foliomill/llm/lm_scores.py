@@ -30,7 +30,7 @@ OUTSIDE = CLASSES - 1
 SIDE, HIDDEN, STRIDE, ROUNDS = 2, 32, 16, 2
 #: Distinct words that a counting task holds before it hands its counts on.
 FLUSH = 150_000
-CACHE = 500_000
+CACHE = 250_000
 
 
 def words(text: str) -> list[bytes]:
@@ -68,6 +68,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield flush()
         if held:
             yield flush()
+        common.release()
 
     rows = docs.select("text").mapInArrow(run, "word long, ending int, n long")
     return rows.groupBy("word", "ending").agg(F.sum("n").alias("n"))
@@ -136,11 +137,12 @@ def unpack(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def windows(classes: np.ndarray) -> np.ndarray:
-    """Classes around each position (left to right, without itself)."""
-    padded = np.concatenate([np.full(SIDE, OUTSIDE), classes, np.full(SIDE, OUTSIDE)]).astype(np.int32)
-    n = len(classes)
-    return np.stack([padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE], 1)
+def windows(classes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Classes around each position, or those in ``at`` (left to right, without itself)."""
+    padded = np.full(len(classes) + 2 * SIDE, OUTSIDE, np.int32)
+    padded[SIDE : SIDE + len(classes)] = classes
+    at = np.arange(len(classes)) if at is None else at
+    return np.stack([padded[at + k] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
 def forward(flat: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +211,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
                         if not len(c):
                             continue
                         pos = np.arange(len(c) * 7919 % stride % len(c), len(c), stride)
-                        around.append(windows(c)[pos])
+                        around.append(windows(c, pos))
                         truth.append(c[pos])
                         held += len(pos)
                     if held > 50_000:
@@ -222,6 +224,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
                     [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(trainer.flat.astype(np.float64) * trainer.seen), pa.array(np.full(len(flat), float(trainer.seen)))],
                     names=["i", "x", "n"],
                 )
+            del coder, trainer, around, truth
+            common.release()
 
         sums = docs.select("text").mapInArrow(run, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
         flat = flat.copy()
