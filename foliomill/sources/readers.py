@@ -77,7 +77,8 @@ def relations(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _json(spark: SparkSession, path: str, fields: str, suffix: str) -> DataFrame:
     raw = spark.read.option("wholetext", True).text(path)
-    name = F.regexp_replace(stem(F.input_file_name()), f"{suffix}$", "")
+    # file names arrive percent-encoded
+    name = F.regexp_replace(stem(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))), f"{suffix}$", "")
     parsed = raw.select(name.alias("doc_id"), F.from_json("value", f"array<struct<{_struct(fields)}>>").alias("items"))
     return parsed.select("doc_id", F.posexplode("items").alias("pos", "x"))
 
