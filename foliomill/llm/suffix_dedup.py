@@ -6,8 +6,10 @@ context. Contexts with a seed that occurs once are done; equal contexts collapse
 bytes move. What is left (different contexts around one seed) goes, a few megabytes at a time, through interval
 expansion on the Burrows-Wheeler transform of the contexts (``bwt.py``), which finds every repeated window exactly.
 
-A seed with very many different contexts is split into salted groups. Each expands on its own and hands on one digest for
-every class of windows it holds; classes that meet again across groups are joined by these digests.
+A seed with very many different contexts (a passage that thousands of documents share) would be one task's work. Its
+windows are split by content instead, level by level: into cells of ``WIDTHS`` window starts by their distance from the
+seed. All windows of a cell hold one core, so only equal cores can hold equal windows: a core that occurs once is done,
+equal cells collapse to a count, and only different cells with one core (at the passage's borders) are split further.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bwt import repeated
+from .bwt import MOST, repeated
 
 SEED = 32
 #: Window starts looked at together; a longer text is cut into such stretches that overlap by a window.
 STRETCH = 1 << 22
-#: Bytes of contexts in one transform, and different contexts of one seed that go together.
-TEXT, GROUP = 3 << 20, 256
-RUN = "ah long, dg long, s0 int, s1 int"
+#: Bytes of contexts in one transform, different contexts of one seed that go together.
+TEXT, GROUP = 1 << 20, 512
+#: Window starts in a cell, from level to level.
+WIDTHS = (96, 24, 6, 1)
+RUN = "ah long, dg long, s0 int, s1 int, seed int"
 
 
 def _hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -43,8 +47,8 @@ def _hashes(data: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def contexts(data: bytes, least: int) -> Iterator[tuple[int, int, int, int]]:
-    """(seed hash, digest of the context's bytes, first and last window start) of each run of windows with one seed."""
+def contexts(data: bytes, least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(seed hash, digest of the context's bytes, first and last window start, seed's place) of each run of windows with one seed."""
     raw = np.frombuffer(data, np.uint8)
     width = least - SEED + 1
     for base in range(0, len(raw) - least + 1, STRETCH):
@@ -61,9 +65,25 @@ def contexts(data: bytes, least: int) -> Iterator[tuple[int, int, int, int]]:
         first = np.concatenate([[0], cuts])
         last = np.concatenate([cuts, [len(seed)]]) - 1
         ah = h[seed[first]].view(np.int64).tolist()
-        for a, s0, s1 in zip(ah, (first + base).tolist(), (last + base).tolist()):
+        for a, s0, s1, k in zip(ah, (first + base).tolist(), (last + base).tolist(), (seed[first] + base).tolist()):
             dg = int.from_bytes(hashlib.blake2b(data[s0 : s1 + least], digest_size=8).digest(), "little", signed=True)
-            yield a, dg, s0, s1
+            yield a, dg, s0, s1, k
+
+
+def cells(data: bytes, first: int, lo: int, hi: int, seed: int, width: int, least: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(first and last window start, digest of the core, digest of the cell) of windows ``lo`` to ``hi``, by distance from the seed.
+
+    ``data`` holds the bytes from place ``first`` on.
+    """
+    digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    at = lo
+    while at <= hi:
+        far = (seed - at) // width * width  # the cell's windows start from far to far + width - 1 before the seed
+        end = min(hi, seed - far)
+        farthest = min(far + width - 1, least - SEED)
+        core = digest(b"%d:" % far + data[seed - far - first : seed - farthest + least - first])
+        yield at, end, core, digest(b"%d:" % (seed - at) + data[at - first : end + least - first])
+        at = end + 1
 
 
 def _bytes(batch: pa.RecordBatch) -> list[bytes]:
@@ -78,81 +98,118 @@ def _runs(docs: DataFrame, least: int) -> DataFrame:
             rows = [(i, *x) for i, b in enumerate(_bytes(batch)) for x in contexts(b, least)]
             at = pa.array([r[0] for r in rows], pa.int64())
             cols = [batch.column(batch.schema.get_field_index(c)).take(at) for c in ("doc_id", "th")]
-            cols += [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.int32()))]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "ah", "dg", "s0", "s1"])
+            cols += [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.int32()), (5, pa.int32()))]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "ah", "dg", "s0", "s1", "seed"])
 
         return kernel
 
     return common.map_arrow(docs, make, f"doc_id {kind}, th long, {RUN}")
 
 
-def _cut(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """Adds the bytes of each wanted context (doc_id, th, ah, dg, s0, s1, ...), read again from its document."""
-    per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "dg", "s0", "s1", "groups")).alias("runs"))
+def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, th, text, runs): the wanted runs (ah, dg, s0, s1, seed) of each document, with its text read again."""
+    per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "dg", "s0", "s1", "seed", "hot")).alias("runs"))
     per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "runs")
-    rows = docs.join(per_doc, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "th", "text", "runs")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.join(per_doc, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "th", "text", "runs")
+
+
+def _cut(rows: DataFrame, least: int) -> DataFrame:
+    """(doc_id, th, ah, dg, s0, seed, hot, bytes) of each wanted context."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    types = {"ah": pa.int64(), "dg": pa.int64(), "s0": pa.int32(), "seed": pa.int32(), "hot": pa.bool_()}
 
     def make():
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: dict[str, list] = {k: [] for k in ("row", "ah", "dg", "s0", "salt", "bytes")}
+            at, out, held = [], {k: [] for k in types}, []
             for i, (b, runs) in enumerate(zip(_bytes(batch), batch.column(batch.schema.get_field_index("runs")).to_pylist())):
                 for r in runs:
-                    out["row"].append(i)
-                    for k in ("ah", "dg", "s0"):
+                    at.append(i)
+                    for k in types:
                         out[k].append(r[k])
-                    out["salt"].append(r["dg"] % r["groups"])
-                    out["bytes"].append(b[r["s0"] : r["s1"] + least])
-            at = pa.array(out["row"], pa.int64())
-            cols = [batch.column(batch.schema.get_field_index(c)).take(at) for c in ("doc_id", "th")]
-            cols += [pa.array(out[k], t) for k, t in (("ah", pa.int64()), ("dg", pa.int64()), ("s0", pa.int32()), ("salt", pa.int32()), ("bytes", pa.binary()))]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "ah", "dg", "s0", "salt", "bytes"])
+                    held.append(b[r["s0"] : r["s1"] + least])
+            cols = [batch.column(batch.schema.get_field_index(c)).take(pa.array(at, pa.int64())) for c in ("doc_id", "th")]
+            cols += [*(pa.array(out[k], t) for k, t in types.items()), pa.array(held, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", *types, "bytes"])
 
         return kernel
 
-    return common.map_arrow(rows, make, f"doc_id {kind}, th long, ah long, dg long, s0 int, salt int, bytes binary")
+    return common.map_arrow(rows, make, f"doc_id {kind}, th long, ah long, dg long, s0 int, seed int, hot boolean, bytes binary")
 
 
-def _expanded(cut: DataFrame, hot: DataFrame, least: int, keep_first: bool) -> DataFrame:
-    """(doc_id, th, ah, s0, lo, hi, open): stretches of windows to remove; for split seeds also the class digests."""
+def _expanded(cut: DataFrame, least: int, keep_first: bool) -> DataFrame:
+    """(doc_id, th, lo, hi): stretches of windows to remove, by interval expansion over whole seeds."""
     kind = cut.schema["doc_id"].dataType.simpleString()
-    rows = cut.join(hot.select(F.col("ah").alias("_h")).withColumn("hot", F.lit(True)), F.col("ah") == F.col("_h"), "left").drop("_h")
-    rows = rows.withColumn("hot", F.coalesce("hot", F.lit(False)))
-    rows = rows.repartition(F.col("ah"), F.col("salt")).sortWithinPartitions("ah", "salt", "doc_id", "th", "s0")
+    rows = cut.repartition("ah").sortWithinPartitions("ah", "doc_id", "th", "s0")
 
     def solve(held: list[dict]) -> pa.RecordBatch:
         # one piece for each context; the corpus order decides which of equal windows is the first
         held.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["th"], r["s0"]))
         seen: set[tuple] = set()
         held = [r for r in held if (k := (r["ah"], r["dg"])) not in seen and not seen.add(k)]  # rows repeated as a whole
-        gone, leads = repeated([r["bytes"] for r in held], least, keep_first)
-        out: list[tuple] = []
-        for i, (r, g, lead) in enumerate(zip(held, gone, leads)):
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
-            for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                out.append((i, r["s0"] + lo, r["s0"] + hi - 1, None))
-            if r["hot"]:
-                for w in np.flatnonzero(lead).tolist():
-                    out.append((i, r["s0"] + w, r["s0"] + w, hashlib.blake2b(r["bytes"][w : w + least], digest_size=16).digest()))
-        at = [x[0] for x in out]
+        at, lo, hi = [], [], []
+        for i, (r, g) in enumerate(zip(held, repeated([r["bytes"] for r in held], least, keep_first)[0])):
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8))) + r["s0"]
+            at += [i] * (len(edge) // 2)
+            lo += edge[::2].tolist()
+            hi += (edge[1::2] - 1).tolist()
         cols = [pa.array([held[i]["doc_id"] for i in at], kind_pa(kind)), pa.array([held[i]["th"] for i in at], pa.int64())]
-        cols += [pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "lo", "hi", "open"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["doc_id", "th", "lo", "hi"])
 
     def run(batches):
         held: list[dict] = []
         size = 0
         for b in batches:
             for r in b.to_pylist():
-                if size > TEXT and (r["ah"], r["salt"]) != (held[-1]["ah"], held[-1]["salt"]):
+                if size > TEXT and r["ah"] != held[-1]["ah"]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r["bytes"])
+                size += len(r["bytes"]) + 1
         if held:
             yield solve(held)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, lo int, hi int, open binary")
+    return rows.select("ah", "dg", "doc_id", "th", "s0", "bytes").mapInArrow(run, f"doc_id {kind}, th long, lo int, hi int")
+
+
+def _cells(work: DataFrame, width: int, least: int) -> DataFrame:
+    """(doc_id, th, s0, lo, hi, core, own): cells of the open ranges of each context."""
+    kind = work.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = [
+                (i, *c)
+                for i, r in enumerate(batch.select(["s0", "seed", "bytes", "ranges"]).to_pylist())
+                for x in r["ranges"]
+                for c in cells(r["bytes"], r["s0"], x["lo"], x["hi"], r["seed"], width, least)
+            ]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            cols = [batch.column(batch.schema.get_field_index(c)).take(at) for c in ("doc_id", "th", "s0")]
+            cols += [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.binary()), (4, pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "s0", "lo", "hi", "core", "own"])
+
+    return work.mapInArrow(run, f"doc_id {kind}, th long, s0 int, lo int, hi int, core binary, own binary")
+
+
+def _crossed(hot: DataFrame, scratch: common.Scratch, least: int, keep_first: bool) -> DataFrame:
+    """(doc_id, th, lo, hi) for the contexts of hot seeds, by cells that get narrower until they are single windows."""
+    whole = F.array(F.struct(F.col("s0").alias("lo"), (F.col("s0") + F.octet_length("bytes") - least).alias("hi")))
+    work, out = hot.withColumn("ranges", whole), None
+    for width in WIDTHS:
+        each = scratch.keep(_cells(work, width, least))
+        same = scratch.keep(each.groupBy("core", "own").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi", "s0")).alias("lead")))
+        equal = same.where("n > 1").select(F.col("core").alias("_c"), F.col("own").alias("_o"), "lead")
+        marks = each.join(equal, (F.col("core") == F.col("_c")) & (F.col("own") == F.col("_o")))
+        if keep_first:
+            marks = marks.where(~F.struct("doc_id", "th", "lo").eqNullSafe(F.struct("lead.doc_id", "lead.th", "lead.lo")))
+        marks = marks.select("doc_id", "th", "lo", "hi")
+        out = marks if out is None else out.unionByName(marks)
+        mixed = same.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("core").alias("_c"))
+        open_ = same.join(mixed, F.col("core") == F.col("_c")).select("lead.*")
+        open_ = open_.groupBy("doc_id", "th", "s0").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+        open_ = open_.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("s0").alias("_s"), "ranges")
+        work = hot.join(open_, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & (F.col("s0") == F.col("_s"))).drop("_d", "_t", "_s")
+    return out
 
 
 def kind_pa(kind: str) -> pa.DataType:
@@ -173,14 +230,14 @@ def find_repeats(docs: DataFrame, least: int = 400, keep_first: bool = False, wh
         raise ValueError(f"strings of at least {SEED} bytes")
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "suffix")
-    docs = docs.drop("spans", "kept").withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    slim = docs.select("doc_id", "th", "text")
+    docs = docs.drop("spans", "kept")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    slim = docs.select("doc_id", text_hash.alias("th"), "text")
     runs = scratch.keep(_runs(slim, least))
-    distinct = runs.groupBy("ah", "dg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "s0", "s1")).alias("lead"))
-    distinct = scratch.keep(distinct.select("ah", "dg", "c", "lead.doc_id", "lead.th", "lead.s0", "lead.s1"))
-    seeds = distinct.groupBy("ah").agg(F.count("*").alias("kinds"), F.sum("c").alias("total")).where("total > 1")
-    seeds = seeds.withColumn("groups", F.ceil(F.col("kinds") / GROUP).cast("int"))
-    live = scratch.keep(distinct.join(seeds.drop("total"), "ah"))
+    distinct = runs.groupBy("ah", "dg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "s0", "s1", "seed")).alias("lead"))
+    distinct = scratch.keep(distinct.select("ah", "dg", "c", "lead.*"))
+    seeds = distinct.groupBy("ah").agg(F.count("*").alias("kinds"), F.sum("c").alias("total")).where("total > 1").drop("total")
+    live = scratch.keep(distinct.join(seeds, "ah"))
     # contexts that occur twice or more: all their windows are repeated
     twice = live.where("c > 1").select(F.col("ah").alias("_a"), F.col("dg").alias("_g"), F.col("doc_id").alias("ld"), F.col("th").alias("lt"), F.col("s0").alias("ls"))
     copies = runs.join(twice, (F.col("ah") == F.col("_a")) & (F.col("dg") == F.col("_g")))
@@ -188,20 +245,16 @@ def find_repeats(docs: DataFrame, least: int = 400, keep_first: bool = False, wh
         copies = copies.where(~(F.col("doc_id").eqNullSafe(F.col("ld")) & (F.col("th") == F.col("lt")) & (F.col("s0") == F.col("ls"))))
     marks = copies.select("doc_id", "th", F.col("s0").alias("lo"), F.col("s1").alias("hi"))
     # different contexts around one seed
-    several = live.where("kinds > 1")
-    cut = _cut(slim, several, least)
-    hot = several.where("groups > 1").select("ah").distinct()
-    found = scratch.keep(_expanded(cut, hot, least, keep_first))
-    marks = marks.unionByName(found.where("open is null").drop("open"))
-    across = found.where("open is not null")
-    again = across.groupBy("open").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("lead")).where("n > 1").withColumnRenamed("open", "_o")
-    crossing = across.join(again, F.col("open") == F.col("_o"))
-    if keep_first:
-        crossing = crossing.where(~F.struct("doc_id", "th", "lo").eqNullSafe(F.col("lead")))
-    marks = marks.unionByName(crossing.select("doc_id", "th", "lo", "hi"))
+    several = live.where("kinds > 1").withColumn("hot", F.col("kinds") > max(1, min(GROUP, (MOST - TEXT) // (2 * least + 1))))
+    cut = scratch.keep(_cut(_with_text(slim, several), least))
+    marks = marks.unionByName(_expanded(cut.where("not hot"), least, keep_first))
+    hot = cut.where("hot")
+    if not hot.isEmpty():
+        marks = marks.unionByName(_crossed(hot, scratch, least, keep_first))
     per_doc = marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "marks")
-    rows = docs.join(per_doc, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d", "_t", "th")
+    per_doc = per_doc.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash"), F.col("marks").alias("__marks"))
+    rows = docs.withColumn("__own", text_hash)
+    rows = rows.join(per_doc, (F.col("__own") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc", "__hash", "__own")
     return _applied(rows, least, whole_chars)
 
 
@@ -216,14 +269,14 @@ def _snap(data: bytes, start: int, end: int) -> tuple[int, int]:
 
 
 def _applied(rows: DataFrame, least: int, whole_chars: bool) -> DataFrame:
-    fields = [f for f in rows.schema.fields if f.name != "marks"]
+    fields = [f for f in rows.schema.fields if f.name != "__marks"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "spans array<struct<start:bigint,end:bigint>>", "kept binary"])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def make():
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             spans, kept = [], []
-            for b, own in zip(_bytes(batch), batch.column(batch.schema.get_field_index("marks"))):
+            for b, own in zip(_bytes(batch), batch.column(batch.schema.get_field_index("__marks"))):
                 if not own.is_valid:
                     spans.append([])
                     kept.append(b)
