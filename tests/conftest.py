@@ -8,7 +8,7 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT}/tests:{os.environ.get('PYTHONPATH', '')}"  # for the Python workers
+os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT}/tests:{ROOT}/tests/llm:{os.environ.get('PYTHONPATH', '')}"  # for the Python workers
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 DATA = "/root/testdata/sf0.001"
