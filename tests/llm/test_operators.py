@@ -309,13 +309,14 @@ def test_repeats_over_the_table(spark, texts):
 
 
 def test_repeat_edges(spark):
-    long = "й" * 100 + "".join(chr(97 + i * i % 23) for i in range(300))
+    rng = random.Random(11)
+    long = "".join(rng.choice("йцукен") for _ in range(100)) + "".join(rng.choice("abcdefgh") for _ in range(300))
     rows = docs(spark, "q" + long, "w" + long, None, "").withColumn("th", F.lit("own")).withColumn("spans", F.lit("clash")).withColumn("marks", F.lit(5))
     got = suffix_dedup.find_repeats(rows, 64, keep_first=True, whole_chars=True).orderBy("doc_id").collect()
     assert [r.th for r in got] == ["own"] * 4 and [r.marks for r in got] == [5] * 4
     for r in got:
         bytes(r.kept).decode()
-    assert bytes(got[0].kept).decode().endswith(long[-50:]) and len(got[1].kept) < 64
+    assert bytes(got[0].kept).decode() == "q" + long and bytes(got[1].kept).decode() == "w"
     assert suffix_dedup.find_repeats(rows.limit(0), 64).count() == 0
     same = docs(spark, long).union(docs(spark, long))
     assert [len(r.kept) for r in suffix_dedup.find_repeats(same, 64).collect()] == [0, 0]
@@ -489,7 +490,7 @@ def test_network_gradient():
 
 def test_scores_are_sums_of_conditionals(spark):
     rows = ["the cat sat on the mat", "mat the on sat cat the", "the", None, "", "  ", "the cat sat on the mat"]
-    train_on = docs(spark, *(["the cat sat on the mat . the dog sat on the rug ."] * 40))
+    train_on = docs(spark, *(["the cat sat on the mat . the dog sat on the rug ."] * 4000))
     voc = lm_scores.Vocabulary.gather(lm_scores.word_counts(train_on))
     flat = lm_scores.train(train_on, voc, rounds=3, stride=1)
     got = lm_scores.score_documents(docs(spark, *rows).withColumn("log_prob", F.lit("clash")), voc, flat).orderBy("doc_id").collect()
