@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import regex as R
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where no projection can hold it (inside lambdas, in long conditions)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, R.EDGES, "")
 
@@ -55,8 +62,9 @@ def toc_entry(stripped: Column, fmt: Column) -> Column:
     number = normalize_number(F.regexp_extract(stripped, R.TOC_ENTRY, 1))
     rest = F.regexp_extract(stripped, R.TOC_ENTRY, 2)
     title = F.when(fmt == "A", strip_dots(rest)).otherwise(strip_page(rest))
-    ok = stripped.rlike(R.TOC_ENTRY) & ~stripped.rlike(R.SKIPPED) & ~is_page_number(stripped) & (title != "") & ~is_page_number(title)
-    return F.when(ok, F.struct(number.alias("number"), title.alias("title")))
+    ok = stripped.rlike(R.TOC_ENTRY) & ~stripped.rlike(R.SKIPPED) & ~is_page_number(stripped)
+    named = lambda t: F.when((t != "") & ~is_page_number(t), F.struct(number.alias("number"), t.alias("title")))
+    return F.when(ok, let(title, named))
 
 
 def normal_heading(c: Column) -> Column:

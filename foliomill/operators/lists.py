@@ -36,17 +36,21 @@ def is_citation_list(found: Column) -> Column:
 def lists_of(content: Column, heading: Column) -> Column:
     """Array of (type, topic, items): marked bullets, dashes, numbers, each at most once."""
     c, topic = F.coalesce(content, F.lit("")), T.topic(heading)
-    bullets, parts, numbers = items(segments(c, R.BULLET)), segments(c, R.DASH), items(segments(c, R.NUMBERED))
-    dashes = items(parts)
     good = lambda x: (F.size(x) >= LEAST_ITEMS) & ~is_citation_list(x)
-    same = F.array_sort(F.array_distinct(dashes)) == F.array_sort(F.array_distinct(bullets))
     one = lambda ok, kind, x: F.when(ok, F.struct(F.lit(kind).alias("type"), topic.alias("topic"), x.alias("items"))).cast(ONE)
-    every = F.array(
-        one(good(bullets), "bullet", bullets),
-        one(is_dash_list(parts) & good(dashes) & ((F.size(bullets) == 0) | ~same), "bullet", dashes),
-        one(good(numbers), "numbered", numbers),
-    )
-    return F.when(T.strip(c) == "", F.array().cast(schema.LISTS)).otherwise(F.filter(every, lambda x: x.isNotNull()))
+    differ = lambda a, b: F.array_sort(F.array_distinct(a)) != F.array_sort(F.array_distinct(b))
+
+    def chosen(p: Column) -> Column:
+        every = F.array(
+            one(good(p["bullets"]), "bullet", p["bullets"]),
+            one(is_dash_list(p["parts"]) & good(p["dashes"]) & ((F.size(p["bullets"]) == 0) | differ(p["dashes"], p["bullets"])), "bullet", p["dashes"]),
+            one(good(p["numbers"]), "numbered", p["numbers"]),
+        )
+        return F.filter(every, lambda x: x.isNotNull())
+
+    parts = segments(c, R.DASH)
+    found = F.struct(items(segments(c, R.BULLET)).alias("bullets"), parts.alias("parts"), items(parts).alias("dashes"), items(segments(c, R.NUMBERED)).alias("numbers"))
+    return F.when(T.strip(c) == "", F.array().cast(schema.LISTS)).otherwise(T.let(found, chosen))
 
 
 def with_lists(sections: DataFrame) -> DataFrame:

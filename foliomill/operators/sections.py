@@ -41,13 +41,16 @@ def track(candidates: Column, keys: Column, nums: Column) -> Column:
         exact = F.get(F.filter(keys, lambda k: (k["num"] == x["num"]) & unused(k)), 0)
         alike = lambda k: (k["norm"] != "") & (F.startswith(x["norm"], k["norm"]) | F.startswith(k["norm"], x["norm"]))
         by_text = F.when(x["font"] & (F.length(x["norm"]) >= 5), F.get(F.filter(keys, lambda k: unused(k) & alike(k)), 0))
-        hit = F.coalesce(exact, by_text)
-        earlier = F.slice(nums, acc["cur"] + 1, F.greatest(hit["pos"] - acc["cur"], F.lit(0)))
-        running = (hit["depth"] == 1) & (hit["pos"] > acc["cur"]) & F.exists(earlier, lambda n: ~F.array_contains(acc["used"], n))
         event = lambda kind, number: F.struct(x["seq"].alias("seq"), F.lit(kind).alias("kind"), number.alias("number"))
-        opened = F.struct((hit["pos"] + 1).alias("cur"), F.concat(acc["used"], F.array(hit["num"])).alias("used"), F.concat(acc["events"], F.array(event("B", hit["num"]))).alias("events"))
-        passed = F.struct(acc["cur"].alias("cur"), acc["used"].alias("used"), F.concat(acc["events"], F.array(event("R", F.lit(None).cast("string")))).alias("events"))
-        return F.when(hit.isNull(), acc).when(running, passed).otherwise(opened)
+
+        def moved(hit: Column) -> Column:
+            earlier = F.slice(nums, acc["cur"] + 1, F.greatest(hit["pos"] - acc["cur"], F.lit(0)))
+            running = (hit["depth"] == 1) & (hit["pos"] > acc["cur"]) & F.exists(earlier, lambda n: ~F.array_contains(acc["used"], n))
+            opened = F.struct((hit["pos"] + 1).alias("cur"), F.concat(acc["used"], F.array(hit["num"])).alias("used"), F.concat(acc["events"], F.array(event("B", hit["num"]))).alias("events"))
+            passed = F.struct(acc["cur"].alias("cur"), acc["used"].alias("used"), F.concat(acc["events"], F.array(event("R", F.lit(None).cast("string")))).alias("events"))
+            return F.when(hit.isNull(), acc).when(running, passed).otherwise(opened)
+
+        return T.let(F.coalesce(exact, by_text), moved)
 
     return F.aggregate(candidates, state, step, lambda acc: acc["events"])
 

@@ -30,32 +30,36 @@ def first_cells(rows: Column) -> Column:
 
 def is_checklist(rows: Column) -> Column:
     """Quality checklists, and rosters of authors."""
-    flat = T.unwrap(flat_text(rows))
-    has = lambda *words: [F.contains(flat, F.lit(w)) for w in words]
-    any_of = lambda cs: cs[0] if len(cs) == 1 else cs[0] | any_of(cs[1:])
-    quality = has("критерии качества")[0]
-    return (
-        any_of(has("да/нет", "да / нет"))
-        | (quality & any_of(has("убедительности", "достоверности", "уур", "выполнения")))
-        | any_of(has("рабочей группы", "рабочая группа", "члены рабочей"))
-        | (flat.rlike(R.CREDENTIALS) & flat.rlike(R.INSTITUTION))
-    )
+    any_of = lambda flat, *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(flat, w))
+
+    def marks(flat: Column) -> Column:
+        return (
+            any_of(flat, "да/нет", "да / нет")
+            | (F.contains(flat, F.lit("критерии качества")) & any_of(flat, "убедительности", "достоверности", "уур", "выполнения"))
+            | any_of(flat, "рабочей группы", "рабочая группа", "члены рабочей")
+            | (flat.rlike(R.CREDENTIALS) & flat.rlike(R.INSTITUTION))
+        )
+
+    return T.let(T.unwrap(flat_text(rows)), marks)
 
 
 def is_legend(rows: Column) -> Column:
     """Explanations of evidence levels."""
-    flat = T.unwrap(flat_text(rows))
     first = T.strip(F.lower(F.coalesce(F.get(first_cells(rows), 0), F.lit(""))))
-    has = lambda w: F.contains(flat, F.lit(w))
-    return (
-        first.isin("ууr", "уур", "удд")
-        | (has("сильная рекомендация") & has("уур"))
-        | has("уровень убедительности рекомендаций")
-        | has("несравнительные исследования")
-        | has("описание клинического случая")
-        | has("обоснование механизма действия")
-        | (first.rlike(r"(?d)^[1-5]$") & (has("систематический обзор") | has("рандомизированн")))
-    )
+
+    def marks(x: Column) -> Column:
+        has = lambda w: F.contains(x["flat"], F.lit(w))
+        return (
+            x["first"].isin("ууr", "уур", "удд")
+            | (has("сильная рекомендация") & has("уур"))
+            | has("уровень убедительности рекомендаций")
+            | has("несравнительные исследования")
+            | has("описание клинического случая")
+            | has("обоснование механизма действия")
+            | (x["first"].rlike(r"(?d)^[1-5]$") & (has("систематический обзор") | has("рандомизированн")))
+        )
+
+    return T.let(F.struct(T.unwrap(flat_text(rows)).alias("flat"), first.alias("first")), marks)
 
 
 def _filled(c: Column) -> Column:
@@ -77,8 +81,9 @@ def is_wrapped_text(rows: Column) -> Column:
     """One column holds at least 70 % of what the table holds; rows may differ in length."""
     columns = F.sequence(F.lit(0), F.greatest(width(rows), F.lit(1)) - 1)
     counts = F.transform(columns, lambda k: F.size(F.filter(rows, lambda r: _filled(F.get(r, k)))))
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    return (width(rows) >= 2) & F.when(total == 0, F.lit(True)).otherwise(F.array_max(counts) / F.greatest(total, F.lit(1)) >= F.lit(0.70))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    dominant = lambda c: (total(c) == 0) | (F.array_max(c) / F.greatest(total(c), F.lit(1)) >= F.lit(0.70))
+    return (width(rows) >= 2) & T.let(counts, dominant)
 
 
 def is_skipped(rows: Column) -> Column:

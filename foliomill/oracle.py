@@ -347,7 +347,7 @@ _B = lambda *n: ", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in n)  # noqa: E73
 _INDENT = "repeat(' ', CAST(CASE WHEN depth <= 5 THEN 2 * (depth - 1) ELSE 10 END AS BIGINT))"
 _TOC = with_("text_lines", HEADINGS)
 _SECS = with_("text_lines", HEADINGS, TOC_PAGES, FILTERED, TRACK, SECTIONS, recursive=True)
-_ENTRY_SECS = "es AS (SELECT doc_id, i AS sec_pos, number, title AS heading, CASE WHEN line <> '' THEN CASE WHEN i % 9 = 4 THEN ' ..... ' ELSE '' END || line END AS content FROM entries)"
+_ENTRY_SECS = "es AS (SELECT doc_id, i AS sec_pos, number, title AS heading, CASE WHEN line <> '' AND i % 13 <> 7 THEN CASE WHEN i % 9 = 4 THEN ' ..... ' ELSE '' END || line END AS content FROM entries)"
 _FULL = with_("text_lines words grids", HEADINGS, TOC_PAGES, FILTERED, TRACK, SECTIONS, _renamed(PAGE_CAND), _renamed(TRACK), _renamed(PAGES), FLAGS, PLACED, TABLES, recursive=True)
 
 
@@ -383,7 +383,7 @@ def sql() -> dict[str, str]:
         "section_tables": f"{_FULL} SELECT {_B('doc_id', 'sec_pos')}, CAST(row_number() OVER (PARTITION BY doc_id, sec_pos ORDER BY page_idx, table_idx) - 1 AS BIGINT) AS table_no, number, caption, {_B('n_rows', 'n_cells')} FROM attached",
         "table_totals": f"{_FULL} SELECT CAST(s.doc_id AS BIGINT) AS doc_id, CAST(count(a.doc_id) AS BIGINT) AS n_tables FROM secs s LEFT JOIN attached a ON a.doc_id = s.doc_id AND a.sec_pos = s.sec_pos GROUP BY ALL",
         "dq_duplicates": f"{_TOC} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(pos AS BIGINT) AS sec_pos, number FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY pos) AS n FROM headings) x WHERE n > 1",
-        "dq_order": f"{_TOC}, pl AS (SELECT doc_id, number, max(pos) AS pos FROM headings GROUP BY ALL), od AS (SELECT h.doc_id, h.pos AS sec_pos, h.number, pl.pos, lag(pl.pos) OVER (PARTITION BY h.doc_id ORDER BY h.pos) AS ahead FROM headings h JOIN pl ON pl.doc_id = h.doc_id AND pl.number = h.number) SELECT {_B('doc_id', 'sec_pos', 'pos', 'ahead')}, number FROM od WHERE pos < ahead",
+        "dq_order": f"{_TOC}, pl AS (SELECT doc_id, number, max(pos) AS pos FROM headings GROUP BY ALL), od AS (SELECT h.doc_id, h.pos AS sec_pos, h.number, pl.pos, lag(pl.pos) OVER (PARTITION BY h.doc_id ORDER BY h.pos) AS ahead FROM (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN -pos ELSE pos END AS pos) FROM headings) h JOIN pl ON pl.doc_id = h.doc_id AND pl.number = h.number) SELECT {_B('doc_id', 'sec_pos', 'pos', 'ahead')}, number FROM od WHERE pos < ahead",
         "dq_leaders": f"{with_('entries', _ENTRY_SECS)} SELECT {_B('doc_id', 'sec_pos')}, number FROM es WHERE {has('heading', R.BODY_LEADER)} OR regexp_matches(coalesce(content, ''), '^{S}*(?:{re2(R.BODY_LEADER)})')",
         "dq_null_contents": f"{with_('entries', _ENTRY_SECS)} SELECT {_B('doc_id', 'sec_pos')}, number FROM es WHERE content IS NULL",
         "dq_not_in_contents": f"{with_('text_lines', HEADINGS, _ENTRY_SECS)} SELECT {_B('doc_id', 'sec_pos')}, number FROM es WHERE (doc_id, number) NOT IN (SELECT doc_id, number FROM headings)",
