@@ -157,12 +157,15 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
     nq = queries.count()
     q = _blocks(queries, d, QUERY_BLOCK, max(1, min(4096, -(-nq // QUERY_BLOCK)))).withColumn("q", F.monotonically_increasing_id())
     q = scratch.keep(q.select("q", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
-    names = [r.q for r in q.select("q").collect()]  # a number for each block of queries
-    if not names:
+    # blocks of queries are numbered, so that each block of candidates can name them all
+    number = q.select(F.col("q").alias("id")).withColumn("k", F.row_number().over(Window.orderBy("id")).cast("long"))
+    q = scratch.keep(q.join(number, F.col("q") == F.col("id")).select(F.col("k").alias("q"), "q_ids", "q_vecs"))
+    n_blocks = q.count()
+    if not n_blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def blocks_of(df: DataFrame) -> DataFrame:
-        return df.select("c", F.explode(F.array(*[F.lit(x).cast("long") for x in names])).alias("q"))
+        return df.select("c", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_blocks).cast("long"))).alias("q"))
 
     # the block with the longest vectors gives every query its first threshold
     first = c.orderBy(F.desc("longest"), "c").limit(1).select("c").first().c
@@ -174,7 +177,7 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
     packed = ids.join(floors, "query_id", "left").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("floor", F.lit(-(2**62))).cast("double").alias("f")))).alias("f"))
     packed = packed.select("q", F.transform("f", lambda x: x["f"]).alias("f")).mapInArrow(_pack_floors, "q long, floors binary")
     rest = blocks_of(c.where(F.col("c") != first)).join(q.join(packed, "q"), "q").join(payload, "c")
-    rest = rest.repartition(max(1, min(4096, parts * len(names))), "q", "c") if parts * len(names) > 1 else rest
+    rest = rest.repartition(max(1, min(4096, parts * n_blocks)), "q", "c") if parts * n_blocks > 1 else rest
     found = lead.select("query_id", "vec_id", "score").unionByName(_search(rest, d, k, basis, head))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
