@@ -90,21 +90,18 @@ def _version(v: str) -> str:
 
 
 def rules() -> list[tuple[str, str, int, str]]:
-    """(label, regex, priority, keyword) of all rules; every match of a regex holds its keyword."""
+    """(label, regex, priority, keyword) of all rules; a rule runs only on lines that hold its keyword."""
     out: list[tuple[str, str, int, str]] = []
     for label, name, versions in FAMILIES:
-        # the words that stand in every form of the name, or else a word of the pattern around it
-        own = {"gpl": "licen", "lgpl": "licen", "agpl": "licen", "wtfpl": "wtfpl", "unlicense": "unlicen", "cecill": "cecill", "openrail": "licen"}.get(label, "licen")
+        spoken = label.replace("-", " ")
         for v in versions:
-            tag = f"{label}-{v}"
-            out.append((tag, f"(?:{name})(?: licen[cs]e)?{_version(v)}(?: or (?:any )?later)?", EXACT, own if own != "licen" or label not in ("gpl", "lgpl", "agpl") else "licen"))
-            out.append((tag, f"spdx licen[cs]e identifier {label.replace('-', ' ')} {v.replace('.', ' ')}(?: only| or later)?", EXACT, "spdx"))
-        out.append((label, f"spdx licen[cs]e identifier {label.replace('-', ' ')}", EXACT if not versions else NAMED, "spdx"))
+            out.append((f"{label}-{v}", f"(?:{name})(?: licen[cs]e)?{_version(v)}(?: or (?:any )?later)?", EXACT, "licen"))
+            out.append((f"{label}-{v}", f"spdx licen[cs]e identifier {spoken} {v.replace('.', ' ')}(?: only| or later)?", EXACT, "spdx"))
+        out.append((label, f"spdx licen[cs]e identifier {spoken}", NAMED if versions else EXACT, "spdx"))
         out.append((label, f"(?:{name})(?: style)?(?: open source)? licen[cs]es?", NAMED, "licen"))
         out.append((label, f"{_LICENSED} (?:{name})", NAMED, "under"))
         out.append((label, f"licen[cs]e (?:{name})", HINT, "licen"))
-        if own in ("wtfpl", "unlicen", "cecill"):
-            out.append((label, f"(?:{name})", HINT, own))
+    out += [(x, x, HINT, x) for x in ("wtfpl", "unlicense", "cecill")]
     for short in ("gpl", "lgpl", "agpl"):
         for v in ("2", "3"):
             out.append((f"{short}-{v}.0", f"(?:gnu )?{short} ?v?{v}(?: 0)?", EXACT, "gpl"))
