@@ -23,8 +23,11 @@ def headings(text_lines: DataFrame) -> DataFrame:
     plain = F.count_if(F.col("s").rlike(R.PLAIN_ENTRY)).over(page)
     header = F.max((F.col("line_no") < 5) & F.col("text").rlike(R.TOC_HEADER_OPEN)).over(page)
     rows = rows.withColumn("fmt", F.when(leaders >= 3, "A").when(header | (plain >= 3), "B").otherwise(""))
+    # the next page without a format, for the page on which headings begin
+    ahead = Window.partitionBy("doc_id").orderBy("page_idx").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = rows.withColumn("gap", F.min(F.when(F.col("fmt") == "", F.col("page_idx"))).over(ahead)).where("fmt <> ''")
     rows = rows.withColumn("outer", T.toc_entry(T.normalize_line(F.col("s")), F.col("fmt")))
-    rows = rows.withColumn("appendix", F.col("s").rlike(R.APPENDIX) & (F.col("fmt") != ""))
+    rows = rows.withColumn("appendix", F.col("s").rlike(R.APPENDIX))
     skipped = F.col("s").rlike(R.SKIPPED)
     stop = (F.col("s") == "") | T.is_page_number(F.col("s")) | skipped | F.col("appendix") | T.toc_entry(F.col("s"), F.col("fmt")).isNotNull()
     rows = rows.withColumns({"stop": stop, "silent": F.col("appendix") & ~skipped, "leader": F.col("s").rlike(R.TOC_LEADER)})
@@ -34,8 +37,9 @@ def headings(text_lines: DataFrame) -> DataFrame:
     closed = F.coalesce(F.max(F.col("leader") & ~F.col("stop")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     piece = F.when(F.col("fmt") == "A", T.strip_dots(F.col("s"))).otherwise(T.strip_page(F.col("s")))
     rows = rows.withColumn("piece", F.when(~F.col("stop") & ~closed & (piece != ""), F.struct("line_no", piece.alias("t"))))
-    groups = rows.where("fmt <> '' and `group` > 0").groupBy("doc_id", "page_idx", "group").agg(
+    groups = rows.where("`group` > 0").groupBy("doc_id", "page_idx", "group").agg(
         F.min("line_no").alias("line_no"),
+        F.min("gap").alias("gap"),
         F.max(F.when(F.col("stop"), F.col("outer"))).alias("entry"),
         F.max(F.col("appendix")).alias("appendix"),
         F.max(F.col("silent")).alias("silent"),
@@ -47,12 +51,9 @@ def headings(text_lines: DataFrame) -> DataFrame:
     groups = groups.withColumn("heading", F.col("entry").isNotNull() & ~F.col("appendix") & ~lost)
     # where each document's table of contents ends
     doc = Window.partitionBy("doc_id")
-    groups = groups.withColumn("first_page", F.min(F.when(F.col("heading"), F.col("page_idx"))).over(doc))
-    groups = groups.withColumn("end", F.min(F.when(F.col("appendix"), F.struct("page_idx", "line_no"))).over(doc))
-    gaps = rows.where("fmt = ''").groupBy("doc_id").agg(F.array_sort(F.collect_set("page_idx")).alias("gaps"))
-    found = groups.where("heading").join(gaps, "doc_id", "left")
-    stop_page = F.get(F.filter(F.coalesce("gaps", F.array().cast("array<int>")), lambda p: p > F.col("first_page")), 0)
-    found = found.where(stop_page.isNull() | (F.col("page_idx") < stop_page))
+    first = F.min(F.when(F.col("heading"), F.struct("page_idx", "gap"))).over(doc)
+    groups = groups.withColumns({"stop_page": first["gap"], "end": F.min(F.when(F.col("appendix"), F.struct("page_idx", "line_no"))).over(doc)})
+    found = groups.where("heading and (stop_page is null or page_idx < stop_page)")
     found = found.where(F.col("end").isNull() | (F.struct("page_idx", "line_no") < F.col("end")))
     joined = F.concat(F.array(F.col("entry.title")), F.transform("pieces", lambda p: p["t"]))
     place = Window.partitionBy("doc_id").orderBy("page_idx", "line_no")

@@ -18,13 +18,14 @@ KEYWORDS = (
 
 _SPARK_LINES = r"""
 doc_lines AS (
-  SELECT doc_id, i, line, array_join(slice(split(line, ' '), 1, 3), ' ') AS lead, array_join(slice(split(line, ' '), 4, 3), ' ') AS mid
+  SELECT doc_id, i, line, array_join(slice(split(line, ' '), 1, 3), ' ') AS lead, array_join(slice(split(line, ' '), 4, 3), ' ') AS mid,
+         size(split(coalesce(text, ''), '\n')) AS n
   FROM documents LATERAL VIEW posexplode(split(coalesce(text, ''), '\n')) t AS i, line WHERE doc_id IS NOT NULL
 )"""
 _DUCK_LINES = r"""
 doc_lines AS (
-  SELECT doc_id, CAST(i AS INT) AS i, line, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead, array_to_string(string_split(line, ' ')[4:6], ' ') AS mid
-  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i
+  SELECT doc_id, CAST(i AS INT) AS i, line, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead, array_to_string(string_split(line, ' ')[4:6], ' ') AS mid, n
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i, len(l) AS n
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL))
 )"""
 _SPARK_WORDS = r"""
@@ -41,41 +42,59 @@ _KEYWORD = "CASE (doc_id + i) % 17 " + " ".join(f"WHEN {k} THEN '{w}'" for k, w
 
 ENTRIES = f"""
 entries AS (
-  SELECT doc_id, i, line, lead, mid, CAST((i - i % 4) / 4 AS INT) + 1 AS ch, i % 4 AS sub,
+  SELECT doc_id, i, n, line, lead, mid, CAST((i - i % 4) / 4 AS INT) + 1 AS ch, i % 4 AS sub,
          CASE WHEN i % 4 = 0 THEN CAST(CAST((i - i % 4) / 4 AS INT) + 1 AS STRING)
               ELSE CAST(CAST((i - i % 4) / 4 AS INT) + 1 AS STRING) || '.' || CAST(i % 4 AS STRING) END AS number,
          {_KEYWORD} || ' ' || lead AS title, (doc_id + i) % 3 = 0 AND mid <> '' AS wrapped
   FROM doc_lines
 )"""
 
-LINES = """
+_TOC_PAGE, _BODY_PAGE = "1 + CAST((i - i % 24) / 24 AS INT)", "1000 + CAST((i - i % 5) / 5 AS INT)"
+_TOC_LINE, _BODY_LINE = "(i % 24) * 4", "(i % 5) * 10"
+_PAGE_NO = "CAST(i + 5 AS STRING)"
+#: Lines that an entry gives rise to: page, place on the page, text, bold, size, and when.
+_RENDERED = (
+    ("0", "0", "'Клинические рекомендации'", "TRUE", "16.0", "i = 0"),
+    ("0", "1", "lead", "FALSE", "11.0", "i = 0"),
+    ("1", "0", "'Оглавление'", "TRUE", "14.0", "i = 0"),
+    ("1", "1", "'Список сокращений ............ 3'", "FALSE", "11.0", "i = 0"),
+    (
+        _TOC_PAGE, f"10 + {_TOC_LINE}",
+        "CASE WHEN i % 7 = 3 AND sub > 0 THEN CAST(ch AS STRING) || '. ' || CAST(sub AS STRING) ELSE number END"
+        " || CASE WHEN doc_id % 2 = 0 THEN '. ' ELSE ' ' END || title"
+        f" || CASE WHEN wrapped THEN '' WHEN doc_id % 2 = 0 THEN ' ............ ' || {_PAGE_NO} ELSE ' ' || {_PAGE_NO} END",
+        "FALSE", "11.0", "TRUE",
+    ),
+    (_TOC_PAGE, f"11 + {_TOC_LINE}", f"mid || CASE WHEN doc_id % 2 = 0 THEN ' ........... ' ELSE ' ' END || {_PAGE_NO}", "FALSE", "11.0", "wrapped"),
+    (_TOC_PAGE, f"12 + {_TOC_LINE}", f"number || ' ' || title || ' ...... ' || {_PAGE_NO}", "FALSE", "11.0", "doc_id % 10 = 0 AND i % 24 = 1"),
+    (
+        _TOC_PAGE, "200", "CASE WHEN doc_id % 4 = 1 THEN 'Приложений 1 к рекомендациям' ELSE 'Приложение А1. Состав рабочей группы' END",
+        "FALSE", "11.0", "i = n - 1",
+    ),
+    (_BODY_PAGE, "0", "CAST(ch AS STRING) || '. Раздел ' || CAST(ch AS STRING)", "TRUE", "9.0", "i % 5 = 0 AND doc_id % 3 = 1"),
+    (
+        _BODY_PAGE, f"10 + {_BODY_LINE}",
+        "CASE WHEN doc_id % 11 = 0 AND i % 5 = 2 THEN '99.9 ' WHEN doc_id % 2 = 0 THEN number || '. ' ELSE number || ' ' END || title",
+        "i % 6 <> 1", "14.0", "TRUE",
+    ),
+    (_BODY_PAGE, f"11 + {_BODY_LINE}", "mid", "TRUE", "14.0", "wrapped"),
+    (_BODY_PAGE, f"12 + {_BODY_LINE}", "line", "FALSE", "11.0", "TRUE"),
+    (_BODY_PAGE, f"13 + {_BODY_LINE}", "'.......... 12'", "FALSE", "11.0", "i % 9 = 4"),
+    (_BODY_PAGE, f"14 + {_BODY_LINE}", "'1) ' || lead", "FALSE", "11.0", "i % 6 = 5"),
+    (_BODY_PAGE, f"15 + {_BODY_LINE}", "mid", "TRUE", "11.0", "i % 4 = 2 AND mid <> ''"),
+    (_BODY_PAGE, "90", _PAGE_NO, "FALSE", "11.0", "i % 5 = 0"),
+)
+_FIELDS = ("page_idx", "ord", "text", "bold", "size")
+_ONE = lambda x: "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(_FIELDS, (*x[:4], f"CAST({x[4]} AS DOUBLE)"))) + ")"
+# one pass over the entries in Spark; a branch for each kind of line in DuckDB
+_SPARK_RAW = f"""
 raw_lines AS (
-  SELECT doc_id, 0 AS page_idx, 0 AS ord, 'Клинические рекомендации' AS text, TRUE AS bold, 16.0 AS size FROM entries WHERE i = 0
-  UNION ALL SELECT doc_id, 0, 1, lead, FALSE, 11.0 FROM entries WHERE i = 0
-  UNION ALL SELECT doc_id, 1, 0, 'Оглавление', TRUE, 14.0 FROM entries WHERE i = 0
-  UNION ALL SELECT doc_id, 1, 1, 'Список сокращений ............ 3', FALSE, 11.0 FROM entries WHERE i = 0
-  UNION ALL SELECT doc_id, 1 + CAST((i - i % 24) / 24 AS INT), 10 + (i % 24) * 4,
-    CASE WHEN i % 7 = 3 AND sub > 0 THEN CAST(ch AS STRING) || '. ' || CAST(sub AS STRING) ELSE number END
-    || CASE WHEN doc_id % 2 = 0 THEN '. ' ELSE ' ' END || title
-    || CASE WHEN wrapped THEN '' WHEN doc_id % 2 = 0 THEN ' ............ ' || CAST(i + 5 AS STRING) ELSE ' ' || CAST(i + 5 AS STRING) END,
-    FALSE, 11.0 FROM entries
-  UNION ALL SELECT doc_id, 1 + CAST((i - i % 24) / 24 AS INT), 11 + (i % 24) * 4,
-    mid || CASE WHEN doc_id % 2 = 0 THEN ' ........... ' ELSE ' ' END || CAST(i + 5 AS STRING), FALSE, 11.0 FROM entries WHERE wrapped
-  UNION ALL SELECT doc_id, 1 + CAST((i - i % 24) / 24 AS INT), 12 + (i % 24) * 4,
-    number || ' ' || title || ' ...... ' || CAST(i + 5 AS STRING), FALSE, 11.0 FROM entries WHERE doc_id % 10 = 0 AND i % 24 = 1
-  UNION ALL SELECT doc_id, 1 + CAST((m - m % 24) / 24 AS INT), 200,
-    CASE WHEN doc_id % 4 = 1 THEN 'Приложений 1 к рекомендациям' ELSE 'Приложение А1. Состав рабочей группы' END, FALSE, 11.0
-    FROM (SELECT doc_id, max(i) AS m FROM entries GROUP BY doc_id) q
-  UNION ALL SELECT doc_id, 1000 + CAST((i - i % 5) / 5 AS INT), 0, CAST(ch AS STRING) || '. Раздел ' || CAST(ch AS STRING), TRUE, 9.0 FROM entries WHERE i % 5 = 0 AND doc_id % 3 = 1
-  UNION ALL SELECT doc_id, 1000 + CAST((i - i % 5) / 5 AS INT), 10 + (i % 5) * 10,
-    CASE WHEN doc_id % 11 = 0 AND i % 5 = 2 THEN '99.9 ' WHEN doc_id % 2 = 0 THEN number || '. ' ELSE number || ' ' END || title, i % 6 <> 1, 14.0 FROM entries
-  UNION ALL SELECT doc_id, 1000 + CAST((i - i % 5) / 5 AS INT), 11 + (i % 5) * 10, mid, TRUE, 14.0 FROM entries WHERE wrapped
-  UNION ALL SELECT doc_id, 1000 + CAST((i - i % 5) / 5 AS INT), 12 + (i % 5) * 10, line, FALSE, 11.0 FROM entries
-  UNION ALL SELECT doc_id, 1000 + CAST((i - i % 5) / 5 AS INT), 13 + (i % 5) * 10, '.......... 12', FALSE, 11.0 FROM entries WHERE i % 9 = 4
-  UNION ALL SELECT doc_id, 1000 + CAST((i - i % 5) / 5 AS INT), 14 + (i % 5) * 10, '1) ' || lead, FALSE, 11.0 FROM entries WHERE i % 6 = 5
-  UNION ALL SELECT doc_id, 1000 + CAST((i - i % 5) / 5 AS INT), 15 + (i % 5) * 10, mid, TRUE, 11.0 FROM entries WHERE i % 4 = 2 AND mid <> ''
-  UNION ALL SELECT doc_id, 1000 + CAST((i - i % 5) / 5 AS INT), 90, CAST(i + 5 AS STRING), FALSE, 11.0 FROM entries WHERE i % 5 = 0
-), text_lines AS (
+  SELECT doc_id, x.* FROM entries LATERAL VIEW explode(array_compact(array({", ".join(f"CASE WHEN {x[5]} THEN {_ONE(x)} END" for x in _RENDERED)}))) t AS x
+)"""
+_DUCK_RAW = f"""
+raw_lines AS ({" UNION ALL ".join(f"SELECT doc_id, {', '.join(f'{v} AS {n}' for n, v in zip(_FIELDS, x))} FROM entries WHERE {x[5]}" for x in _RENDERED)})"""
+LINES = """
+text_lines AS (
   SELECT doc_id, page_idx, CAST(row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY ord) - 1 AS INT) AS line_no,
          text, bold, CAST(size AS DOUBLE) AS size FROM raw_lines
 )"""
@@ -136,7 +155,7 @@ grids AS (
 #: The views that each view stands on, in order.
 NEEDS = {
     "entries": ("lines", "ENTRIES"),
-    "text_lines": ("lines", "ENTRIES", "LINES"),
+    "text_lines": ("lines", "ENTRIES", "raw", "LINES"),
     "words": ("lines", "words", "WORDS"),
     "content": ("lines", "ENTRIES", "CONTENT"),
     "grids": ("GRID", "grid"),
@@ -144,7 +163,7 @@ NEEDS = {
 
 
 def _parts(view: str, spark: bool) -> list[str]:
-    own = {"lines": (_DUCK_LINES, _SPARK_LINES), "words": (_DUCK_WORDS, _SPARK_WORDS), "grid": (_DUCK_GRID, _SPARK_GRID)}
+    own = {"lines": (_DUCK_LINES, _SPARK_LINES), "raw": (_DUCK_RAW, _SPARK_RAW), "words": (_DUCK_WORDS, _SPARK_WORDS), "grid": (_DUCK_GRID, _SPARK_GRID)}
     common = {"ENTRIES": ENTRIES, "LINES": LINES, "WORDS": WORDS, "CONTENT": CONTENT, "GRID": GRID}
     return [own[p][spark] if p in own else common[p] for p in NEEDS[view]]
 
