@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +56,24 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
+        # shuffle files behind a written table are not read again; Spark deletes them once the driver has let go of the plan
+        del df
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return back
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             _delete(self.spark, df._scratch_path)
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """Writes ``df`` and deletes all earlier tables, which nothing may read any more."""
+        earlier = [f"{self.root}/{k}" for k in range(1, self.n + 1)]
+        back = self.keep(df)
+        for path in earlier:
+            _delete(self.spark, path)
+        return back
+
 
 def crc_mod(col: str | Column, m: int) -> Column:
     """``crc32`` of the value as text, modulo ``m``; null ids count as remainder of the empty text."""
@@ -94,13 +107,15 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of ``batch`` with about ``most`` bytes of ``column`` each (one row at least)."""
-    if column not in batch.schema.names or batch.num_rows < 2:
+def slices(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Row ranges of ``batch`` with about ``most`` bytes of ``codes`` or else ``text`` each (one row at least)."""
+    column = next((c for c in ("codes", "text") if c in batch.schema.names), None)
+    if column is None or batch.num_rows < 2:
         yield batch
         return
-    sizes = batch.column(column).cast(pa.large_binary()) if not pa.types.is_large_binary(batch.column(column).type) else batch.column(column)
-    lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
+    values = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.multiply(pc.list_value_length(values), 8) if pa.types.is_list(values.type) else pc.binary_length(values)
+    lengths = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(lengths) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:]):
