@@ -220,7 +220,8 @@ class Join:
         smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
         of = named.join(smallest, "label").select(F.col("fp").alias("_fp"), "component_id")
         out = rows.select("doc_id", "fp", F.col("n").alias("n_shingles")).join(of, F.col("fp") == F.col("_fp"), "left")
-        return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        # the classes are small; what led to them can go
+        return self.scratch.only(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
     def _fits(self, na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
         """Length and positional filter for an n-gram at places ``pa_`` and ``pb`` (from 0) of two ordered sets."""

@@ -238,6 +238,7 @@ def find_repeats(docs: DataFrame, least: int = 400, keep_first: bool = False, wh
     distinct = scratch.keep(distinct.select("ah", "dg", "c", "lead.*"))
     seeds = distinct.groupBy("ah").agg(F.count("*").alias("kinds"), F.sum("c").alias("total")).where("total > 1").drop("total")
     live = scratch.keep(distinct.join(seeds, "ah"))
+    scratch.drop(distinct)
     # contexts that occur twice or more: all their windows are repeated
     twice = live.where("c > 1").select(F.col("ah").alias("_a"), F.col("dg").alias("_g"), F.col("doc_id").alias("ld"), F.col("th").alias("lt"), F.col("s0").alias("ls"))
     copies = runs.join(twice, (F.col("ah") == F.col("_a")) & (F.col("dg") == F.col("_g")))
@@ -251,7 +252,7 @@ def find_repeats(docs: DataFrame, least: int = 400, keep_first: bool = False, wh
     hot = cut.where("hot")
     if not hot.isEmpty():
         marks = marks.unionByName(_crossed(hot, scratch, least, keep_first))
-    per_doc = marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    per_doc = scratch.only(marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")))
     per_doc = per_doc.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash"), F.col("marks").alias("__marks"))
     rows = docs.withColumn("__own", text_hash)
     rows = rows.join(per_doc, (F.col("__own") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc", "__hash", "__own")
