@@ -64,11 +64,11 @@ class Model:
     def fit(cls, texts: list[str], labels: list[int], rounds: int = 150, ridge: float = 1e-6) -> Model:
         """Logistic regression by Adam on the ratio-scaled features; the same rows give the same model.
 
-        Without rows, or with one class only, the score is that share (0.5 without rows) for every text.
+        With one class only the score says that class for every text; without rows nothing counts as toxic.
         """
         y = np.asarray(labels, np.float64)
         if len(y) == 0 or y.min() == y.max():
-            share = 0.5 if len(y) == 0 else (0.98 if y[0] else 0.02)
+            share = 0.98 if len(y) and y[0] else 0.02
             return cls(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
         row, col, val = [], [], []
         for i, t in enumerate(texts):

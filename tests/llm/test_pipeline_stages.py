@@ -3,6 +3,7 @@
 import random
 
 from conftest import DATA
+from pyspark.sql import functions as F
 from test_operators import DOCS, brute_links
 
 import corpus_pipeline as P
@@ -50,3 +51,28 @@ def test_planted_cases(spark, tmp_path):
 def test_whole_run(spark):
     out = P.run(spark, DATA)
     assert {"doc_id", "text", "copy", "target"} <= set(out.columns) and out.count() > 0
+
+
+def odd_tables(spark, tmp_path, rows):
+    spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("clash")).withColumn("toxicity", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    nothing = (None, None, None, None, None)
+    rows = [nothing, nothing, (1, "", None, None, 0), (1, "", None, None, 0), (2, "word " * 30_000, "en", "s", None), (3, None, "en", "s", 0), (4, "a text of its own", "de", None, 17)]
+    docs = odd_tables(spark, tmp_path, rows)
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = {r.doc_id for r in out.collect()}
+        assert 4 in got and got <= {None, 1, 2, 3, 4}, name
+        if name != "mixing":
+            assert out.columns == list(P.COLUMNS) and got == {None, 1, 2, 3, 4}, name
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs = odd_tables(spark, tmp_path, [])
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
