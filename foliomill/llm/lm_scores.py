@@ -118,6 +118,36 @@ class Coder:
         return np.fromiter(map(known.__getitem__, own), np.int32, len(own))
 
 
+    def lists(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        """Codes of each row: the column of that name, or else those of the text."""
+        if "codes" not in batch.schema.names:
+            return [self.codes(t) for t in common.texts(batch)]
+        held = batch.column(batch.schema.get_field_index("codes"))
+        at = np.asarray(held.offsets)
+        return np.split(np.asarray(held.flatten(), np.int32), at[1:-1] - at[0]) if len(held) else []
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The rows of ``docs`` with ``codes`` in place of the text, so that later passes need not read words again."""
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "codes")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "codes array<int>"])
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def make():
+        coder = Coder(shared.value)
+
+        def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists = coder.lists(batch)
+            at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            codes = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
+            names = [f.name for f in kept]
+            return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), codes], names=[*names, "codes"])
+
+        return kernel
+
+    return common.map_arrow(docs.drop("codes"), make, schema)
+
+
 def shapes() -> list[tuple[int, ...]]:
     return [(2 * SIDE, CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
 
@@ -195,7 +225,7 @@ class Trainer:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
-    """Parameters after ``rounds`` of training in all tasks and averaging in the cluster."""
+    """Parameters after ``rounds`` of training in all tasks and averaging in the cluster; ``docs`` may be encoded."""
     spark, flat = docs.sparkSession, start()
     voc = spark.sparkContext.broadcast(vocabulary)
     for _ in range(rounds):
@@ -206,8 +236,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
             around, truth, held = [], [], 0
             for b in batches:
                 for part in common.slices(b):
-                    for t in common.texts(part):
-                        c = coder.codes(t) // BUCKETS
+                    for own in coder.lists(part):
+                        c = own // BUCKETS
                         if not len(c):
                             continue
                         pos = np.arange(len(c) * 7919 % stride % len(c), len(c), stride)
@@ -227,7 +257,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
             del coder, trainer, around, truth
             common.release()
 
-        sums = docs.select("text").mapInArrow(run, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
+        sums = docs.select("codes" if "codes" in docs.columns else "text").mapInArrow(run, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
         flat = flat.copy()
         for r in sums.collect():  # as many rows as the network has parameters
             flat[r.i] = r.x
@@ -235,14 +265,15 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
 
 
 def score_documents(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> DataFrame:
-    """Adds ``n_words``, ``log_prob`` (summed conditional log-probabilities) and ``mean_log_prob`` to every row.
+    """Adds ``n_words``, ``log_prob`` (summed conditional log-probabilities) and ``mean_log_prob`` to every row; ``codes`` go.
 
     Null, empty and blank texts: 0 words, sum 0, mean null. Rows are independent, so repeated rows agree; columns of
     ``docs`` with these names are replaced; an empty table stays empty.
     """
     made = {"n_words": pa.int64(), "log_prob": pa.float64(), "mean_log_prob": pa.float64()}
-    kept = docs.drop(*made)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "n_words long, log_prob double, mean_log_prob double"])
+    rows = docs.drop(*made)
+    kept = [f.name for f in rows.schema.fields if f.name != "codes"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "codes"), "n_words long, log_prob double, mean_log_prob double"])
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))  # a fixed size whatever the corpus
 
     def make():
@@ -251,7 +282,7 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             # texts are scored together, each within its own borders
-            codes = [coder.codes(t) for t in common.texts(batch)]
+            codes = coder.lists(batch)
             n = np.array([len(c) for c in codes], np.int64)
             sums = np.zeros(len(codes))
             if n.sum():
@@ -265,15 +296,18 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -
                     each[a : a + 8192] += logp[np.arange(len(logp)), truth[a : a + 8192]]
                 sums = np.bincount(of, each, len(codes))
             mean = pa.array([s / k if k else None for s, k in zip(sums.tolist(), n.tolist())], pa.float64())
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(sums), mean], names=[*batch.schema.names, *made])
+            own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            return pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(sums), mean], names=[*kept, *made])
 
         return kernel
 
-    return common.map_arrow(kept, make, schema)
+    return common.map_arrow(rows, make, schema)
 
 
 def op10_lm_scores(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = common.Scratch(spark, "lm").keep(word_counts(docs))
+    scratch = common.Scratch(spark, "lm")
+    counts = scratch.keep(word_counts(docs))
     vocabulary = Vocabulary.gather(counts)
-    return score_documents(docs, vocabulary, train(docs, vocabulary)).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+    coded = scratch.only(encode(docs, vocabulary))
+    return score_documents(coded, vocabulary, train(coded, vocabulary)).select("doc_id", "n_words", "log_prob", "mean_log_prob")
