@@ -119,7 +119,8 @@ def _lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def list_items(spark: SparkSession, sf: str) -> DataFrame:
-    each = _lists(spark, sf).select("doc_id", "sec", F.posexplode("lists").alias("list_no", "l"))
+    # outer, and filtered afterwards: else the optimizer would compute the lists once more for a filter of its own
+    each = _lists(spark, sf).select("doc_id", "sec", F.posexplode_outer("lists").alias("list_no", "l")).where("list_no is not null")
     each = each.select("doc_id", "sec", "list_no", F.col("l.type").alias("kind"), F.col("l.topic").alias("topic"), F.posexplode("l.items").alias("item_no", "item"))
     return each.select(*_long("doc_id", "sec", "list_no", "item_no"), "kind", "topic", "item")
 
@@ -158,7 +159,7 @@ def _annotated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def section_tables(spark: SparkSession, sf: str) -> DataFrame:
-    each = _annotated(spark, sf).select("doc_id", "sec_pos", "number", F.posexplode("tables").alias("table_no", "t"))
+    each = _annotated(spark, sf).select("doc_id", "sec_pos", "number", F.posexplode_outer("tables").alias("table_no", "t")).where("table_no is not null")
     cells = F.size(F.flatten("t.rows"))
     return each.select(*_long("doc_id", "sec_pos", "table_no"), "number", F.col("t.caption").alias("caption"), F.size("t.rows").cast("long").alias("n_rows"), cells.cast("long").alias("n_cells"))
 
