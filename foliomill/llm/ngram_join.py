@@ -232,10 +232,11 @@ class Join:
         """Verified links that leave the same components as all links would."""
         keep = self.scratch.keep
         postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-        first = postings.groupBy("token").agg(F.count("*").alias("c"), F.min_by("node", "pos").alias("hub"), F.min_by("n", "pos").alias("hub_n"), F.min("pos").alias("hub_pos"))
-        shared = postings.join(first.where("c > 1").drop("c"), "token")
-        shared = keep(shared)
-        star = shared.where((F.col("node") != F.col("hub")) & self._fits(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")))
+        several = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+        shared = keep(postings.join(several, "token"))
+        hubs = shared.groupBy("token").agg(F.min_by("node", "pos").alias("hub"), F.min_by("n", "pos").alias("hub_n"), F.min("pos").alias("hub_pos"))
+        met = shared.join(hubs, "token")
+        star = met.where((F.col("node") != F.col("hub")) & self._fits(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")))
         star = keep(star.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
         ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = keep(_full_sets(self.docs, nodes.join(ends(star), "node", "left_semi"), self.n))
