@@ -5,9 +5,8 @@ frequent words of the corpus are classes of their own, all others share classes
 in numpy, gives the class of the masked word from the classes around it; within a class a word has its corpus
 frequency. The sum of these conditional log-probabilities over all positions scores the document.
 
-Word counts cover the whole corpus. Training is data-parallel: each task trains on positions of each of its documents
-(one in ``STRIDE``, so the training set grows with the corpus) from common parameters, and the cluster averages the
-parameters, weighted by positions, in every round.
+Word counts cover the whole corpus. Training is data-parallel: each task trains on every position of each of its
+documents from common parameters, and the cluster averages the parameters, weighted by positions, in every round.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from . import common
 TOP, ENDINGS, BUCKETS = 95, 32, 8192
 CLASSES = TOP + ENDINGS + 1  # the last one stands outside a text
 OUTSIDE = CLASSES - 1
-SIDE, HIDDEN, STRIDE, ROUNDS = 2, 32, 16, 2
+SIDE, HIDDEN, STRIDE, ROUNDS = 2, 32, 1, 2
 #: Distinct words that a counting task holds before it hands its counts on.
 FLUSH = 150_000
 CACHE = 250_000

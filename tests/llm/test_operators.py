@@ -506,6 +506,16 @@ def test_scores_are_sums_of_conditionals(spark):
     assert lm_scores.score_documents(docs(spark, "a").limit(0), voc, flat).count() == 0
 
 
+def test_training_takes_every_position(spark):
+    rows = docs(spark, *[" ".join(f"{'abcdefgh'[(i + j) % 8]}{j % 16}" for j in range(16 * i)) for i in range(1, 9)]).coalesce(1)
+    voc = lm_scores.Vocabulary.gather(lm_scores.word_counts(rows))
+    classes = [np.array([voc.code(w) // lm_scores.BUCKETS for w in lm_scores.words(r.text)], np.int32) for r in rows.collect()]
+    trainer = lm_scores.Trainer(lm_scores.start())
+    trainer.learn(np.concatenate([lm_scores.windows(c) for c in classes]), np.concatenate(classes))
+    assert trainer.seen == 16 * 36
+    assert np.allclose(lm_scores.train(rows, voc, rounds=1), trainer.flat, atol=1e-6)
+
+
 def test_word_counts_cover_everything(spark, texts):
     got = {r.word: r.n for r in lm_scores.word_counts(all_docs(spark)).collect()}
     want = collections.Counter(lm_scores.word_hash(w) for t in texts.values() for w in lm_scores.words(t))
