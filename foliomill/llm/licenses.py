@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-A text becomes a line of lower-case words. Each rule is a regex over that line with a label, a priority and a keyword.
-Rules whose keyword is absent are never run; a text without any keyword is never turned into words at all. Matches
-become intervals; one that lies within another of the same or a higher priority is suppressed. Everything happens
+A text becomes a line of lower-case words. Each rule is a regex over that line with a label, a priority and keywords
+that all of its matches hold. Rules whose keywords are absent are never run; a text that can hold no match of any rule is
+never turned into words at all. Matches become intervals; one that lies within another of the same or a higher priority is suppressed. Everything happens
 within a row (higher-order functions over arrays): no shuffle, no join, no Python on the executors.
 
 The rules are generated: every licence family is crossed with the ways in which texts name a licence.
@@ -10,6 +10,8 @@ The rules are generated: every licence family is crossed with the ways in which
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,44 +91,64 @@ def _version(v: str) -> str:
     return f"(?: version| v| ver)? ?v?{number}"
 
 
-def rules() -> list[tuple[str, str, int, str]]:
-    """(label, regex, priority, keyword) of all rules; a rule runs only on lines that hold its keyword."""
-    out: list[tuple[str, str, int, str]] = []
+def _needs(regex: str) -> tuple[str, ...]:
+    """For each alternative of ``regex`` the longest words that all of its matches hold; a space ahead where they start a match."""
+    alternatives, depth = [""], 0
+    for c in regex:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            alternatives.append("")
+        else:
+            alternatives[-1] += c
+    out = []
+    for x in alternatives:
+        x = " " + x.removeprefix("(?:gnu )?")
+        while "(" in x:  # innermost groups first
+            x = re.sub(r"\([^()]*\)", "\0", x)
+        out.append(max(re.split("\0+", re.sub(r"\[[^]]*\]|.\?", "\0", x)), key=len))
+    return tuple(dict.fromkeys(out))
+
+
+def rules() -> list[tuple[str, str, int, tuple[tuple[str, ...], ...]]]:
+    """(label, regex, priority, keywords) of all rules; every match holds one keyword at least of each group of keywords.
+    """
+    out: list[tuple[str, str, int, tuple[tuple[str, ...], ...]]] = []
     for label, name, versions in FAMILIES:
-        spoken = label.replace("-", " ")
+        spoken, named = label.replace("-", " "), _needs(name)
         for v in versions:
-            out.append((f"{label}-{v}", f"(?:{name})(?: licen[cs]e)?{_version(v)}(?: or (?:any )?later)?", EXACT, "licen"))
-            out.append((f"{label}-{v}", f"spdx licen[cs]e identifier {spoken} {v.replace('.', ' ')}(?: only| or later)?", EXACT, "spdx"))
-        out.append((label, f"spdx licen[cs]e identifier {spoken}", NAMED if versions else EXACT, "spdx"))
-        out.append((label, f"(?:{name})(?: style)?(?: open source)? licen[cs]es?", NAMED, "licen"))
-        out.append((label, f"{_LICENSED} (?:{name})", NAMED, "under"))
-        out.append((label, f"licen[cs]e (?:{name})", HINT, "licen"))
-    out += [(x, x, HINT, x) for x in ("wtfpl", "unlicense", "cecill")]
+            out.append((f"{label}-{v}", f"(?:{name})(?: licen[cs]e)?{_version(v)}(?: or (?:any )?later)?", EXACT, (named,)))
+            out.append((f"{label}-{v}", f"spdx licen[cs]e identifier {spoken} {v.replace('.', ' ')}(?: only| or later)?", EXACT, ((" spdx licen",), (f" {spoken}",))))
+        out.append((label, f"spdx licen[cs]e identifier {spoken}", NAMED if versions else EXACT, ((" spdx licen",), (f" {spoken}",))))
+        out.append((label, f"(?:{name})(?: style)?(?: open source)? licen[cs]es?", NAMED, ((" licen",), named)))
+        out.append((label, f"{_LICENSED} (?:{name})", NAMED, ((" under",), named)))
+        out.append((label, f"licen[cs]e (?:{name})", HINT, ((" licen",), named)))
+    own = [(x, x, HINT) for x in ("wtfpl", "unlicense", "cecill")]
     for short in ("gpl", "lgpl", "agpl"):
         for v in ("2", "3"):
-            out.append((f"{short}-{v}.0", f"(?:gnu )?{short} ?v?{v}(?: 0)?", EXACT, "gpl"))
-        out.append((short, f"gnu {short}", NAMED, "gpl"))
+            own.append((f"{short}-{v}.0", f"(?:gnu )?{short} ?v?{v}(?: 0)?", EXACT))
+        own.append((short, f"gnu {short}", NAMED))
     for elements in CC_ELEMENTS:
         label = "cc-" + elements.replace(" ", "-")
         long = "creative commons " + " ".join(CC_WORDS[e] for e in elements.split())
         for v in CC_VERSIONS:
             number = v.replace(".", " ?").replace(" ?0", "(?: 0)?")
-            out.append((f"{label}-{v}", f"cc {elements} {number}", EXACT, "cc by"))
-            out.append((f"{label}-{v}", f"{long}(?: licen[cs]e)? {number}", EXACT, "creative commons"))
-            out.append((f"{label}-{v}", f"creativecommons org licen[cs]es {elements} {v.replace('.', ' ')}", EXACT, "creativecommons"))
-        out.append((label, f"cc {elements}", NAMED, "cc by"))
-        out.append((label, long, NAMED, "creative commons"))
-    out += [
-        ("cc0-1.0", "cc0(?: 1 0)?|cc zero(?: 1 0)?|creative commons zero", EXACT, "cc"),
-        ("cc", "creative commons(?: licen[cs]es?)?", HINT, "creative commons"),
-        ("public-domain", "(?:in|into|to) the public domain|public domain(?: dedication| mark)", NAMED, "public domain"),
-        ("all-rights-reserved", "all rights reserved", NAMED, "rights reserved"),
-        ("mit", "permission is hereby granted free of charge to any person obtaining a copy", NAMED, "hereby granted"),
-        ("isc", "permission to use copy modify and or distribute this software for any purpose", NAMED, "permission to use"),
-        ("bsd", "redistribution and use in source and binary forms", NAMED, "redistribution and use"),
-        ("proprietary", "proprietary and confidential|proprietary licen[cs]e", NAMED, "proprietary"),
-        ("copyleft", "copyleft", HINT, "copyleft"),
+            own.append((f"{label}-{v}", f"cc {elements} {number}", EXACT))
+            own.append((f"{label}-{v}", f"{long}(?: licen[cs]e)? {number}", EXACT))
+            own.append((f"{label}-{v}", f"creativecommons org licen[cs]es {elements} {v.replace('.', ' ')}", EXACT))
+        own.append((label, f"cc {elements}", NAMED))
+        own.append((label, long, NAMED))
+    own += [
+        ("cc0-1.0", "cc0(?: 1 0)?|cc zero(?: 1 0)?|creative commons zero", EXACT),
+        ("cc", "creative commons(?: licen[cs]es?)?", HINT),
+        ("public-domain", "(?:in|into|to) the public domain|public domain(?: dedication| mark)", NAMED),
+        ("all-rights-reserved", "all rights reserved", NAMED),
+        ("mit", "permission is hereby granted free of charge to any person obtaining a copy", NAMED),
+        ("isc", "permission to use copy modify and or distribute this software for any purpose", NAMED),
+        ("bsd", "redistribution and use in source and binary forms", NAMED),
+        ("proprietary", "proprietary and confidential|proprietary licen[cs]e", NAMED),
+        ("copyleft", "copyleft", HINT),
     ]
+    out += [(a, b, c, (_needs(b),)) for a, b, c in own]
     return [(a, f"(?<= )(?:{b})(?= )", c, d) for a, b, c, d in out]
 
 
@@ -154,13 +176,14 @@ def _spans(line: Column, rule: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), (-rule["priority"]).alias("np"), rule["label"].alias("label")))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, prefilter: bool = True) -> DataFrame:
     """Adds to every row: ``n_words``, ``places`` (start word and label of each base phrase), ``detections`` (label,
     start and end character in the line of words, priority; after suppression), ``base_labels``, ``labels``, ``score``.
 
     ``score`` is the confidence of the best detection (1 exact version or identifier, 0.8 named, 0.4 hinted, 0 none).
     Null and empty texts: no words, no labels, score 0. Rows are independent: repeated rows get equal results, an empty
-    table stays empty, columns of ``docs`` with the names of result columns are replaced.
+    table stays empty, columns of ``docs`` with the names of result columns are replaced. ``prefilter`` only saves time:
+    without it every rule runs on every text, with equal results.
     """
     made = ("n_words", "places", "detections", "base_labels", "labels", "score")
     rows = docs.drop(*made)
@@ -168,7 +191,7 @@ def scan(docs: DataFrame) -> DataFrame:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = F.regexp_extract_all(F.translate(text, upper, upper.lower()), F.lit(WORD), F.lit(0))
     rows = rows.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
-    rows = rows.withColumn("_words", F.when(text.rlike(GATE), words))
+    rows = rows.withColumn("_words", F.when(text.rlike(GATE), words) if prefilter else words)
 
     def place(w: Column, i: Column) -> Column:
         out = None
@@ -185,9 +208,9 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<word:bigint,label:string>>")
     rows = rows.withColumn("places", F.coalesce(places, none))
     rows = rows.withColumn("_line", F.when(F.size("_words") > 0, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))))
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("regex"), F.lit(c).alias("priority"), F.lit(d).alias("keyword")) for a, b, c, d in rules()])
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("regex"), F.lit(c).alias("priority"), F.array(*[F.array(*map(F.lit, g)) for g in d]).alias("keywords")) for a, b, c, d in rules()])
     line = F.col("_line")
-    active = F.filter(table, lambda r: F.contains(line, r["keyword"]))
+    active = F.filter(table, lambda r: F.forall(r["keywords"], lambda g: F.exists(g, lambda k: F.contains(line, k)))) if prefilter else table
     found = F.when(line.isNotNull(), F.array_sort(F.flatten(F.transform(active, lambda r: _spans(line, r)))))
     rows = rows.withColumn("_found", found)
 

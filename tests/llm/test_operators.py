@@ -436,6 +436,12 @@ def test_license_cases(spark):
     assert licenses.scan(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_license_names_without_the_word(spark):
+    cases = {"Released under the Apache 2.0.": ("apache,apache-2.0", 1.0)}
+    got = licenses.scan(docs(spark, *cases)).orderBy("doc_id").collect()
+    assert [(",".join(r.labels), r.score) for r in got] == list(cases.values())
+
+
 def test_rules_are_many_and_native(spark):
     assert len(licenses.rules()) > 200
     plan = licenses.scan(docs(spark, "a"))._jdf.queryExecution().toString()
