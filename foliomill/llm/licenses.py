@@ -111,6 +111,8 @@ def _needs(regex: str) -> tuple[str, ...]:
 
 def rules() -> list[tuple[str, str, int, tuple[tuple[str, ...], ...]]]:
     """(label, regex, priority, keywords) of all rules; every match holds one keyword at least of each group of keywords.
+
+    The first group is the one that ``GATE`` is made of.
     """
     out: list[tuple[str, str, int, tuple[tuple[str, ...], ...]]] = []
     for label, name, versions in FAMILIES:
@@ -152,11 +154,19 @@ def rules() -> list[tuple[str, str, int, tuple[tuple[str, ...], ...]]]:
     return [(a, f"(?<= )(?:{b})(?= )", c, d) for a, b, c, d in out]
 
 
-#: A text with none of these holds no base phrase and no keyword of a rule that can match.
-GATE = (
-    f"(?i)licen[cs]|spdx|gpl|wtfpl|cecill|copyleft|cc0|creativecommons|cc{_GAP}(?:by|zero)|creative{_GAP}commons|public{_GAP}domain|rights{_GAP}reserved"
-    f"|hereby{_GAP}granted|permission{_GAP}to{_GAP}use|redistribution{_GAP}and{_GAP}use|proprietary|under{_GAP}(?:the|{'|'.join(sorted({f[0].split('-')[0] for f in FAMILIES}))})"
-)
+def _gate() -> str:
+    """A regex that finds something in every text whose line holds a match of a rule or a base phrase."""
+    keys = {k for *_, groups in rules() for k in groups[0]} | {f" {x}" for x in BASE}
+    keys = sorted(k for k in keys if not any(x != k and x in k for x in keys) and k != " under")
+    # whatever starts a word is told by what stands before it; the words that lead to "under" are those of _LICENSED
+    start = [k[1:].replace(" ", _GAP) for k in keys if k[0] == " "]
+    start.append(f"(?:released|distributed|published|available|provided){_GAP}(?:{WORD}{_GAP}){{0,2}}under")
+    inside = [k.replace(" ", _GAP) for k in keys if k[0] != " "]
+    return "(?i)" + "|".join([f"(?<!{WORD.removesuffix('+')})(?:{'|'.join(start)})", *inside])
+
+
+#: A text in which this finds nothing holds no base phrase and no match of a rule.
+GATE = _gate()
 
 
 def _spans(line: Column, rule: Column) -> Column:

@@ -436,12 +436,46 @@ def test_license_cases(spark):
     assert licenses.scan(docs(spark, "a").limit(0)).count() == 0
 
 
+def sample(parsed, rng):
+    """A random string that a parsed regex matches."""
+    out = ""
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            out += "w" if str(x[0][0]) == "CATEGORY" else chr(rng.choice(x)[1])
+        elif op == "MAX_REPEAT":
+            out += "".join(sample(x[2], rng) for _ in range(rng.randint(x[0], min(x[1], x[0] + 2))))
+        elif op == "BRANCH":
+            out += sample(rng.choice(x[1]), rng)
+        elif op == "SUBPATTERN":
+            out += sample(x[3], rng)
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
 def test_license_names_without_the_word(spark):
-    cases = {"Released under the Apache 2.0.": ("apache,apache-2.0", 1.0)}
+    cases = {
+        "Released under the Apache 2.0.": ("apache,apache-2.0", 1.0), "MPL 2.0 or later": ("mpl-2.0", 1.0), "EPL 2.0": ("epl-2.0", 1.0), "LGPL 2.1": ("lgpl-2.1", 1.0),
+        "Released under terms of the BSD": ("bsd", 0.8), "available under terms of MIT": ("mit", 0.8), "Creative Commons Zero": ("cc0-1.0", 1.0),
+        "distributed under 3-clause BSD": ("bsd-3-clause", 0.8), "published (as is) under original BSD": ("bsd-4-clause", 0.8), "a simple example under review": ("", 0.0),
+    }
     got = licenses.scan(docs(spark, *cases)).orderBy("doc_id").collect()
     assert [(",".join(r.labels), r.score) for r in got] == list(cases.values())
 
 
+def test_license_prefilter_loses_nothing(spark):
+    from re import _parser
+
+    rng = random.Random(8)
+    # each text is a match of one rule and nothing else
+    rows = docs(spark, *[sample(_parser.parse(regex), rng).replace(" ", rng.choice([" ", "-", "\n", ". "])).title() for _, regex, *_ in licenses.rules() for _ in range(3)])
+    got, want = (licenses.scan(rows.repartition(4), x).orderBy("doc_id").collect() for x in (True, False))
+    assert all(r.labels for r in want) and got == want
+
+
 def test_rules_are_many_and_native(spark):
     assert len(licenses.rules()) > 200
     plan = licenses.scan(docs(spark, "a"))._jdf.queryExecution().toString()
