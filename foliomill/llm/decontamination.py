@@ -7,12 +7,14 @@ block maxima of its words rule out blocks of items, then WAND with block maxima
 threshold. A hit counts when the words around it hold enough of the item's question and of its answer.
 
 The index is cut into shards of at most ``SHARD`` chunks, which bounds what is broadcast; a larger benchmark means more
-passes over the texts within the same narrow stage, never a larger broadcast.
+passes over the texts within the same narrow stage, never a larger broadcast. Document frequencies and lengths are those
+of the whole benchmark in every shard.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -72,9 +74,10 @@ class Index:
     parts: dict[int, tuple[list[str], list[str]]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, chunks: list[tuple[int, list[str]]], parts: dict[int, tuple[list[str], list[str]]]) -> Index:
+    def build(cls, chunks: list[tuple[int, list[str]]], parts: dict[int, tuple[list[str], list[str]]], whole: tuple[int, float, dict[str, int]] | None = None) -> Index:
+        """``whole``: number of chunks, their mean length and how many hold each word, where there are more than ``chunks``."""
         n = len(chunks)
-        mean = sum(len(c) for _, c in chunks) / max(1, n)
+        total, mean, holding = whole or (n, sum(len(c) for _, c in chunks) / max(1, n), {})
         tf: dict[str, dict[int, int]] = {}
         for k, (_, c) in enumerate(chunks):
             for w in c:
@@ -84,7 +87,8 @@ class Index:
         for w, places in tf.items():
             at = np.fromiter(places, np.int64, len(places))
             f = np.fromiter(places.values(), np.float64, len(places))
-            idf = np.log(1 + (n - len(at) + 0.5) / (len(at) + 0.5))
+            df = holding.get(w, len(at))
+            idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
             x = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * np.array([len(chunks[k][1]) for k in at]) / mean))
             self_score[at] += x
             raw.append((w, at, x))
@@ -146,28 +150,66 @@ class Index:
         cursors[:] = [c for c in cursors if c[0] >= 0]
 
 
+def cut(text: str) -> tuple[list[str], list[str], list[list[str]]]:
+    """Question, answer and chunks of an item."""
+    question, answer = split_item(text)
+    every = question + answer
+    pieces = -(-len(every) // CHUNK)
+    cuts = [len(every) * k // pieces for k in range(pieces + 1)] if pieces else [0]
+    return question, answer, [every[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def statistics(items: DataFrame) -> DataFrame:
+    """(word, n, length): in how many chunks of all ``items`` a word stands; the row of the null word has the number of chunks and of their words."""
+
+    def run(batches):
+        for b in batches:
+            for part in common.slices(b):
+                held, length = Counter(), 0
+                for t in common.texts(part):
+                    for c in cut(t)[2]:
+                        held.update({None, *c})
+                        length += len(c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64()), pa.array([0 if w is not None else length for w in held], pa.int64())],
+                    names=["word", "n", "length"],
+                )
+
+    return items.select("text").mapInArrow(run, "word string, n long, length long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+
+
 def shards(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of at most ``SHARD`` chunks, one at a time; items are streamed to the driver. Items without words hold nothing."""
+    spark = benchmark.sparkSession
     chunks: list[tuple[int, list[str]]] = []
     parts: dict[int, tuple[list[str], list[str]]] = {}
+    counted, total, mean = None, 0, 0.0
     rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").dropDuplicates(["item_id", "text"])
+
+    def build() -> Index:
+        if counted is None:
+            return Index.build(chunks, parts)
+        own = spark.createDataFrame([(w,) for w in sorted({w for _, c in chunks for w in c})], "word string")
+        return Index.build(chunks, parts, (total, mean, {r.word: r.n for r in counted.join(F.broadcast(own), "word").collect()}))
+
     taken = 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
-        question, answer = split_item(r.text)
-        every = question + answer
-        if not every:
+        question, answer, own = cut(r.text)
+        if not own:
             continue
-        pieces = -(-len(every) // CHUNK)
-        if chunks and len(chunks) + pieces > SHARD:
-            yield Index.build(chunks, parts)
+        if chunks and len(chunks) + len(own) > SHARD:
+            if counted is None:
+                counted = common.Scratch(spark, "leaks").keep(statistics(rows))
+                whole = counted.where(F.col("word").isNull()).first()
+                total, mean = whole.n, whole.length / whole.n
+            yield build()
             chunks, parts = [], {}
         key = taken  # several texts may share an item_id
         taken += 1
         parts[key] = (r.item_id, question, answer)
-        cuts = [len(every) * k // pieces for k in range(pieces + 1)]
-        chunks += [(key, every[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        chunks += [(key, c) for c in own]
     if chunks:
-        yield Index.build(chunks, parts)
+        yield build()
 
 
 def leaks_in(texts: list[str], index: Index, threshold: float, overlap: float) -> list[list[tuple]]:

@@ -260,6 +260,20 @@ def test_shards_cover_a_large_benchmark(spark, monkeypatch):
     assert {r.doc_id: [x.item_id for x in r.leaks] for r in got} == {i: [i] for i in range(10)}
 
 
+def test_shards_share_statistics(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choice(["the", "of", "and", f"q{i}x{k}"]) for k in range(40))) for i in range(10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    edited = docs(spark, *[" ".join("new" if k % 9 == 4 else w for k, w in enumerate(t.split())) for _, t in items])
+    found = {}
+    for shard in (512, 3):
+        monkeypatch.setattr(decontamination, "SHARD", shard)
+        got = decontamination.find_leaks(edited, bench, 0.3, 0.0).collect()
+        found[shard] = {(r.doc_id, x.item_id, x.word): x.score for r in got for x in r.leaks}
+    assert found[3].keys() == found[512].keys() and any(x < 0.99 for x in found[512].values())
+    assert found[3] == pytest.approx(found[512])
+
+
 # 5 suffix-array dedup
 
 
