@@ -73,7 +73,7 @@ def _blocks(rows: DataFrame, d: int, size: int, parts: int) -> DataFrame:
                 x = m[a : a + size]
                 longest = float(np.sqrt((x[0] * x[0]).sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([longest]), pa.array([len(x)], pa.int64()), pa.array([i[a : a + size].astype("<i8").tobytes()]), pa.array([x.astype("<i4").tobytes()])],
+                    [pa.array([longest]), pa.array([len(x)], pa.int64()), pa.array([i[a : a + size].astype("<i8").tobytes()]), pa.array([x.astype("<i8").tobytes()])],
                     names=["longest", "rows", "ids", "vecs"],
                 )
 
@@ -99,10 +99,13 @@ def _search(pairs: DataFrame, d: int, k: int, basis: np.ndarray, head: int) -> D
         for b in batches:
             for r in b.to_pylist():
                 qi, ci = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                q, c = (np.frombuffer(r[x], "<i4").reshape(-1, d).astype(np.float64) for x in ("q_vecs", "vecs"))
+                q_whole, c_whole = (np.frombuffer(r[x], "<i8").reshape(-1, d) for x in ("q_vecs", "vecs"))
+                q, c = q_whole.astype(np.float64), c_whole.astype(np.float64)
                 floor = np.frombuffer(r["floors"], "<f8") if r["floors"] is not None else np.full(len(qi), -np.inf)
                 qn, cn = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
-                slack = 1e-9 * (1 + qn.max(initial=0) * cn.max(initial=0))
+                largest = qn.max(initial=0) * cn.max(initial=0)
+                slack = 1e-9 * (1 + largest)
+                small = largest < 2**52  # doubles hold these sums exactly; others need 64-bit integers
                 # lengths: each query sees a prefix of the block
                 reach = np.where(np.isinf(floor) | (floor <= 0), len(c), [np.searchsorted(-cn, -(f - slack) / max(n, 1e-300), "right") for f, n in zip(floor, qn)])
                 most = int(reach.max(initial=0))
@@ -115,13 +118,13 @@ def _search(pairs: DataFrame, d: int, k: int, basis: np.ndarray, head: int) -> D
                 out_q, out_c, out_s = [], [], []
                 for i in np.flatnonzero(live.any(1)):
                     at = np.flatnonzero(live[i])
-                    s = c[at] @ q[i]  # whole numbers below 2**53: exact
-                    keep = s >= floor[i]
+                    s = (c[at] @ q[i]).astype(np.int64) if small else c_whole[at] @ q_whole[i]
+                    keep = s >= (floor[i] if small else floor[i] - slack)  # a larger threshold may have been rounded
                     at, s = at[keep], s[keep]
                     best = np.lexsort((ci[at], -s))[:k]
                     out_q.append(np.full(len(best), qi[i]))
                     out_c.append(ci[at[best]])
-                    out_s.append(s[best].astype(np.int64))
+                    out_s.append(s[best])
                 if out_q:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_q, out_c, out_s)], names=["query_id", "vec_id", "score"])
 

@@ -527,6 +527,14 @@ def test_topk_edges(spark):
     assert topk.topk(df, F.col("vec_id") == 7).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    vecs = [[float(2**23), 1.0], [float(2**23), 2.0], [float(2**22), 3.0], [-float(2**23) - 1.0, 5.0], [1.0, 2.0]]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    dot = lambda a, b: sum(int(256 * x) * int(256 * y) for x, y in zip(vecs[a], vecs[b]))
+    want = sorted((-dot(0, b), b) for b in range(1, 5))
+    assert sorted(map(tuple, topk.topk(df, F.col("vec_id") == 0).collect())) == [(0, k + 1, b, -s) for k, (s, b) in enumerate(want)]
+
+
 # 10 LM scores
 
 
