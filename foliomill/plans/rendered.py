@@ -186,9 +186,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw tables on body pages: every grid goes to a page of the document that its order number points at.
+    """Raw tables on body pages: the grid of order k goes to every page of document k.
 
-    Orders are spread over all (document, page) pairs by rank, so each table lands on a page that exists.
+    Grids of orders whose number is no document's id land on no page.
     """
     pages = view(spark, sf_dir, "words").select("doc_id", "page_idx").distinct()
     boxes = F.struct(F.lit(0.0).alias("x0"), F.lit(43.5).alias("top"), F.lit(500.0).alias("x1"), F.lit(90.0).alias("bottom"))
