@@ -29,6 +29,8 @@ from .components import components
 
 SKETCH_BITS, SKETCH_BLOCKS = 20, 256
 CACHE = 400_000
+#: Where sets are cut for the suffix filter: sixteen equal ranges of hashes.
+CUTS = np.uint64(1 << 60) * np.arange(1, 16, dtype=np.uint64)
 _MULTIPLIERS = (np.random.default_rng(20240607).integers(1, 1 << 62, 64, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 #: Ratio of neighbouring length classes in the last join.
 LENGTH_STEP = 1.03
@@ -113,18 +115,20 @@ class Threshold:
 
 
 def _sets(docs: DataFrame, n: int, t: Threshold, counts: np.ndarray) -> DataFrame:
-    """(doc_id, fp, n, prefix): fingerprint and size of each row's set, its rarest n-grams first."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.uint32))
+    """(doc_id, th, fp, n, parts, prefix): text hash, fingerprint, size and part sizes of each row's set, its rarest n-grams first."""
+    # only the order of the counts matters: as ranks they fit 20 bits whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(np.unique(counts, return_inverse=True)[1].astype(np.uint32))
 
     def make():
         table, shingler = shared.value, Shingler(n)
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps, sizes, prefixes = [], [], []
+            fps, sizes, parts, prefixes = [], [], [], []
             for text in common.texts(batch):
                 s = shingler(text)
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sizes.append(len(s))
+                parts.append(np.diff(np.searchsorted(s, CUTS), prepend=0, append=len(s)).astype(np.int32))
                 if len(s):
                     seen = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                     order = np.argsort((seen << np.uint64(40)) | (s >> np.uint64(24)), kind="stable")
@@ -133,11 +137,12 @@ def _sets(docs: DataFrame, n: int, t: Threshold, counts: np.ndarray) -> DataFram
                     prefixes.append(np.zeros(0, np.int64))
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "fp", "n", "prefix"])
+            cols = [batch.column("doc_id"), batch.column("th"), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int32())), lists]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "fp", "n", "parts", "prefix"])
 
         return kernel
 
-    return common.map_arrow(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary, n long, prefix array<bigint>")
+    return common.map_arrow(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp binary, n long, parts array<int>, prefix array<bigint>")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -175,13 +180,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(x) + len(y)
-                need = -(-both * num // (num + den))
-                # suffix filter: sets cut at the same values differ by at least the differences of their part sizes
-                cuts = np.uint64(1 << 60) * np.arange(1, 16, dtype=np.uint64)
-                apart = np.abs(np.diff(np.searchsorted(x, cuts), prepend=0, append=len(x)) - np.diff(np.searchsorted(y, cuts), prepend=0, append=len(y))).sum()
-                if both - apart < 2 * need:
-                    keep.append(False)
-                    continue
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 common_n = int((x[at] == y).sum())
@@ -204,19 +202,23 @@ def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame
 
 class Join:
     def __init__(self, docs: DataFrame, n: int, t: Threshold):
-        self.docs, self.n, self.t = docs.select("doc_id", "text"), n, t
+        self.docs, self.n, self.t = docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), n, t
         self.scratch = common.Scratch(docs.sparkSession, "ngrams")
 
-    def classes(self) -> DataFrame:
+    def classes(self, by_row: bool = False) -> DataFrame:
+        """(doc_id, n_shingles, component_id), or for ``by_row`` (doc_id, th, n_shingles, label) with the class's own number."""
         keep = self.scratch.keep
         rows = keep(_sets(self.docs, self.n, self.t, sketch(self.docs, self.n)))
         full = rows.where("n > 0")
-        nodes = full.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        nodes = full.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix"))
         nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()))
         links = self._links(nodes)
         labels = components(links, self.scratch)
         named = nodes.select("node", "fp", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = keep(named.select("fp", "doc", "label"))
+        if by_row:
+            of = named.select(F.col("fp").alias("_fp"), "label")
+            return self.scratch.only(rows.select("doc_id", "th", "fp", F.col("n").alias("n_shingles")).join(of, F.col("fp") == F.col("_fp"), "left").drop("fp", "_fp"))
         smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
         of = named.join(smallest, "label").select(F.col("fp").alias("_fp"), "component_id")
         out = rows.select("doc_id", "fp", F.col("n").alias("n_shingles")).join(of, F.col("fp") == F.col("_fp"), "left")
@@ -237,18 +239,25 @@ class Join:
         hubs = shared.groupBy("token").agg(F.min_by("node", "pos").alias("hub"), F.min_by("n", "pos").alias("hub_n"), F.min("pos").alias("hub_pos"))
         met = shared.join(hubs, "token")
         star = met.where((F.col("node") != F.col("hub")) & self._fits(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")))
-        star = keep(star.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+        star = keep(self._near(star.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), nodes))
         ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = keep(_full_sets(self.docs, nodes.join(ends(star), "node", "left_semi"), self.n))
         links = keep(_verified(star, sets, self.t))
         labels = components(links, self.scratch)
-        rest = keep(self._apart(shared, labels).join(star, ["a", "b"], "left_anti"))
+        rest = keep(self._near(self._apart(shared, labels).join(star, ["a", "b"], "left_anti"), nodes))
         if rest.isEmpty():
             return links
         more = ends(rest).join(sets, "node", "left_anti")
         sets = sets.unionByName(_full_sets(self.docs, nodes.join(more, "node", "left_semi"), self.n))
         return links.unionByName(_verified(rest, sets, self.t))
 
+    def _near(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Suffix filter, before any set moves: sets cut at the same hashes differ by at least the differences of their part sizes."""
+        own = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("parts").alias(f"p{k}"))
+        rows = pairs.join(own("a"), "a").join(own("b"), "b")
+        differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
+        return rows.where(F.col("na") + F.col("nb") - differ >= 2 * self.t.need(F.col("na"), F.col("nb"))).select("a", "b")
+
     def _apart(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
         """Candidate pairs in different components that share a prefix n-gram and pass the length and positional bounds."""
         t = self.t
@@ -274,14 +283,23 @@ class Join:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the document with the smallest doc_id stays, once.
+    """The rows of ``docs`` without near copies: of each class the row with the smallest doc_id stays, null last.
 
-    Rows without words stay. Of several equal rows with that doc_id one stays (the smallest text). All columns stay.
+    Of several texts with that doc_id the one with the smallest hash stays. Rows without words link with nothing and
+    stay. Rows equal in doc_id and text count as one row. All columns stay.
     """
-    rows = linked(docs, n, num, den).where("n_shingles > 0")
-    drop = rows.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_d")).distinct()
-    left = docs.join(drop, F.col("doc_id") == F.col("_d"), "left_anti")
-    return left.dropDuplicates([c for c in ("doc_id", "text") if c in left.columns])
+    docs = docs.drop("__own")
+    rows = Join(docs, n, Threshold(num, den)).classes(by_row=True)
+    first = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    members = rows.where("n_shingles > 0")
+    stays = members.groupBy("label").agg(F.min(first).alias("w"))
+    goes = members.join(stays, "label").where(~first.eqNullSafe(F.col("w"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
+    again = rows.groupBy("doc_id", "th").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
+    same = (F.col("__own") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    left = docs.withColumn("__own", F.xxhash64("text")).join(goes, same, "left_anti")
+    if again.isEmpty():  # else texts would move for nothing
+        return left.drop("__own")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).drop("__own")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
