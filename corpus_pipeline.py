@@ -45,9 +45,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once per copy (``copy`` counts from 1), with their size and their source's target."""
-    rows = docs.select(*COLUMNS).withColumns({"_k": F.xxhash64("doc_id", "text"), "_l": F.xxhash64("text", "doc_id")})
+    every = [F.col(c) for c in COLUMNS] + [F.col(c).isNull() for c in COLUMNS]
+    rows = docs.select(*COLUMNS).withColumns({"_k": F.xxhash64(*every), "_l": F.xxhash64(*reversed(every))})
     mixed = mixing.mix(rows.select("doc_id", "text", "source", "_k", "_l"))
-    taken = mixed.groupBy("_k", "_l").agg(F.sum("copies").alias("copies"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    # only rows equal in every column share a key
+    taken = mixed.groupBy("_k", "_l").agg(F.sum("copies").alias("copies"), F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
     out = rows.dropDuplicates(["_k", "_l"]).join(taken.where("copies > 0"), ["_k", "_l"])
     return out.select(*COLUMNS, "size", "source_size", "target", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
 
