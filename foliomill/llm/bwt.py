@@ -121,3 +121,17 @@ def repeated(pieces: list[bytes], least: int, keep_first: bool) -> tuple[list[np
     gone = ~leads if keep_first else count[inverse] > 1
     cuts = np.cumsum(windows)[:-1]
     return np.split(gone, cuts), np.split(leads, cuts)
+
+
+def shared(pieces: list[bytes], owner: list[int], least: int) -> np.ndarray:
+    """For each owner (0, 1, ...) whether a window of ``least`` bytes in its pieces is equal to one of another owner's."""
+    label, starts = classes(pieces, least)
+    windows = [max(0, len(p) - least + 1) for p in pieces]
+    own = label[np.concatenate([np.arange(s, s + w) for s, w in zip(starts, windows)])]
+    of = np.repeat(np.asarray(owner, np.int64), windows)
+    low, high = np.full(len(label) + 1, len(owner), np.int64), np.full(len(label) + 1, -1, np.int64)
+    np.minimum.at(low, own, of)
+    np.maximum.at(high, own, of)
+    out = np.zeros(max(owner, default=-1) + 1, bool)
+    out[of[low[own] != high[own]]] = True
+    return out

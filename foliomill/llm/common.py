@@ -62,6 +62,22 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
         return back
 
+    def split(self, df: DataFrame, column: str, values: list[int]) -> dict[int, DataFrame]:
+        """Writes ``df`` once, a table for each of the ``values`` of a column, which goes."""
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+        out = {}
+        for v in values:
+            out[v] = self.spark.read.schema(df.drop(column).schema)
+            at = f"{path}/{column}={v}"
+            # a table without rows has no folder
+            there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            exists = there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+            out[v] = out[v].parquet(at) if exists else self.spark.createDataFrame([], df.drop(column).schema)
+            out[v]._scratch_path = at
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             _delete(self.spark, df._scratch_path)
