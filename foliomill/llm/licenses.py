@@ -15,12 +15,17 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.functions.text import let
+
 from . import common
 
 #: Words, where A-Z count as a-z: ASCII digits and letters, and all characters beyond ASCII.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Marks around a match, and detections that are resolved together.
+FROM, UPTO, TOGETHER = "\x01", "\x02", 256
+
 #: Base phrases and their labels (fixed values).
 BASE = {
     "gnu general public license": "gpl",
@@ -170,25 +175,45 @@ GATE = _gate()
 
 
 def _spans(line: Column, rule: Column) -> Column:
-    """Intervals of all matches of a rule in a line, from the lengths of what it matches and what lies between."""
-    found = F.regexp_extract_all(line, rule["regex"], F.lit(0))
-    between = F.slice(F.split(line, rule["regex"], -1), F.lit(1), F.size(found))
-    step = F.zip_with(between, found, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("len")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-
-    def grow(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + x["len"]
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
-
-    spans = F.aggregate(step, start, grow, lambda acc: acc["out"])
+    """Intervals (first and last word, from 0) of all matches of a rule in a line; matches begin and end with words.
+
+    Each match is put between two marks that no word holds, and the words that carry marks are counted off.
+    """
+    at = lambda words, mark: F.filter(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(mark)), i - 1)), lambda i: i.isNotNull())
+    marked = F.split(F.regexp_replace(line, rule["regex"], F.lit(f"{FROM}$0{UPTO}")), " ", -1)
     # sorts by start, then longest, then highest priority
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), (-rule["priority"]).alias("np"), rule["label"].alias("label")))
+    entry = lambda s, e: F.struct(s.alias("s"), (-e).alias("ne"), (-rule["priority"]).alias("np"), rule["label"].alias("label"))
+    return let(marked, lambda words: F.zip_with(at(words, FROM), at(words, UPTO), entry))
+
+
+def _suppressed(found: Column) -> Column:
+    """What stays of sorted detections: an earlier one of the same or a higher priority that reaches as far suppresses a later one.
+
+    Lists only grow within blocks, and blocks within the text, so that the time stays in proportion to the detections.
+    """
+    span = "array<struct<label:string,start:int,end:int,priority:int>>"
+    marks = ("m1", "m2", "m3")
+
+    def resolve(acc: Column, x: Column) -> Column:
+        end, priority = -x["ne"], -x["np"]
+        covered = F.when(priority == 3, acc["m3"]).when(priority == 2, acc["m2"]).otherwise(acc["m1"]) >= end
+        mine = F.struct(x["label"].alias("label"), x["s"].alias("start"), end.alias("end"), priority.alias("priority"))
+        reach = [F.when(priority >= p, F.greatest(acc[m], end)).otherwise(acc[m]).alias(m) for p, m in enumerate(marks, 1)]
+        return F.struct(*reach, F.when(covered, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(mine))).alias("kept"))
+
+    def block(acc: Column, part: Column) -> Column:
+        start = F.struct(*[acc[m].alias(m) for m in marks], F.array().cast(span).alias("kept"))
+        done = lambda x: F.struct(*[x[m].alias(m) for m in marks], F.concat(acc["kept"], F.array(x["kept"])).alias("kept"))
+        return let(F.aggregate(part, start, resolve), done)
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / TOGETHER).cast("int")), lambda k: F.slice(found, k * TOGETHER + 1, F.lit(TOGETHER)))
+    start = F.struct(*[F.lit(-1).alias(m) for m in marks], F.array().cast(f"array<{span}>").alias("kept"))
+    return F.when(F.size(found) > 0, F.flatten(F.aggregate(parts, start, block, lambda acc: acc["kept"]))).otherwise(F.array().cast(span))
 
 
 def scan(docs: DataFrame, prefilter: bool = True) -> DataFrame:
     """Adds to every row: ``n_words``, ``places`` (start word and label of each base phrase), ``detections`` (label,
-    start and end character in the line of words, priority; after suppression), ``base_labels``, ``labels``, ``score``.
+    first and last word, priority; after suppression), ``base_labels``, ``labels``, ``score``.
 
     ``score`` is the confidence of the best detection (1 exact version or identifier, 0.8 named, 0.4 hinted, 0 none).
     Null and empty texts: no words, no labels, score 0. Rows are independent: repeated rows get equal results, an empty
@@ -221,20 +246,11 @@ def scan(docs: DataFrame, prefilter: bool = True) -> DataFrame:
     table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("regex"), F.lit(c).alias("priority"), F.array(*[F.array(*map(F.lit, g)) for g in d]).alias("keywords")) for a, b, c, d in rules()])
     line = F.col("_line")
     active = F.filter(table, lambda r: F.forall(r["keywords"], lambda g: F.exists(g, lambda k: F.contains(line, k)))) if prefilter else table
-    found = F.when(line.isNotNull(), F.array_sort(F.flatten(F.transform(active, lambda r: _spans(line, r)))))
+    none_found = F.array().cast("array<struct<s:int,ne:int,np:int,label:string>>")
+    found = F.when(line.isNotNull(), F.array_sort(F.flatten(F.transform(active, lambda r: _spans(line, r))))).otherwise(none_found)
     rows = rows.withColumn("_found", found)
 
-    span = "struct<label:string,start:int,end:int,priority:int>"
-    state = F.struct(*[F.lit(-1).alias(f"m{p}") for p in (1, 2, 3)], F.array().cast(f"array<{span}>").alias("kept"))
-
-    def resolve(acc: Column, x: Column) -> Column:
-        end, priority = -x["ne"], -x["np"]
-        covered = F.when(priority == 3, acc["m3"]).when(priority == 2, acc["m2"]).otherwise(acc["m1"]) >= end
-        mine = F.struct(x["label"].alias("label"), x["s"].alias("start"), end.alias("end"), priority.alias("priority"))
-        marks = [F.when(priority >= p, F.greatest(acc[f"m{p}"], end)).otherwise(acc[f"m{p}"]).alias(f"m{p}") for p in (1, 2, 3)]
-        return F.struct(*marks, F.when(covered, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(mine))).alias("kept"))
-
-    kept = F.aggregate(F.coalesce("_found", F.array().cast("array<struct<s:int,ne:int,np:int,label:string>>")), state, resolve, lambda acc: acc["kept"])
+    kept = _suppressed(F.col("_found"))
     rows = rows.withColumn("detections", kept)
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     every = F.array_sort(F.array_distinct(F.concat(base, F.transform("detections", lambda d: d["label"]))))

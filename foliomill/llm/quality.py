@@ -9,6 +9,7 @@ a probability.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from . import common
 from .toxicity import sample
 
-#: Most labelled rows of either class that the fit reads, and the longest text (characters) among them.
-MAX_ROWS, MAX_CHARS = 2000, 4000
+#: Most labelled rows of either class that the fit reads, and most characters of them together (one text may be longer).
+MAX_ROWS, MAX_CHARS = 2000, 3_000_000
+#: Lines whose features are held at once.
+LINES = 20_000
 
 _CLASSES = np.zeros((8, 256), bool)
 for _c in range(256):
@@ -36,52 +39,85 @@ for _c in range(256):
 N_OWN = 16
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of each line with its neighbours', line lengths in bytes, lines of each text)."""
+def _blocks(texts: list[str], counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(shape counts, length in bytes) of the lines that aren't blank, ``LINES`` at a time over all texts; fills in ``counts``."""
     lines: list[bytes] = []
-    counts = np.zeros(len(texts), np.int64)
-    seen_before, distinct, words_of, widest = [], [], [], []
+    held: list[tuple[bool, int, int, int]] = []
     for i, t in enumerate(texts):
-        own = [x for x in t.encode("utf-8", "surrogatepass").split(b"\n") if x.strip()]
-        counts[i] = len(own)
-        lines += own
+        data, at = t.encode("utf-8", "surrogatepass"), 0
         seen: set[bytes] = set()
-        for x in own:
-            seen_before.append(x in seen)
-            seen.add(x)
+        while at <= len(data):
+            end = data.find(b"\n", at)
+            end = len(data) if end < 0 else end
+            x, at = data[at:end], end + 1
             w = x.split()
-            words_of.append(len(w))
-            distinct.append(len(set(w)))
-            widest.append(max(map(len, w)))
-    n = len(lines)
-    if not n:
-        return np.zeros((0, 3 * N_OWN + 3)), np.zeros(0), counts
+            if not w:
+                continue
+            counts[i] += 1
+            lines.append(x)
+            held.append((x in seen, len(w), len(set(w)), max(map(len, w))))
+            seen.add(x)
+            if len(lines) == LINES:
+                yield _shapes(lines, held)
+                lines, held = [], []
+    if lines:
+        yield _shapes(lines, held)
+
+
+def _shapes(lines: list[bytes], held: list[tuple[bool, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in lines], np.int64)
     data = np.frombuffer(b"".join(lines), np.uint8)
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
     share = np.stack([np.add.reduceat(c[data].astype(np.int32), at) for c in _CLASSES[:7]], 1) / size[:, None]
-    words_of, distinct, widest = (np.array(x, np.float64) for x in (words_of, distinct, widest))
-    last = data[at + size - 1]
-    x = np.empty((n, N_OWN))
+    seen_before, words_of, distinct, widest = np.array(held, np.float64).T
+    x = np.empty((len(lines), N_OWN))
     x[:, :7] = share
     x[:, 7] = np.log1p(size) / 6
     x[:, 8] = np.log1p(words_of) / 5
     x[:, 9] = np.minimum(size / words_of, 40) / 10
     x[:, 10] = distinct / words_of
-    x[:, 11] = _CLASSES[7][last]
+    x[:, 11] = _CLASSES[7][data[at + size - 1]]
     x[:, 12] = _CLASSES[0][data[at]]
     x[:, 13] = seen_before
     x[:, 14] = (share[:, 4] > 0.04) | (share[:, 0] > 0.3)
     x[:, 15] = np.minimum(widest, 80) / 40
-    first = np.zeros(n, bool)
-    end = np.zeros(n, bool)
-    has = counts > 0
-    ends = np.cumsum(counts)
+    return x, size.astype(np.float64)
+
+
+def _borders(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line is its text's first, and its last."""
+    first, end = np.zeros((2, counts.sum()), bool)
+    ends, has = np.cumsum(counts), counts > 0
     first[(ends - counts)[has]] = True
     end[ends[has] - 1] = True
+    return first, end
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of each line with its neighbours', line lengths in bytes, lines of each text)."""
+    counts = np.zeros(len(texts), np.int64)
+    parts = list(_blocks(texts, counts))
+    if not parts:
+        return np.zeros((0, 3 * N_OWN + 3)), np.zeros(0), counts
+    x, size = (np.concatenate(p) for p in zip(*parts))
+    first, end = _borders(counts)
     before = np.where(first[:, None], 0, np.roll(x, 1, 0))
     after = np.where(end[:, None], 0, np.roll(x, -1, 0))
-    return np.hstack([x, before, after, np.ones((n, 1)), first[:, None], end[:, None]]), size.astype(np.float64), counts
+    return np.hstack([x, before, after, np.ones((len(x), 1)), first[:, None], end[:, None]]), size, counts
+
+
+def unary(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(``features @ weights``, line lengths, lines of each text), a block of lines at a time: a few numbers a line are held."""
+    counts, of = np.zeros(len(texts), np.int64), weights[: 3 * N_OWN].reshape(3, N_OWN).T
+    parts = [(x @ of, size) for x, size in _blocks(texts, counts)]
+    if not parts:
+        return np.zeros(0), np.zeros(0), counts
+    u, size = (np.concatenate(p) for p in zip(*parts))
+    first, end = _borders(counts)
+    out = u[:, 0] + weights[-3] + weights[-2] * first + weights[-1] * end
+    out[1:] += np.where(first[1:], 0, u[:-1, 1])
+    out[:-1] += np.where(end[:-1], 0, u[1:, 2])
+    return out, size, counts
 
 
 def _grid(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,12 +129,14 @@ def _grid(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, starts[order], live
 
 
-def marginals(unary: np.ndarray, trans: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(unary: np.ndarray, trans: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward for all texts at once: P(good) of each line, summed pair marginals, log partition of each text.
 
-    ``unary``: score of good against bad for each line; ``trans``: 2 x 2 scores of neighbouring labels.
+    ``unary``: score of good against bad for each line; ``trans``: 2 x 2 scores of neighbouring labels; ``weight``: of each
+    text in the sum of pair marginals.
     """
     order, first, live = _grid(counts)
+    weight = np.ones(len(counts)) if weight is None else weight
     n, longest = len(unary), len(live)
     psi = np.stack([np.zeros(n), unary], 1)
     alpha, beta, logz = np.zeros((n, 2)), np.zeros((n, 2)), np.zeros(len(counts))
@@ -118,10 +156,26 @@ def marginals(unary: np.ndarray, trans: np.ndarray, counts: np.ndarray) -> tuple
         at = first[: live[t + 1]] + t
         m = trans[None] + (psi[at + 1] + beta[at + 1])[:, None, :]
         beta[at] = np.logaddexp(m[:, :, 0], m[:, :, 1])
-        pairs += np.exp(alpha[at][:, :, None] + m - z_of[at][:, None, None]).sum(0)
+        pairs += np.tensordot(weight[order[: len(at)]], np.exp(alpha[at][:, :, None] + m - z_of[at][:, None, None]), 1)
     return np.exp(alpha[:, 1] + beta[:, 1] - z_of), pairs, logz
 
 
+def objective(theta: np.ndarray, x: np.ndarray, y: np.ndarray, counts: np.ndarray, weight: np.ndarray, ridge: float, tie: float) -> tuple[float, np.ndarray]:
+    """(value, gradient) of the weighted negative log-likelihood of chains whose lines all carry their text's label, with priors.
+
+    ``theta``: feature weights, then the four transitions. The priors are Gaussian. Chains of one label alone would pull the
+    transitions without bound; ``tie`` is what keeps them finite.
+    """
+    w, trans = theta[:-4], theta[-4:].reshape(2, 2)
+    score, pairs_of = x @ w, np.maximum(counts - 1, 0)
+    p, pairs, logz = marginals(score, trans, counts, weight)
+    good, k = np.repeat(y, counts), y.astype(int)
+    own = np.bincount(np.repeat(np.arange(len(y)), counts), score * good, len(y)) + trans[k, k] * pairs_of
+    value = (weight * (logz - own)).sum() + ridge / 2 * (w * w).sum() + tie / 2 * (trans * trans).sum()
+    seen = np.diag([(weight * pairs_of * (k == c)).sum() for c in (0, 1)])
+    return value, np.concatenate([x.T @ (np.repeat(weight, counts) * (p - good)) + ridge * w, (pairs - seen + tie * trans).ravel()])
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -130,30 +184,21 @@ class Model:
     shift: float
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], rounds: int = 150, ridge: float = 1e-3) -> Model:
+    def fit(cls, texts: list[str], labels: list[int], rounds: int = 150, ridge: float = 1e-3, tie: float = 0.03) -> Model:
         """Adam on the log-likelihood of the label chains; deterministic. One class only: its share for all texts."""
         y = np.asarray(labels, np.float64)
         x, size, counts = features(texts)
-        w, trans = np.zeros(3 * N_OWN + 3), np.zeros((2, 2))
+        theta = np.zeros(3 * N_OWN + 3 + 4)
         if len(y) == 0 or y.min() == y.max() or not len(x):
-            return cls(w, trans, 0.0, 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0))
-        good = np.repeat(y, counts)
+            return cls(theta[:-4], np.zeros((2, 2)), 0.0, 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0))
         weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-        seen = np.zeros((2, 2))
-        m = v = np.zeros(len(w) + 4)
-        # each text counts alike, whatever its number of lines
-        line_w = np.repeat(weight / np.maximum(counts, 1), counts)
+        m = v = np.zeros(len(theta))
         for k in range(1, rounds + 1):
-            p, pairs, _ = marginals(x @ w, trans, counts)
-            gw = x.T @ (line_w * (p - good)) + ridge * w
-            seen[0, 0], seen[1, 1] = (np.maximum(counts - 1, 0) * (1 - y)).sum(), (np.maximum(counts - 1, 0) * y).sum()
-            gt = (pairs - seen) / max(1, len(x)) + ridge * trans
-            g = np.concatenate([gw, gt.ravel()])
+            # each text counts alike, whatever its number of lines
+            g = objective(theta, x, y, counts, weight / np.maximum(counts, 1), ridge, tie)[1]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-            w = w - step[:-4]
-            # neighbours pull towards one label, but no further than the lines themselves can answer
-            trans = np.clip(trans - step[-4:].reshape(2, 2), -1.5, 1.5)
+            theta = theta - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        w, trans = theta[:-4], theta[-4:].reshape(2, 2)
         model = cls(w, trans, 1.0, 0.0)
         q = model.logits(texts)
         a = np.column_stack([q, np.ones(len(q))])
@@ -166,10 +211,8 @@ class Model:
 
     def line_quality(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(good) of each line that isn't blank, its length, and the lines of each text."""
-        x, size, counts = features(texts)
-        if not len(x):
-            return np.zeros(0), size, counts
-        return marginals(x @ self.weights, self.trans, counts)[0], size, counts
+        score, size, counts = unary(texts, self.weights)
+        return marginals(score, self.trans, counts)[0], size, counts
 
     def logits(self, texts: list[str]) -> np.ndarray:
         p, size, counts = self.line_quality(texts)

@@ -2,9 +2,11 @@
 
 Vectors are cut into blocks by descending length. A rotation (right singular vectors of all rows) moves most of a
 vector's length into its first coordinates, so that ``q.x <= head(q).head(x) + |rest(q)| |rest(x)|`` (Cauchy-Schwarz)
-is tight early. Queries first meet the longest vectors, which gives each a threshold; after that a block only looks at
-the vectors whose length can still reach it, then at those whose partial sum plus residual bound can, and multiplies
-out the rest exactly. A bound equal to the threshold is kept, so that ties are resolved by id.
+is tight early. Queries meet the blocks from the longest vectors on, in steps of ``GROWTH`` times as many, and each step
+raises every query's threshold. A pair of blocks whose longest vectors cannot reach the lowest threshold of the queries
+is never formed; within a pair only vectors whose length can still reach it are looked at, then those whose partial sum
+plus residual bound can, and the rest is multiplied out exactly. A bound equal to the threshold is kept, so that ties
+are resolved by id.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Blocks in a step for each block in the step before it, and partitions that blocks are written in at most.
+GROWTH, PARTS = 4, 4096
 PAIR_SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -155,48 +159,76 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
     _, basis = np.linalg.eigh(_gram(rows, d))
     basis = basis[:, ::-1].copy()
     head = head or max(1, d // 4)
-    parts = max(1, min(4096, -(-n // BLOCK)))
-    c = scratch.keep(_blocks(rows, d, BLOCK, parts).withColumn("c", F.monotonically_increasing_id()))
-    nq = queries.count()
-    q = _blocks(queries, d, QUERY_BLOCK, max(1, min(4096, -(-nq // QUERY_BLOCK)))).withColumn("q", F.monotonically_increasing_id())
-    q = scratch.keep(q.select("q", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
-    # blocks of queries are numbered, so that each block of candidates can name them all
-    number = q.select(F.col("q").alias("id")).withColumn("k", F.row_number().over(Window.orderBy("id")).cast("long"))
-    q = scratch.keep(q.join(number, F.col("q") == F.col("id")).select(F.col("k").alias("q"), "q_ids", "q_vecs"))
-    n_blocks = q.count()
-    if not n_blocks:
+    c, edges = _numbered(_blocks(rows, d, BLOCK, max(1, min(PARTS, -(-n // BLOCK)))), "c", scratch)
+    q, own = _numbered(_blocks(queries, d, QUERY_BLOCK, max(1, min(PARTS, -(-queries.count() // QUERY_BLOCK)))), "q", scratch)
+    if not own:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-    def blocks_of(df: DataFrame) -> DataFrame:
-        return df.select("c", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_blocks).cast("long"))).alias("q"))
-
-    # the block with the longest vectors gives every query its first threshold
-    first = c.orderBy(F.desc("longest"), "c").limit(1).select("c").first().c
-    payload = c.select("c", "ids", "vecs")
-    lead = blocks_of(c.where(F.col("c") == first)).join(payload, "c").join(q, "q").withColumn("floors", F.lit(None).cast("binary"))
-    lead = scratch.keep(_best(_search(lead, d, k, basis, head), k))
-    floors = lead.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("floor"))
-    ids = q.select("q", "q_ids").mapInArrow(_unpack, "q long, at int, query_id long")
-    packed = ids.join(floors, "query_id", "left").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("floor", F.lit(-(2**62))).cast("double").alias("f")))).alias("f"))
-    packed = packed.select("q", F.transform("f", lambda x: x["f"]).alias("f")).mapInArrow(_pack_floors, "q long, floors binary")
-    rest = blocks_of(c.where(F.col("c") != first)).join(q.join(packed, "q"), "q").join(payload, "c")
-    rest = rest.repartition(max(1, min(4096, parts * n_blocks)), "q", "c") if parts * n_blocks > 1 else rest
-    found = lead.select("query_id", "vec_id", "score").unionByName(_search(rest, d, k, basis, head))
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    q = q.select("q", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    best, first, step = None, 1, 1
+    while first <= edges[-1][0]:
+        last = min(edges[-1][0], first + step - 1)
+        pairs = block_pairs(q, best, edges, first, last, k)
+        payload = c.where(F.col("c").between(first, last)).select("c", "ids", "vecs")
+        met = pairs.join(payload, "c").join(q.select("q", "q_ids", "q_vecs"), "q")
+        found = _search(met.repartition(max(1, min(PARTS, (last - first + 1) * own[-1][0])), "q", "c"), d, k, basis, head)
+        earlier, best = best, scratch.keep(_best(found if best is None else best.select(*found.columns).unionByName(found), k))
+        if earlier is not None:
+            scratch.drop(earlier)
+        first, step = last + 1, step * GROWTH
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _numbered(blocks: DataFrame, name: str, scratch: common.Scratch) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """(blocks numbered from 1 in order, for each partition its last number and longest vector): at most ``PARTS`` rows on the driver."""
+    kept = scratch.keep(blocks.withColumn("m", F.monotonically_increasing_id()))
+    part = F.shiftright("m", 33)
+    each = sorted(kept.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.max("longest").alias("longest")).collect())
+    before, edges, number = 0, [], F.lit(0).cast("long")
+    offsets = []
+    for r in each:
+        offsets += [F.lit(r.p), F.lit(before)]
+        before += r.n
+        edges.append((before, r.longest))
+    if each:
+        number = F.element_at(F.create_map(*offsets), part) + F.col("m").bitwiseAND((1 << 33) - 1) + 1
+    return kept.withColumn(name, number.cast("long")).drop("m"), edges
+
+
+def block_pairs(q: DataFrame, best: DataFrame | None, edges: list[tuple[int, float]], first: int, last: int, k: int) -> DataFrame:
+    """(q, c, floors) of the pairs with blocks ``first`` to ``last`` that can still change a query's best ``k``."""
+    if best is None:
+        return q.select("q", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("c"), F.lit(None).cast("binary").alias("floors"))
+    floors = best.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("floor"))
+    ids = q.select("q", "q_ids", "q_vecs").mapInArrow(_unpack, "q long, at int, query_id long, norm double")
+    ids = ids.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(2**62))).cast("double"))
+    # the length below which no candidate reaches a query's threshold; none for thresholds up to 0
+    needed = F.when(F.col("floor") > 0, F.col("floor") / F.col("norm")).otherwise(F.lit(-1.0))
+    packed = ids.groupBy("q").agg(F.min(needed).alias("low"), F.array_sort(F.collect_list(F.struct("at", F.col("floor").alias("f")))).alias("f"))
+    packed = packed.select("q", "low", F.transform("f", lambda x: x["f"]).alias("f")).mapInArrow(_pack_floors, "q long, low double, floors binary")
+    # blocks come by descending length: those that a query block must meet are a prefix, known to within a partition
+    ends = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(longest).alias("longest")) for n, longest in edges if n >= first])
+    able = F.filter(ends, lambda e: e["longest"] * (1 + 1e-9) + 1e-6 >= F.col("low"))
+    upto = F.least(F.coalesce(F.array_max(F.transform(able, lambda e: e["n"])), F.lit(0).cast("long")), F.lit(last).cast("long"))
+    rows = packed.withColumn("upto", upto).where(F.col("upto") >= first)
+    return rows.select("q", F.explode(F.sequence(F.lit(first).cast("long"), F.col("upto"))).alias("c"), "floors")
 
 
 def _unpack(batches):
     for b in batches:
         for r in b.to_pylist():
             ids = np.frombuffer(r["q_ids"], "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["q"])), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], names=["q", "at", "query_id"])
+            norm = np.sqrt((np.frombuffer(r["q_vecs"], "<i8").reshape(len(ids), -1).astype(np.float64) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), r["q"])), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids), pa.array(norm)], names=["q", "at", "query_id", "norm"]
+            )
 
 
 def _pack_floors(batches):
     for b in batches:
         rows = b.to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r["q"] for r in rows], pa.int64()), pa.array([np.asarray(r["f"], "<f8").tobytes() for r in rows], pa.binary())], names=["q", "floors"]
+            [pa.array([r["q"] for r in rows], pa.int64()), pa.array([r["low"] for r in rows], pa.float64()), pa.array([np.asarray(r["f"], "<f8").tobytes() for r in rows], pa.binary())],
+            names=["q", "low", "floors"],
         )
 
 

@@ -3,8 +3,9 @@
 Every hashed n-gram (inside word borders) has the ratio ``r = log(share in toxic texts / share in others)``. A
 text's features are the n-gram counts of its distinct words times ``r`` over their number; a logistic regression on
 them is fitted in numpy. A second, tiny one weighs that sum over the whole text against its largest value in any run
-of ``WINDOW`` words, so that a long text with one toxic paragraph is found as well. Sums are additive over words: workers
-keep a cache of word sums and texts cost one look-up a word.
+of ``WINDOW`` words and against the text's ``WORST`` worst words, so that a long text with one toxic paragraph or a few
+toxic words is found as well; it is fitted on sums that models of other texts give (``FOLDS`` parts). Sums are additive
+over words: workers keep a cache of word sums and texts cost one look-up a word.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from . import common
 
 SIZES = (2, 3, 4, 5)
 BITS = 18
-#: Most labelled rows of either class that the fit reads, and the longest text (characters) among them.
-MAX_ROWS, MAX_CHARS = 2000, 4000
+#: Most labelled rows of either class that the fit reads, and most characters of them together (one text may be longer).
+MAX_ROWS, MAX_CHARS = 2000, 3_000_000
 CACHE = 400_000
+FOLDS = 4
 WINDOW = 48
+#: Distinct words whose mean counts beside the window, and the n-grams without a say added to each word's sum.
+WORST, WORD_SMOOTH = 3, 6
 #: N-grams without a say that are added to every sum, so that a handful of words decides little.
 SMOOTH = 100
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -54,19 +58,44 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """``weight`` holds r times the fitted coefficient of every bucket; ``top`` weighs (whole text, best window, 1)."""
+    """``weight`` holds r times the fitted coefficient of every bucket; ``top`` weighs (whole text, worst window, worst words, 1)."""
 
     weight: np.ndarray
     bias: float
-    top: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    top: tuple[float, float, float, float] = (1.0, 0.0, 0.0, 0.0)
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], rounds: int = 150, ridge: float = 1e-6) -> Model:
+    def fit(cls, texts: list[str], labels: list[int], rounds: int = 60, ridge: float = 1e-6) -> Model:
         """Logistic regression by Adam on the ratio-scaled features; the same rows give the same model.
 
         With one class only the score says that class for every text; without rows nothing counts as toxic.
         """
         y = np.asarray(labels, np.float64)
+        model = cls._linear(texts, y, rounds, ridge)
+        if len(y) == 0 or y.min() == y.max():
+            return model
+        # a model knows the texts that it has learnt by heart too well: each part of either class is judged by the others
+        fold = np.zeros(len(y), int)
+        for c in (0, 1):
+            fold[y == c] = np.arange((y == c).sum()) % FOLDS
+        x = np.ones((len(y), 4))
+        for k in range(FOLDS):
+            mine, other = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+            if not len(mine):
+                continue
+            judge = cls._linear([texts[i] for i in other], y[other], rounds, ridge) if min((y[other] == c).sum() for c in (0, 1)) else model
+            x[mine, :3] = Scorer(judge).parts([texts[i] for i in mine])
+        scale = np.maximum(np.abs(x).mean(0), 1e-9)
+        x /= scale
+        top = np.zeros(4)
+        for _ in range(50):  # Newton steps
+            s = 1 / (1 + np.exp(-np.clip(x @ top, -30, 30)))
+            top -= np.linalg.solve((x * (s * (1 - s) + 1e-6)[:, None]).T @ x / len(y) + 1e-4 * np.eye(4), x.T @ (s - y) / len(y) + 1e-4 * top)
+        model.top = tuple((top / scale).tolist())
+        return model
+
+    @classmethod
+    def _linear(cls, texts: list[str], y: np.ndarray, rounds: int, ridge: float, rate: float = 0.15) -> Model:
         if len(y) == 0 or y.min() == y.max():
             share = 0.98 if len(y) and y[0] else 0.02
             return cls(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
@@ -96,21 +125,12 @@ class Model:
             g, gb = np.bincount(pos, x * e[row], len(used)) + ridge * w, e.sum()
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-            step = 0.05 / (1 - 0.9**k)
+            step = rate / (1 - 0.9**k)
             w -= step * m / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
             b -= step * mb / (np.sqrt(vb / (1 - 0.999**k)) + 1e-8)
         full = np.zeros(1 << BITS)
         full[used] = w * r[used] * 100
-        model = cls(full, float(b))
-        x = np.column_stack([Scorer(model).parts(texts), np.ones(len(y))])
-        scale = np.maximum(np.abs(x).mean(0), 1e-9)
-        x /= scale
-        top = np.zeros(3)
-        for _ in range(50):  # Newton steps
-            s = 1 / (1 + np.exp(-np.clip(x @ top, -30, 30)))
-            top -= np.linalg.solve((x * (s * (1 - s) + 1e-6)[:, None]).T @ x / len(y) + 1e-4 * np.eye(3), x.T @ (s - y) / len(y) + 1e-4 * top)
-        model.top = tuple((top / scale).tolist())
-        return model
+        return cls(full, float(b))
 
 
 class Scorer:
@@ -118,7 +138,7 @@ class Scorer:
         self.model, self.known = model, {}
 
     def parts(self, texts: list[str]) -> np.ndarray:
-        """For each text the sum over its distinct words and the largest over a window, both per n-gram."""
+        """For each text the sum over its distinct words, the largest over a window and that of its worst words, all per n-gram."""
         words = [t.lower().encode("utf-8", "surrogatepass").split() for t in texts]
         known = self.known
         new = set().union(*words).difference(known) if words else set()
@@ -133,36 +153,50 @@ class Scorer:
                 s = np.bincount(owner, self.model.weight[b], len(part))
                 n = np.bincount(owner, minlength=len(part))
                 known.update(zip(part, (s + 1j * n).tolist()))
-        bias, out = self.model.bias, np.empty((len(words), 2))
+        bias, out = self.model.bias, np.empty((len(words), 3))
         for i, w in enumerate(words):
             each = np.fromiter(map(known.__getitem__, w), np.complex128, len(w))
-            whole = sum(map(known.__getitem__, set(w)), 0j)
+            own = set(w)
+            apart = np.fromiter(map(known.__getitem__, own), np.complex128, len(own))
+            whole, each_word = apart.sum(), apart.real / (apart.imag + WORD_SMOOTH)
+            worst = np.partition(each_word, len(own) - WORST)[-WORST:] if len(own) > WORST else np.concatenate([each_word, np.zeros(WORST - len(own))])
             each.real[1:][each[1:] == each[:-1]] = 0  # one word over and over says nothing more
             run = np.concatenate([[0j], np.cumsum(each)])
             run = run[WINDOW:] - run[:-WINDOW] if len(w) >= WINDOW else run[-1:]
-            out[i] = whole.real / (whole.imag + SMOOTH) + bias, (run.real / (run.imag + SMOOTH)).max() + bias
+            out[i] = whole.real / (whole.imag + SMOOTH) + bias, (run.real / (run.imag + SMOOTH)).max() + bias, worst.mean()
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        a, b, c = self.model.top
-        part = self.parts(texts)
-        return 1 / (1 + np.exp(-np.clip(a * part[:, 0] + b * part[:, 1] + c, -40, 40)))
+        *weights, shift = self.model.top
+        return 1 / (1 + np.exp(-np.clip(self.parts(texts) @ np.array(weights) + shift, -40, 40)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled texts of either class, those whose ids hash lowest; in a fixed order.
+    """Labelled texts of either class, those whose ids hash lowest; in a fixed order.
 
-    Ids are picked from the labels alone (twice as many, as texts beyond ``max_chars`` are passed over) and broadcast, at
-    most ``4 * max_rows`` of them, so no text is shuffled. Two top-k reports of bounded texts reach the driver.
+    At most ``max_rows`` of a class, and fewer where their whole texts have more than ``max_chars`` characters together; the first
+    is always taken, however long. At most ``2 * max_rows`` ids of a class (some may have no text) are broadcast, so no
+    text is shuffled. Reports of ``max_rows`` lengths, then the texts, reach the driver.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     marked = marked.withColumn("_o", F.xxhash64("doc_id"))
-    got = []
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    wanted = []
     for side in (F.col("_y") == 1, F.col("_y") != 1):
         ids = marked.where(side).orderBy("_o", "doc_id").limit(2 * max_rows)
-        rows = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= max_chars).join(F.broadcast(ids), "doc_id")
-        got += rows.select("_o", "doc_id", "_y", "text").orderBy("_o", "doc_id", "text").limit(max_rows).collect()
-    return [(r.text or "", int(r._y)) for r in got]
+        rows = known.join(F.broadcast(ids), "doc_id").select("_o", "doc_id", "_h", F.length("text").alias("n"), "_y")
+        total = 0
+        for k, r in enumerate(rows.orderBy("_o", "doc_id", "_h").limit(max_rows).collect()):
+            total += r.n
+            if k and total > max_chars:
+                break
+            wanted.append((r.doc_id, r._h, r._o, r._y))
+    if not wanted:
+        return []
+    kind, y = docs.schema["doc_id"].dataType.simpleString(), labels.schema[label].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(wanted, f"doc_id {kind}, _h long, _o long, _y {y}").distinct()
+    rows = known.join(F.broadcast(chosen), ["doc_id", "_h"]).select("_o", "doc_id", "_h", "_y", "text").orderBy("_o", "doc_id", "_h").limit(len(wanted)).collect()
+    return [(r.text, int(r._y)) for r in sorted(rows, key=lambda r: (r._y != 1, r._o, str(r.doc_id), r._h))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:

@@ -99,6 +99,55 @@ def test_scores(spark, texts, name, m, rest):
     assert all(r.predicted == int(r.score >= (0.5 if m == 5 else 0.7)) for r in got)
 
 
+@pytest.mark.parametrize("name, label, bad, good", [("op2_toxicity", "toxic", 0.97, 0.8), ("op6_quality", "quality", 0.95, 0.97)])
+def test_held_out_accuracy(spark, name, label, bad, good):
+    folder = DATA.replace("sf0.001", "sf0.1")
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").where(F.col(label).isNotNull()).collect()}
+    got = [(truth[r.doc_id], r.predicted) for r in queries.QUERIES[name](spark, folder).collect() if r.held_out and r.doc_id in truth]
+    for y, least in ((0, bad), (1, good)):
+        own = [p for t, p in got if t == y]
+        assert len(own) > 90 and sum(p == y for p in own) >= least * len(own)
+
+
+def test_fit_on_long_texts_and_few_characters(spark):
+    rng = random.Random(4)
+    plain = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(1200))
+    rows = docs(spark, *[plain() + (" idiotic scum" * 60 if i % 2 else "") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert len(toxicity.sample(rows, labels, "toxic", 2000, 3_000_000)) == 40
+    assert len(toxicity.sample(rows, labels, "toxic", 7, 3_000_000)) == 14
+    few = toxicity.sample(rows, labels, "toxic", 2000, 10)  # one of each, longer than that
+    assert sorted(y for _, y in few) == [0, 1] and all(len(t) > 4000 for t, _ in few)
+    assert few == toxicity.sample(rows.repartition(5), labels, "toxic", 2000, 10)
+    twice = toxicity.sample(rows.union(rows), labels, "toxic", 2000, 3_000_000)
+    assert len(twice) >= 40
+    m = toxicity.fit(rows, labels)
+    assert (toxicity.Scorer(m).scores([plain() + " idiotic scum" * 60, plain()]) >= 0.5).tolist() == [True, False]
+    assert toxicity.sample(rows.limit(0), labels, "toxic", 5, 100) == [] == toxicity.sample(rows, labels.limit(0), "toxic", 5, 100)
+
+
+def test_quality_objective_by_finite_differences():
+    rng = np.random.default_rng(5)
+    texts = ["One line.\nTwo lines!\n\n## ??", "A", "", "b b b\nb b b\nc", "!!\n%%"]
+    x, _, counts = quality.features(texts)
+    y, weight, theta = np.array([1.0, 0, 1, 0, 0]), rng.random(5), rng.normal(0, 0.5, x.shape[1] + 4)
+    at = lambda t: quality.objective(t, x, y, counts, weight, 0.01, 0.03)
+    step = 1e-6 * np.eye(len(theta))
+    want = [(at(theta + s)[0] - at(theta - s)[0]) / 2e-6 for s in step]
+    assert np.allclose(at(theta)[1], want, atol=1e-6)
+
+
+def test_quality_in_blocks_of_lines(monkeypatch):
+    rng = random.Random(6)
+    texts = ["\n".join("".join(rng.choice("ab c.!") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+    weights = np.random.default_rng(7).normal(size=3 * quality.N_OWN + 3)
+    x, size, counts = quality.features(texts)
+    for lines in (1, 7, 20_000):
+        monkeypatch.setattr(quality, "LINES", lines)
+        score, size_of, counts_of = quality.unary(texts, weights)
+        assert np.allclose(score, x @ weights) and (size_of == size).all() and (counts_of == counts).all()
+
+
 def test_score_edges(spark):
     for fit, score, column in (
         (toxicity.Model.fit(["good text here", "bad idiot here"], [0, 1]), toxicity.score_toxicity, "toxicity"),
@@ -207,6 +256,12 @@ def test_join_edges(spark):
     kept = ngram_join.one_of_each(docs(spark, "a b c d e f", "A B C D E F", "x", None, ""))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4]
     assert ngram_join.one_of_each(twice).count() == 2
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "quite another text that stands for itself and nothing else"
+    kept = ngram_join.one_of_each(spark.createDataFrame([(1, a), (2, a), (2, b), (None, a), (2, b)], "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, a), (2, b)]
+    kept = ngram_join.one_of_each(spark.createDataFrame([(1, a), (1, a + " thirteen"), (None, a)], "doc_id long, text string"))
+    assert len(kept.collect()) == 1
+    assert ngram_join.one_of_each(spark.createDataFrame([(None, a), (None, a.upper()), (None, b)], "doc_id string, text string")).count() == 2
 
 
 def test_components(spark):
@@ -314,8 +369,49 @@ def test_repeats_against_all_windows(spark, monkeypatch, keep_first, group):
     assert own == want
 
 
+def brute_shared(rows, least):
+    owners = collections.defaultdict(set)
+    for k, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - least + 1):
+            owners[b[i : i + least]].add((k, b))
+    return {k for o in owners.values() if len(o) > 1 for k, _ in o}
+
+
+@pytest.mark.parametrize("passage", [40, 64, 100])
+@pytest.mark.parametrize("group", [512, 1])
+def test_shared_passages_against_all_windows(spark, monkeypatch, passage, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = random.Random(5)
+    rows = passages(9)
+    own = rng.choice("ab") + "".join(rng.choice("ghijkl") for _ in range(120))
+    rows += [own + " " + own, "".join(rng.choice("mnopq") for _ in range(500))]  # repeats within one text only; none at all
+    got = suffix_dedup.find_repeats(docs(spark, *rows), 64, passage=passage).collect()
+    assert {r.doc_id for r in got if r.passage} == brute_shared(list(enumerate(rows)), passage)
+    want = brute_repeats(list(enumerate(rows)), 64, False)
+    assert {r.doc_id: (sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept)) for r in got} == want
+
+
+def test_contexts_in_stretches(monkeypatch):
+    rng, texts = random.Random(3), [t.encode() for t in passages(4) if t]
+    ends = np.cumsum([len(t) for t in texts])
+    data, seen = np.frombuffer(b"".join(texts), np.uint8), {}
+    for stretch in (1 << 20, 97):
+        monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+        windows, of = collections.Counter(), collections.defaultdict(set)
+        for least, x in suffix_dedup.contexts(data, ends, [40, 64]):
+            for k, ah, dg, s0, s1, seed in zip(*(x[c].tolist() for c in ("text", "ah", "dg", "s0", "s1", "seed"))):
+                assert s0 <= s1 <= seed <= s0 + least - suffix_dedup.SEED
+                windows.update((least, k, s) for s in range(s0, s1 + 1))
+                of[least, ah, dg].add(texts[k][s0 : s1 + least])
+                seen.setdefault((least, texts[k][seed : seed + suffix_dedup.SEED]), set()).add(ah)
+        assert windows == collections.Counter((n, k, s) for n in (40, 64) for k, t in enumerate(texts) for s in range(len(t) - n + 1))
+        assert all(len(v) == 1 for v in of.values()) and all(len(v) == 1 for v in seen.values())
+
+
 def test_repeats_over_the_table(spark, texts):
     got = queries.QUERIES["op5_suffix_dedup"](spark, DATA).collect()
+    assert {r.doc_id for r in got if r.shares_passage} == brute_shared(sorted(texts.items()), suffix_dedup.PASSAGE)
     want = brute_repeats(sorted(texts.items()), 400, False)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {
         k: (len(texts[k].encode()), n, s, hashlib.sha256(kept).hexdigest()) for k, (n, s, kept) in want.items()
@@ -331,7 +427,7 @@ def test_repeat_edges(spark):
     for r in got:
         bytes(r.kept).decode()
     assert bytes(got[0].kept).decode() == "q" + long and bytes(got[1].kept).decode() == "w"
-    assert suffix_dedup.find_repeats(rows.limit(0), 64).count() == 0
+    assert suffix_dedup.find_repeats(rows.limit(0), 64, passage=80).count() == 0
     same = docs(spark, long).union(docs(spark, long))
     assert [len(r.kept) for r in suffix_dedup.find_repeats(same, 64).collect()] == [0, 0]
 
@@ -384,10 +480,55 @@ def test_mix_is_near_its_targets(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
-def test_targets_fill_up():
-    got = mixing.targets([("b", 100), ("a", 10), (None, 1000)])
-    assert [s for s, _, _ in got] == ["a", "b", None]
-    assert got[0][2] == 30 and got[1][2] == 300 and got[2][2] == pytest.approx(780)
+def test_targets_fill_up(spark, monkeypatch):
+    for each in (1, 100):  # a partition for each source; all in one
+        monkeypatch.setattr(mixing, "SOURCES", each)
+        sizes = spark.createDataFrame([("b", 100), ("a", 10), (None, 1000)], "source string, size long")
+        got = {r.source: r.target for r in mixing.targets(sizes, common.Scratch(spark, "t")).collect()}
+        assert got["a"] == 30 and got["b"] == 300 and got[None] == pytest.approx(780)
+    sizes = spark.createDataFrame([("a", 0), ("b", 0)], "source string, size long")
+    assert [r.target for r in mixing.targets(sizes, common.Scratch(spark, "t")).collect()] == [0, 0]
+    one = spark.createDataFrame([("a", 9)], "source string, size long")
+    assert mixing.targets(one, common.Scratch(spark, "t"), share=10.0).first().target == 27
+
+
+def brute_mix(rows, weights=(5.0, 2.0, 1.0)):
+    """Copies of (doc_id, text, source) rows: one sorted run over each source."""
+    import hashlib
+    from math import floor
+
+    size = lambda t: len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w])
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    n = {s: sum(size(t) for _, t, x in rows if x == s) for s in names}
+    w, target = {s: weights[i % 3] for i, s in enumerate(names)}, {}
+    while open_ := [s for s in names if s not in target]:
+        free = sum(n.values()) - sum(target.values())
+        full = [s for s in open_ if free * w[s] / sum(w[x] for x in open_) > 3 * n[s]]
+        if not full:
+            target |= {s: free * w[s] / sum(w[x] for x in open_) for s in open_}
+        target |= {s: 3.0 * n[s] for s in full}
+    out, u = collections.Counter(), mixing.offset(7)
+    for s in names:
+        own = sorted(((size(t), hashlib.md5(f"{'' if d is None else d}|{t or ''}".encode()).hexdigest(), d, t) for d, t, x in rows if x == s), key=lambda r: r[:2])
+        each = target[s] / n[s] if n[s] else 0.0
+        for i, (k, _, d, t) in enumerate(own, 1):
+            out[d, t, s] += floor(i * each + u) - floor((i - 1) * each + u)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("slice_rows", [500, 3])
+def test_mix_on_any_ids(spark, monkeypatch, kind, slice_rows):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+    rng = random.Random(12)
+    own = lambda: rng.choice([None, -(2**63), 2**63 - 1, rng.randint(-(2**63), 2**63 - 1), 7])
+    rows = [(own(), rng.choice(["a b", "same size", "", None, "w " * rng.randint(1, 20)]), rng.choice(["x", "y", None])) for _ in range(300)]
+    rows = [(d if kind == "long" or d is None else f"id-{d}", t, s) for d, t, s in rows] * 2
+    frame = spark.createDataFrame(rows, f"doc_id {kind}, text string, source string")
+    got = collections.Counter()
+    for r in mixing.mix(frame, keep_text=True).collect():
+        got[r.doc_id, r.text, r.source] += r.copies
+    assert got == brute_mix(rows)
 
 
 def test_mix_edges(spark):
@@ -470,6 +611,34 @@ def sample(parsed, rng):
     return out
 
 
+def brute_detections(text):
+    """All matches of all rules by Python's regex engine, then suppression by its definition, as (label, first, last word, priority)."""
+    import re
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    line = " " + "".join(w + " " for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low))
+    found = []
+    for label, regex, priority, _ in licenses.rules():
+        found += [(m.start(), -m.end(), -priority, label) for m in re.finditer(regex, line, re.ASCII)]
+    found.sort()
+    kept = [x for i, x in enumerate(found) if not any(y[1] <= x[1] and y[2] <= x[2] for y in found[:i])]
+    word = lambda at: line.count(" ", 0, at) - 1
+    return [(label, word(s), word(-e), -p) for s, e, p, label in kept]
+
+
+def test_detections_by_brute_force(spark, monkeypatch):
+    from re import _parser
+
+    rng = random.Random(21)
+    rules = [_parser.parse(regex) for _, regex, *_ in licenses.rules()]
+    texts = [" ".join(sample(rng.choice(rules), rng) if rng.random() < 0.6 else rng.choice(["or", "license", "the", "2.0", "under", "é"]) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    want = [brute_detections(t) for t in texts]
+    for together in (256, 2):
+        monkeypatch.setattr(licenses, "TOGETHER", together)
+        got = licenses.scan(docs(spark, *texts).repartition(4)).orderBy("doc_id").collect()
+        assert [[tuple(x) for x in r.detections] for r in got] == want
+
+
 def test_license_names_without_the_word(spark):
     cases = {
         "Released under the Apache 2.0.": ("apache,apache-2.0", 1.0), "MPL 2.0 or later": ("mpl-2.0", 1.0), "EPL 2.0": ("epl-2.0", 1.0), "LGPL 2.1": ("lgpl-2.1", 1.0),
@@ -520,6 +689,24 @@ def test_topk_by_hand(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_topk_leaves_short_blocks_alone(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 10)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    formed = []
+    pairs_of = topk.block_pairs
+    monkeypatch.setattr(topk, "block_pairs", lambda *a: formed.append((pairs_of(*a).count(), a[4] - a[3] + 1)) or pairs_of(*a))
+    rng = np.random.default_rng(2)
+    vecs = [rng.normal(size=4) for _ in range(400)]
+    vecs = [(v / np.linalg.norm(v) * (100 / (1 + i))).tolist() for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.topk(df, F.col("vec_id") % 50 == 0).collect()}
+    q = np.floor(256 * np.array(vecs)).astype(int)
+    for a in range(0, 400, 50):
+        best = sorted((-int(q[a] @ q[b]), b) for b in range(400) if b != a)[:5]
+        assert [got[a, k + 1] for k in range(5)] == [(b, -s) for s, b in best]
+    assert sum(n for _, n in formed) >= 40 and sum(n for n, _ in formed) < 15
+
+
 def test_topk_edges(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.topk(df, F.col("vec_id") % 50 == 0).collect())) == [(0, 1, 50, 131072), (50, 1, 0, 131072)]

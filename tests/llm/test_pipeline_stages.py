@@ -72,6 +72,15 @@ def test_stages_on_odd_rows(spark, tmp_path):
             assert out.columns == list(P.COLUMNS) and got == {None, 1, 2, 3, 4}, name
 
 
+def test_mixing_of_rows_that_differ_in_one_column(spark, tmp_path):
+    rows = [(1, "a b c", "en", s, 5) for s in ("x", "y", None) for _ in range(4)] + [(1, "a b c", None, "en", 5)]
+    docs = odd_tables(spark, tmp_path, rows)
+    sizes = {(r.source, r.lang): r.source_size for r in P.mix_sources(spark, docs, str(tmp_path)).collect()}
+    assert all(n == (3 if s == "en" else 12) for (s, _), n in sizes.items()) and {("x", "en"), ("en", None)} <= set(sizes)
+    runs = [sorted(map(str, P.mix_sources(spark, docs.repartition(k), str(tmp_path)).collect())) for k in (1, 5)]
+    assert runs[0] == runs[1]
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     docs = odd_tables(spark, tmp_path, [])
     for name, stage in P.STAGES:
