@@ -2,13 +2,14 @@
 
 The test items are the indexed side. Long items are cut into chunks; every chunk's BM25 impacts are divided by what the
 chunk scores against itself, so that one threshold serves all. Posting lists are in blocks with the largest impact of
-each block. Every passage of every training text (``PASSAGE`` words, moving by half) is a query: first the summed
-block maxima of its words rule out blocks of items, then WAND with block maxima finds all chunks at or above the
-threshold. A hit counts when the words around it hold enough of the item's question and of its answer.
-
-The index is cut into shards of at most ``SHARD`` chunks, which bounds what is broadcast; a larger benchmark means more
-passes over the texts within the same narrow stage, never a larger broadcast. Document frequencies and lengths are those
-of the whole benchmark in every shard.
+each block. Every passage of every training text (``PASSAGE`` words, moving by half) is a query. Of every
+chunk the most frequent words, up to half the threshold together, are left out of a filter index and counted in full as
+the chunk's spare; a passage that finds no chunk whose filtered score and spare reach the threshold is done. For the
+others WAND with block maxima finds all chunks at or above the threshold. A hit counts when the words around it hold enough of the item's question and of its answer.
+
+The index is cut into shards of at most ``SHARD`` chunks, which bounds what is broadcast at once and what a worker holds
+(``LIVE`` shards). Texts are read once for every ``LIVE`` shards: some 100,000 items. Document frequencies and lengths
+are those of the whole benchmark in every shard.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from . import common
 
 WORD = re.compile(r"\w+")
 CHUNK, PASSAGE = 48, 96
-SHARD, BLOCK = 512, 2
+SHARD, BLOCK, LIVE = 1 << 15, 64, 4
 THRESHOLD, OVERLAP = 0.6, 0.7
 K1, B = 1.2, 0.75
+#: Chunks of a shard that hold a word before the filter index may leave it out.
+FREQUENT = 8
 LEAK = "array<struct<item_id:bigint,word:bigint,score:double,question:double,answer:double>>"
 LEAK_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("word", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
@@ -63,53 +66,85 @@ def contained(part: list[str], region: list[str], n: int) -> float:
 
 @dataclass
 class Index:
-    """Inverted index of chunks: posting lists of (chunk, impact) by rising chunk, with block maxima."""
+    """Inverted index of chunks: posting lists of (chunk, impact) by rising chunk, one after the other by term."""
 
     term: dict[str, int] = field(default_factory=dict)
-    postings: list[np.ndarray] = field(default_factory=list)
-    impacts: list[np.ndarray] = field(default_factory=list)
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    chunks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    impacts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: For each posting the largest impact of its term in its block of chunks.
+    ceiling: np.ndarray = field(default_factory=lambda: np.zeros(0))
     highest: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    ceiling: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))
     item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    parts: dict[int, tuple[list[str], list[str]]] = field(default_factory=dict)
+    #: The filter index in the same form, and for each chunk the summed impacts of the words that it leaves out.
+    filter_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    filter_chunks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    filter_impacts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    spare: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Item id, question and answer (as terms) of each item key.
+    parts: dict[int, tuple[int, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, chunks: list[tuple[int, list[str]]], parts: dict[int, tuple[list[str], list[str]]], whole: tuple[int, float, dict[str, int]] | None = None) -> Index:
+    def build(cls, chunks: list[tuple[int, list[str]]], parts: dict[int, tuple[int, list[str], list[str]]], whole: tuple[int, float, dict[str, int]] | None = None, spare: float = THRESHOLD / 2) -> Index:
         """``whole``: number of chunks, their mean length and how many hold each word, where there are more than ``chunks``."""
         n = len(chunks)
         total, mean, holding = whole or (n, sum(len(c) for _, c in chunks) / max(1, n), {})
-        tf: dict[str, dict[int, int]] = {}
-        for k, (_, c) in enumerate(chunks):
-            for w in c:
-                tf.setdefault(w, {}).setdefault(k, 0)
-                tf[w][k] += 1
-        self_score, raw = np.zeros(n), []
-        for w, places in tf.items():
-            at = np.fromiter(places, np.int64, len(places))
-            f = np.fromiter(places.values(), np.float64, len(places))
-            df = holding.get(w, len(at))
-            idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
-            x = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * np.array([len(chunks[k][1]) for k in at]) / mean))
-            self_score[at] += x
-            raw.append((w, at, x))
-        out = cls(item=np.array([i for i, _ in chunks], np.int64), parts=parts)
-        blocks = -(-n // BLOCK)
-        out.ceiling = np.zeros((len(raw) + 1, blocks), np.float32)
-        highest = []
-        for t, (w, at, x) in enumerate(raw):
-            x = x / self_score[at]
-            out.term[w] = t
-            out.postings.append(at)
-            out.impacts.append(x)
-            highest.append(x.max())
-            np.maximum.at(out.ceiling[t], at // BLOCK, x.astype(np.float32) * np.float32(1.000001))
-        out.highest = np.array(highest)
+        out, lengths = cls(item=np.array([i for i, _ in chunks], np.int64)), np.array([len(c) for _, c in chunks], np.float64)
+        code = out.term
+        terms = np.array([code.setdefault(w, len(code)) for _, c in chunks for w in c], np.int64)
+        of = np.repeat(np.arange(n), lengths.astype(np.int64))
+        pair, f = np.unique(terms * max(1, n) + of, return_counts=True)
+        t, k = pair // max(1, n), pair % max(1, n)
+        own_df = df = np.bincount(t, minlength=len(code)).astype(np.float64)
+        if holding:
+            df = np.array([holding.get(w, d) for w, d in zip(code, df)], np.float64)
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+        x = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * lengths[k] / mean))
+        x = x / np.bincount(k, x, n)[k]
+        out.at = np.searchsorted(t, np.arange(len(code) + 1))
+        out.chunks, out.impacts = k.astype(np.int32), x
+        # postings are sorted by term and chunk, so each block of a term is a run
+        cell = np.flatnonzero(np.diff(t * (n // BLOCK + 1) + k // BLOCK, prepend=-1))
+        if len(x):
+            out.ceiling = np.repeat(np.maximum.reduceat(x, cell), np.diff(np.append(cell, len(x))))
+        out.highest = np.append(np.maximum.reduceat(x, out.at[:-1]), 0.0) if len(code) else np.zeros(1)
+        # frequent words first within each chunk
+        by = np.lexsort((t, -own_df[t], k))
+        cum = np.cumsum(x[by])
+        cum -= np.repeat((cum - x[by])[np.flatnonzero(np.diff(k[by], prepend=-1))], np.bincount(k, minlength=n)) if len(x) else 0
+        left_out = np.zeros(len(x), bool)
+        left_out[by] = (cum <= spare) & (own_df[t[by]] >= FREQUENT)
+        out.spare = np.bincount(k[left_out], x[left_out], n)
+        out.filter_at = np.searchsorted(t[~left_out], np.arange(len(code) + 2))
+        out.filter_chunks, out.filter_impacts = out.chunks[~left_out], x[~left_out]
+        codes = lambda own: np.array([code[w] for w in own], np.int32)
+        out.parts = {key: (item, codes(q), codes(r)) for key, (item, q, r) in parts.items()}
         return out
 
+    def postings(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks and impacts of a term."""
+        own = slice(self.at[t], self.at[t + 1])
+        return self.chunks[own], self.impacts[own]
+
+    def candidates(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
+        """Passages, of distinct pairs (passage, term), that may hold a chunk: no other one reaches the threshold."""
+        span = self.filter_at[term + 1] - self.filter_at[term]
+        ends = np.cumsum(span)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, np.int64)
+        at = np.arange(ends[-1]) + np.repeat(self.filter_at[term] - (ends - span), span)
+        key = np.repeat(passage, span) * len(self.item) + self.filter_chunks[at]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        cell = np.flatnonzero(np.diff(key, prepend=-1))
+        score = np.add.reduceat(self.filter_impacts[at][order], cell) + self.spare[key[cell] % len(self.item)]
+        return np.unique(key[cell][score >= threshold - 1e-6] // len(self.item))
+
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All chunks that score at least ``threshold`` for the distinct ``terms``: WAND with block maxima."""
         slack = 1e-9
-        cursors = [[int(self.postings[t][0]), t, 0] for t in terms]
+        at, chunks = self.at, self.chunks
+        cursors = [[int(chunks[at[t]]), t, int(at[t])] for t in terms]
         found: list[tuple[int, float]] = []
         while cursors:
             cursors.sort()
@@ -125,14 +160,14 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == chunk:
                 pivot += 1
             block = chunk // BLOCK
-            if sum(float(self.ceiling[t, block]) for _, t, _p in cursors[: pivot + 1]) < threshold - slack:
+            if sum(self._ceiling(t, p, block) for _, t, p in cursors[: pivot + 1]) < threshold - slack:
                 # nothing up to the end of this block, or to the next cursor, can reach the threshold
                 goal = (block + 1) * BLOCK
                 if pivot + 1 < len(cursors):
                     goal = min(goal, cursors[pivot + 1][0])
                 self._advance(cursors, pivot + 1, max(goal, chunk + 1))
             elif cursors[0][0] == chunk:
-                score = sum(float(self.impacts[t][p]) for _, t, p in cursors[: pivot + 1])
+                score = sum(float(self.impacts[p]) for _, _t, p in cursors[: pivot + 1])
                 if score >= threshold - slack:
                     found.append((chunk, score))
                 self._advance(cursors, pivot + 1, chunk + 1)
@@ -140,13 +175,20 @@ class Index:
                 self._advance(cursors, pivot, chunk)
         return found
 
+    def _ceiling(self, t: int, p: int, block: int) -> float:
+        """The largest impact of a term in a block, for a cursor at or before it."""
+        end = int(self.at[t + 1])
+        if self.chunks[p] // BLOCK < block:
+            p += int(np.searchsorted(self.chunks[p:end], block * BLOCK))
+        return float(self.ceiling[p]) if p < end and self.chunks[p] // BLOCK == block else 0.0
+
     def _advance(self, cursors: list[list[int]], upto: int, goal: int) -> None:
         """Moves the first cursors to their first chunk at or beyond ``goal``; exhausted ones go."""
         for c in cursors[:upto]:
             if c[0] < goal:
-                own = self.postings[c[1]]
-                c[2] = int(np.searchsorted(own, goal))
-                c[0] = int(own[c[2]]) if c[2] < len(own) else -1
+                end = int(self.at[c[1] + 1])
+                c[2] += int(np.searchsorted(self.chunks[c[2] : end], goal))
+                c[0] = int(self.chunks[c[2]]) if c[2] < end else -1
         cursors[:] = [c for c in cursors if c[0] >= 0]
 
 
@@ -178,19 +220,19 @@ def statistics(items: DataFrame) -> DataFrame:
     return items.select("text").mapInArrow(run, "word string, n long, length long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
 
 
-def shards(benchmark: DataFrame) -> Iterator[Index]:
+def shards(benchmark: DataFrame, spare: float = THRESHOLD / 2) -> Iterator[Index]:
     """Indexes of at most ``SHARD`` chunks, one at a time; items are streamed to the driver. Items without words hold nothing."""
     spark = benchmark.sparkSession
     chunks: list[tuple[int, list[str]]] = []
-    parts: dict[int, tuple[list[str], list[str]]] = {}
+    parts: dict[int, tuple[int, list[str], list[str]]] = {}
     counted, total, mean = None, 0, 0.0
     rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").dropDuplicates(["item_id", "text"])
 
     def build() -> Index:
         if counted is None:
-            return Index.build(chunks, parts)
+            return Index.build(chunks, parts, spare=spare)
         own = spark.createDataFrame([(w,) for w in sorted({w for _, c in chunks for w in c})], "word string")
-        return Index.build(chunks, parts, (total, mean, {r.word: r.n for r in counted.join(F.broadcast(own), "word").collect()}))
+        return Index.build(chunks, parts, (total, mean, {r.word: r.n for r in counted.join(F.broadcast(own), "word").collect()}), spare)
 
     taken = 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
@@ -212,34 +254,37 @@ def shards(benchmark: DataFrame) -> Iterator[Index]:
         yield build()
 
 
-def leaks_in(texts: list[str], index: Index, threshold: float, overlap: float) -> list[list[tuple]]:
-    """For each text its leaks (item_id, first word of the passage, score, question and answer overlap)."""
+def leaks_in(texts: list[list[str]], index: Index, threshold: float, overlap: float) -> list[list[tuple]]:
+    """For each text (as words) its leaks (item_id, first word of the passage, score, question and answer overlap)."""
     half, get, none = PASSAGE // 2, index.term.get, len(index.term)
-    tokens = [words(t) for t in texts]
     out: list[list[tuple]] = [[] for _ in texts]
-    ids = [np.fromiter((get(w, none) for w in own), np.int32, len(own)) for own in tokens]
-    for d, own in enumerate(ids):
-        if not len(own):
-            continue
-        # summed block maxima of each half passage's distinct words; two neighbours make a passage
-        distinct = np.unique(np.arange(len(own)) // half * (none + 1) + own)
-        starts = np.searchsorted(distinct, np.arange(-(-len(own) // half)) * (none + 1))
-        sums = np.add.reduceat(index.ceiling[distinct % (none + 1)], starts, axis=0)
-        if len(sums) > 1:
-            sums = sums[:-1] + sums[1:]
-        best: dict[int, tuple] = {}
-        for k in np.flatnonzero((sums >= threshold - 1e-6).any(1)):
-            a = int(k) * half
-            terms = np.unique(own[a : a + PASSAGE])
-            for chunk, score in index.search([int(t) for t in terms if t != none], threshold):
-                key = int(index.item[chunk])
-                item_id, question, answer = index.parts[key]
-                reach = len(question) + len(answer)
-                region = tokens[d][max(0, a - reach) : a + PASSAGE + reach]
-                q, r = contained(question, region, 5), contained(answer, region, 3)
-                if q >= overlap and r >= overlap and (key not in best or score > best[key][2] + 1e-12):
-                    best[key] = (item_id, a, score, q, r)
-        out[d] = [best[k] for k in sorted(best)]
+    ids = [np.fromiter((get(w, none) for w in tokens), np.int32, len(tokens)) for tokens in texts]
+    size = np.array([len(x) for x in ids], np.int64)
+    many = np.maximum(1, -(-(size - half) // half))  # passages of each text
+    base = np.cumsum(many) - many
+    of = np.repeat(np.arange(len(ids)), size)
+    own = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+    known = np.flatnonzero(own != none)
+    place, of, own = (np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size))[known] // half, of[known], own[known]
+    # each half passage belongs to two passages
+    pairs = [(base[of] + k)[(k >= 0) & (k < many[of])] * (none + 1) + own[(k >= 0) & (k < many[of])] for k in (place - 1, place)]
+    pairs = np.sort(np.concatenate(pairs))
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+    able = index.candidates(pairs // (none + 1), pairs % (none + 1), threshold)
+    best: dict[tuple[int, int], tuple] = {}
+    for g, d in zip(able.tolist(), (np.searchsorted(base, able, "right") - 1).tolist()):
+        a = (g - int(base[d])) * half
+        terms = pairs[slice(*np.searchsorted(pairs, [g * (none + 1), (g + 1) * (none + 1)]))] % (none + 1)
+        for chunk, score in index.search(terms.tolist(), threshold):
+            key = int(index.item[chunk])
+            item_id, question, answer = index.parts[key]
+            reach = len(question) + len(answer)
+            region = ids[d][max(0, a - reach) : a + PASSAGE + reach].tolist()
+            q, r = contained(question.tolist(), region, 5), contained(answer.tolist(), region, 3)
+            if q >= overlap and r >= overlap and ((d, key) not in best or score > best[d, key][2] + 1e-12):
+                best[d, key] = (item_id, a, score, q, r)
+    for d, key in sorted(best):
+        out[d].append(best[d, key])
     return out
 
 
@@ -250,23 +295,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     Repeated rows get equal lists; a column ``leaks`` in ``docs`` is replaced; an empty table stays empty.
     """
     spark = docs.sparkSession
-    out = docs.drop("leaks").withColumn("leaks", F.array().cast(LEAK))
-    for index in shards(benchmark):
-        out = _pass(out, spark.sparkContext.broadcast(index), threshold, overlap)
-    return out
-
-
-def _pass(docs: DataFrame, shared, threshold: float, overlap: float) -> DataFrame:
+    out, scratch, live = docs.drop("leaks").withColumn("leaks", F.array().cast(LEAK)), None, []
+    for index in shards(benchmark, threshold / 2):
+        if len(live) == LIVE:  # so many shards that not all fit a worker: what they find is written, then the next ones are dealt
+            scratch = scratch or common.Scratch(spark, "leaks")
+            out, before = scratch.keep(_pass(out, live, threshold, overlap)), live
+            for b in before:
+                b.unpersist()
+            live = []
+        live.append(spark.sparkContext.broadcast(index))
+    return _pass(out, live, threshold, overlap) if live else out
+
+
+def _pass(docs: DataFrame, live: list, threshold: float, overlap: float) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def make():
-        index = shared.value
-
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = batch.schema.get_field_index("leaks")
-            found = leaks_in(common.texts(batch), index, threshold, overlap)
+            both, tokens = batch.column(at).to_pylist(), [words(t) for t in common.texts(batch)]
             keys = [f.name for f in LEAK_TYPE.value_type]
-            both = [old + [dict(zip(keys, x)) for x in new] for old, new in zip(batch.column(at).to_pylist(), found)]
+            for shared in live:
+                found = leaks_in(tokens, shared.value, threshold, overlap)
+                both = [old + [dict(zip(keys, x)) for x in new] for old, new in zip(both, found)]
             arrays = [*batch.columns]
             arrays[at] = pa.array(both, LEAK_TYPE)
             return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)

@@ -273,7 +273,9 @@ def test_components(spark):
 # 4 decontamination
 
 
-def test_wand_finds_what_scoring_all_finds():
+@pytest.mark.parametrize("block", [64, 3])
+def test_wand_finds_what_scoring_all_finds(monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK", block)
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(60)]
     chunks = [(i, [rng.choice(vocabulary) for _ in range(rng.randint(3, 30))]) for i in range(40)]
@@ -282,11 +284,13 @@ def test_wand_finds_what_scoring_all_finds():
         terms = sorted({index.term[w] for w in rng.sample(vocabulary, rng.randint(1, 25)) if w in index.term})
         scores = collections.defaultdict(float)
         for t in terms:
-            for c, x in zip(index.postings[t].tolist(), index.impacts[t].tolist()):
+            for c, x in zip(*(v.tolist() for v in index.postings(t))):
                 scores[c] += x
         for threshold in (0.2, 0.5, 0.8):
             want = {c for c, s in scores.items() if s >= threshold - 1e-9}
             assert {c for c, _ in index.search(terms, threshold)} == want
+            if threshold > 0.3:
+                assert index.candidates(np.full(len(terms), 7), np.array(terms, np.int64), threshold).tolist() in ([[7]] if want else [[], [7]])
 
 
 def test_leaks_over_the_table(spark, texts):
@@ -323,12 +327,68 @@ def test_shards_share_statistics(spark, monkeypatch):
     found = {}
     for shard in (512, 3):
         monkeypatch.setattr(decontamination, "SHARD", shard)
+        monkeypatch.setattr(decontamination, "LIVE", 2)  # of four shards: two passes
         got = decontamination.find_leaks(edited, bench, 0.3, 0.0).collect()
         found[shard] = {(r.doc_id, x.item_id, x.word): x.score for r in got for x in r.leaks}
     assert found[3].keys() == found[512].keys() and any(x < 0.99 for x in found[512].values())
     assert found[3] == pytest.approx(found[512])
 
 
+def brute_leaks(texts, items, threshold, overlap):
+    """BM25 of every passage against every chunk, straight from the formula."""
+    import math
+
+    D = decontamination
+    cut = {i: D.cut(t) for i, t in items}
+    chunks = [(i, c) for i, (_, _, own) in cut.items() for c in own]
+    mean, df = sum(len(c) for _, c in chunks) / len(chunks), collections.Counter(w for _, c in chunks for w in set(c))
+    idf = {w: math.log(1 + (len(chunks) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    impact = lambda w, c: idf[w] * c.count(w) * (D.K1 + 1) / (c.count(w) + D.K1 * (1 - D.B + D.B * len(c) / mean))
+    out = {}
+    for d, t in enumerate(texts):
+        w, half = D.words(t), D.PASSAGE // 2
+        for a in range(0, max(1, len(w) - half), half):
+            passage = set(w[a : a + D.PASSAGE])
+            for i, c in chunks:
+                score = sum(impact(x, c) for x in set(c) & passage) / sum(impact(x, c) for x in set(c))
+                q, r, _ = cut[i]
+                region = w[max(0, a - len(q) - len(r)) : a + D.PASSAGE + len(q) + len(r)]
+                if score >= threshold - 1e-9 and D.contained(q, region, 5) >= overlap and D.contained(r, region, 3) >= overlap:
+                    out[d, i] = max(out.get((d, i), 0), score)
+    return out
+
+
+def test_leaks_by_brute_force_and_altered_copies(spark):
+    rng = random.Random(17)
+    pool = ["the", "of", "and", "river", "town"] + [f"v{k}" for k in range(250)]
+    prose = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = [(i, prose(rng.randint(20, 60)) + "? It is " + prose(6) + ".") for i in range(40)]
+    texts, planted = [], set()
+    for d in range(120):
+        t = prose(rng.randint(0, 260))
+        if d % 2:
+            i, x = rng.choice(items)
+            w = x.split()
+            for _ in range(len(w) // 25):  # a word in 25 is altered
+                w[rng.randrange(len(w) * 3 // 4)] = rng.choice(pool)
+            t += " " + " ".join(w) + " " + prose(40)
+            planted.add((d, i))
+        texts.append(t)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for threshold, overlap in ((0.6, 0.7), (0.35, 0.0)):
+        got = decontamination.find_leaks(docs(spark, *texts), bench, threshold, overlap).collect()
+        got = {(r.doc_id, x.item_id): x.score for r in got for x in r.leaks}
+        assert got == pytest.approx(brute_leaks(texts, items, threshold, overlap))
+        assert len(planted & set(got)) >= 0.9 * len(planted)
+
+
+def test_one_pass_for_many_items(spark):
+    items = spark.range(100_000).selectExpr("id AS item_id", "concat('which number follows ', id, ' in the list of ', id % 977, ' numbers? It is ', id + 1, ' of course.') AS text")
+    found = decontamination.find_leaks(docs(spark, "which number follows 77123 in the list of 917 numbers? It is 77124 of course.", "nothing"), items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert 77123 in [x.item_id for x in found.orderBy("doc_id").first().leaks]
+
+
 # 5 suffix-array dedup
 
 
