@@ -18,7 +18,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="foliomill", description=__doc__)
     sub = p.add_subparsers(dest="job", required=True)
     for name, text in (
-        ("run", "a folder of documents to headings and sections as JSON files"),
+        ("run", "a folder of documents to <name>.json (headings) and <name>_content.json (sections)"),
         ("headings", "headings of a document or folder"),
         ("sections", "sections of a document or folder"),
         ("tables", "sections with their tables"),
@@ -46,25 +46,33 @@ def main(argv: list[str] | None = None, decoder: readers.Decoder = readers.pdfpl
         return 1
     spark = SparkSession.builder.appName(f"foliomill {args.job}").getOrCreate()
     if args.job == "lists":
+        _report(readers.broken_json(spark, args.source, True))
         return _lists(spark, args.source)
-    pages = readers.decoded(_files(spark, args.source), decoder).persist()
+    found = _files(spark, args.source)
+    if found.select("doc_id").isEmpty():
+        print(f"no documents in {args.source}", file=sys.stderr)
+        return 0
+    pages = readers.decoded(found, decoder).persist()
     failed = pages.where("error is not null").select("doc_id", "error")
-    for r in failed.toLocalIterator():
-        print(f"{r.doc_id}: {r.error}", file=sys.stderr)
+    _report(failed)
     text_lines, words, grids = readers.relations(pages)
     if args.job == "run":
-        result = parse(text_lines, words, grids, dedup=not args.no_dedup)
-        writers.write_json(writers.headings_documents(result.headings), f"{args.out}/headings")
-        writers.write_json(writers.sections_documents(result.sections), f"{args.out}/content")
+        result = parse(text_lines, words, grids, dedup=not args.no_dedup, caption_words=readers.caption_words(pages))
+        writers.write_json(writers.headings_documents(result.headings), args.out)
+        writers.write_json(writers.sections_documents(result.sections), args.out, readers.CONTENT)
         print(f"{pages.where('error is null').select('doc_id').distinct().count()} of {pages.select('doc_id').distinct().count()} documents")
         return 0
     given = getattr(args, "headings", None)
+    if given:
+        _report(readers.broken_json(spark, given))
     found = readers.headings_json(spark, given) if given else toc.headings(text_lines)
     found = found if args.no_dedup or given else toc.deduplicated(found)
     if args.job == "headings":
         return _show(writers.headings_documents(found) if args.json else toc.outline(found).orderBy("doc_id", "pos").select("line"))
     body = lines.body_lines(words)
     content = getattr(args, "content", None)
+    if content:
+        _report(readers.broken_json(spark, content, True))
     out = readers.sections_json(spark, content) if content else sections.sections(body, found)
     if args.job == "sections":
         if args.json:
@@ -72,9 +80,9 @@ def main(argv: list[str] | None = None, decoder: readers.Decoder = readers.pdfpl
             return _show(writers.sections_documents(empty))
         return _show(sections.previews(out, args.preview).orderBy("doc_id", "sec_pos").select(F.concat_ws("\n", "line", "preview")))
     out = out if "lists" in out.columns else lists.with_lists(out)
-    out = tables.with_tables(out, grids, words, body, found)
+    out = tables.with_tables(out, grids, readers.caption_words(pages), body, found)
     if args.out:
-        writers.write_json(writers.sections_documents(out), args.out)
+        writers.write_json(writers.sections_documents(out), args.out, readers.CONTENT)
     totals = tables.table_totals(out).orderBy("doc_id").select(F.concat("doc_id", F.lit(": "), "n_tables", F.lit(" tables")))
     return _show(writers.sections_documents(out) if args.json else totals)
 
@@ -92,6 +100,11 @@ def _lists(spark: SparkSession, source: str) -> int:
     return _show(each.select(F.concat(F.lit("["), "number", F.lit("] "), "l.type", F.lit(" "), "l.topic", F.lit(": "), F.array_join(F.slice("l.items", 1, 4), " | "))))
 
 
+def _report(errors: DataFrame) -> None:
+    for r in errors.orderBy("doc_id").toLocalIterator():
+        print(f"{r.doc_id}: {r.error}", file=sys.stderr)
+
+
 def _show(rows: DataFrame) -> int:
     """Prints the last column, a row at a time."""
     for r in rows.toLocalIterator():

@@ -15,8 +15,7 @@ ONE = schema.LISTS.removeprefix("array<").removesuffix(">")
 
 def segments(content: Column, pattern: str) -> Column:
     """What follows each match, up to the next one; no match, no segments."""
-    parts = F.split(content, pattern, -1)
-    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return T.let(F.split(content, pattern, -1), lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
 
 
 def items(parts: Column) -> Column:
@@ -35,12 +34,12 @@ def is_citation_list(found: Column) -> Column:
 
 def lists_of(content: Column, heading: Column) -> Column:
     """Array of (type, topic, items): marked bullets, dashes, numbers, each at most once."""
-    c, topic = F.coalesce(content, F.lit("")), T.topic(heading)
+    c = F.coalesce(content, F.lit(""))
     good = lambda x: (F.size(x) >= LEAST_ITEMS) & ~is_citation_list(x)
-    one = lambda ok, kind, x: F.when(ok, F.struct(F.lit(kind).alias("type"), topic.alias("topic"), x.alias("items"))).cast(ONE)
     differ = lambda a, b: F.array_sort(F.array_distinct(a)) != F.array_sort(F.array_distinct(b))
 
     def chosen(p: Column) -> Column:
+        one = lambda ok, kind, x: F.when(ok, F.struct(F.lit(kind).alias("type"), p["topic"].alias("topic"), x.alias("items"))).cast(ONE)
         every = F.array(
             one(good(p["bullets"]), "bullet", p["bullets"]),
             one(is_dash_list(p["parts"]) & good(p["dashes"]) & ((F.size(p["bullets"]) == 0) | differ(p["dashes"], p["bullets"])), "bullet", p["dashes"]),
@@ -48,8 +47,11 @@ def lists_of(content: Column, heading: Column) -> Column:
         )
         return F.filter(every, lambda x: x.isNotNull())
 
-    parts = segments(c, R.DASH)
-    found = F.struct(items(segments(c, R.BULLET)).alias("bullets"), parts.alias("parts"), items(parts).alias("dashes"), items(segments(c, R.NUMBERED)).alias("numbers"))
+    # each split and the topic are computed once
+    found = T.let(segments(c, R.DASH), lambda parts: F.struct(
+        items(segments(c, R.BULLET)).alias("bullets"), parts.alias("parts"), items(parts).alias("dashes"),
+        items(segments(c, R.NUMBERED)).alias("numbers"), T.topic(heading).alias("topic"),
+    ))
     return F.when(T.strip(c) == "", F.array().cast(schema.LISTS)).otherwise(T.let(found, chosen))
 
 

@@ -39,9 +39,11 @@ def not_in_contents(sections: DataFrame, headings: DataFrame) -> DataFrame:
 
 def phrase_found(sections: DataFrame, checks: DataFrame) -> DataFrame:
     """(doc_id, section, phrase, found) for checks (doc_id, section, phrase): in the section or any section below it."""
-    own = sections.select("doc_id", "number", "sec_pos", "content")
-    below = (F.col("number") == F.col("section")) | F.startswith(F.col("number"), F.concat("section", F.lit(".")))
-    joined = checks.join(own, "doc_id", "left").withColumn("_c", F.when(below, F.struct("sec_pos", F.coalesce("content", F.lit("")).alias("content"))))
+    # a section stands in itself and in all sections above it, so checks meet only what they read
+    parts = F.split("number", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    own = sections.where("number is not null").select("doc_id", F.explode(above).alias("section"), F.struct("sec_pos", F.coalesce("content", F.lit("")).alias("content")).alias("_c"))
+    joined = checks.join(own, ["doc_id", "section"], "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list("_c")), lambda x: x["content"]), " ")
     per = joined.groupBy("doc_id", "section", "phrase").agg(text.alias("_t"))
     return per.select("doc_id", "section", "phrase", F.contains(F.lower("_t"), F.lower("phrase")).alias("found"))

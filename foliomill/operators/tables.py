@@ -30,6 +30,7 @@ def first_cells(rows: Column) -> Column:
 
 def is_checklist(rows: Column) -> Column:
     """Quality checklists, and rosters of authors."""
+    # fixed values: the phrases below decide results
     any_of = lambda flat, *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(flat, w))
 
     def marks(flat: Column) -> Column:
@@ -45,6 +46,7 @@ def is_checklist(rows: Column) -> Column:
 
 def is_legend(rows: Column) -> Column:
     """Explanations of evidence levels."""
+    # fixed values: the phrases below decide results
     first = T.strip(F.lower(F.coalesce(F.get(first_cells(rows), 0), F.lit(""))))
 
     def marks(x: Column) -> Column:

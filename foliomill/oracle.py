@@ -319,7 +319,6 @@ t2 AS (
   FROM t1
 ),
 flags AS (SELECT *, artifact OR checklist OR legend OR wrapped AS skipped FROM t2)"""
-PLACED = "placed AS (SELECT p.doc_id, p.page_idx, 0 AS table_idx, 43.5 AS top, g.rows FROM (SELECT DISTINCT doc_id, page_idx FROM words) p JOIN grids g ON g.k = p.doc_id)"
 
 
 def _captions(tables: str) -> str:
@@ -334,7 +333,7 @@ caps AS (
 
 
 TABLES = f"""
-kept AS (SELECT p.*, f.ncol FROM placed p JOIN flags f ON f.k = p.doc_id WHERE NOT f.skipped AND f.wide),{_captions('kept')},
+kept AS (SELECT p.*, f.ncol FROM placed p JOIN flags f ON f.k = p.k WHERE NOT f.skipped AND f.wide),{_captions('kept')},
 attached AS (
   SELECT kept.doc_id, s.sec_pos, s.number, kept.page_idx, kept.table_idx, caption, len(kept.rows) AS n_rows, len(flatten(kept.rows)) AS n_cells
   FROM kept JOIN page_map pm ON pm.doc_id = kept.doc_id AND pm.page_idx = kept.page_idx + 1000
@@ -348,7 +347,7 @@ _INDENT = "repeat(' ', CAST(CASE WHEN depth <= 5 THEN 2 * (depth - 1) ELSE 10 EN
 _TOC = with_("text_lines", HEADINGS)
 _SECS = with_("text_lines", HEADINGS, TOC_PAGES, FILTERED, TRACK, SECTIONS, recursive=True)
 _ENTRY_SECS = "es AS (SELECT doc_id, i AS sec_pos, number, title AS heading, CASE WHEN line <> '' AND i % 13 <> 7 THEN CASE WHEN i % 9 = 4 THEN ' ..... ' ELSE '' END || line END AS content FROM entries)"
-_FULL = with_("text_lines words grids", HEADINGS, TOC_PAGES, FILTERED, TRACK, SECTIONS, _renamed(PAGE_CAND), _renamed(TRACK), _renamed(PAGES), FLAGS, PLACED, TABLES, recursive=True)
+_FULL = with_("text_lines words placed", HEADINGS, TOC_PAGES, FILTERED, TRACK, SECTIONS, _renamed(PAGE_CAND), _renamed(TRACK), _renamed(PAGES), FLAGS, TABLES, recursive=True)
 
 
 def sql() -> dict[str, str]:
@@ -378,7 +377,7 @@ def sql() -> dict[str, str]:
         "list_totals": f"{with_('content', LISTS)} SELECT CAST(c.doc_id AS BIGINT) AS doc_id, CAST(count(l.doc_id) AS BIGINT) AS n_lists, CAST(coalesce(sum(len(items)), 0) AS BIGINT) AS n_items FROM (SELECT DISTINCT doc_id FROM content) c LEFT JOIN l2 l USING (doc_id) GROUP BY ALL",
         "table_classes": f"{with_('grids', FLAGS)} SELECT {_B('k', 'artifact', 'checklist', 'legend', 'wrapped', 'skipped')}, CAST(NOT skipped AND wide AS BIGINT) AS kept FROM flags",
         "table_cells": f"{with_('grids')} SELECT CAST(k AS BIGINT) AS k, CAST(r AS BIGINT) AS row, CAST(generate_subscripts(cells, 1) - 1 AS BIGINT) AS col, unnest(cells) AS cell FROM (SELECT k, generate_subscripts(rows, 1) - 1 AS r, list_transform(unnest(rows), lambda c: {clean_cell('c')}) AS cells FROM grids) x",
-        "table_captions": f"{with_('words grids', PLACED, _captions('placed'))} SELECT {_B('doc_id', 'page_idx', 'table_idx')}, caption FROM caps",
+        "table_captions": f"{with_('words placed', _captions('placed'))} SELECT {_B('doc_id', 'page_idx', 'table_idx')}, caption FROM caps",
         "page_sections": f"{with_('text_lines', HEADINGS, TOC_PAGES, PAGE_CAND, TRACK, PAGES, recursive=True)} SELECT {_B('doc_id', 'page_idx')}, number FROM page_map",
         "section_tables": f"{_FULL} SELECT {_B('doc_id', 'sec_pos')}, CAST(row_number() OVER (PARTITION BY doc_id, sec_pos ORDER BY page_idx, table_idx) - 1 AS BIGINT) AS table_no, number, caption, {_B('n_rows', 'n_cells')} FROM attached",
         "table_totals": f"{_FULL} SELECT CAST(s.doc_id AS BIGINT) AS doc_id, CAST(count(a.doc_id) AS BIGINT) AS n_tables FROM secs s LEFT JOIN attached a ON a.doc_id = s.doc_id AND a.sec_pos = s.sec_pos GROUP BY ALL",

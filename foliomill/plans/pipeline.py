@@ -15,14 +15,15 @@ class Result:
     sections: DataFrame
 
 
-def parse(text_lines: DataFrame, words: DataFrame, raw_tables: DataFrame, body: DataFrame | None = None, dedup: bool = True) -> Result:
+def parse(text_lines: DataFrame, words: DataFrame, raw_tables: DataFrame, body: DataFrame | None = None, dedup: bool = True, caption_words: DataFrame | None = None) -> Result:
     """Headings of every document, and its sections with lists and tables.
 
-    ``body`` (lines with bold and size) is derived from the words unless given. All plans are lazy; a document without
+    ``body`` (lines with bold and size) is derived from the words unless given; captions are read from the words too, unless
+    they have ``caption_words`` of their own. All plans are lazy; a document without
     headings has no sections. Nothing of one document depends on another.
     """
     found = toc.headings(text_lines)
     found = toc.deduplicated(found) if dedup else found
     body = lines.body_lines(words) if body is None else body
     out = lists.with_lists(sections.sections(body, found))
-    return Result(found, tables.with_tables(out, raw_tables, words, body, found))
+    return Result(found, tables.with_tables(out, raw_tables, words if caption_words is None else caption_words, body, found))

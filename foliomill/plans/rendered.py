@@ -152,6 +152,16 @@ grids AS (
   FROM cells GROUP BY k
 )"""
 
+#: Grid k belongs to the document whose number is k modulo the number of documents ``DOCS`` (these count from 0), and goes
+#: round its pages.
+PLACED = """
+slots AS (SELECT doc_id, max(CAST((i - i % 5) / 5 AS INT)) + 1 AS pages FROM doc_lines GROUP BY doc_id),
+dealt AS (SELECT k, rows, k % DOCS AS r, CAST((k - k % DOCS) / DOCS AS BIGINT) AS q FROM grids),
+placed AS (
+  SELECT s.doc_id, CAST(d.q % s.pages AS INT) AS page_idx, CAST((d.q - d.q % s.pages) / s.pages AS INT) AS table_idx, CAST(43.5 AS DOUBLE) AS top, d.k, d.rows
+  FROM dealt d JOIN slots s ON s.doc_id % DOCS = d.r
+)"""
+
 #: The views that each view stands on, in order.
 NEEDS = {
     "entries": ("lines", "ENTRIES"),
@@ -159,12 +169,13 @@ NEEDS = {
     "words": ("lines", "words", "WORDS"),
     "content": ("lines", "ENTRIES", "CONTENT"),
     "grids": ("GRID", "grid"),
+    "placed": ("lines", "GRID", "grid", "PLACED"),
 }
 
 
 def _parts(view: str, spark: bool) -> list[str]:
     own = {"lines": (_DUCK_LINES, _SPARK_LINES), "raw": (_DUCK_RAW, _SPARK_RAW), "words": (_DUCK_WORDS, _SPARK_WORDS), "grid": (_DUCK_GRID, _SPARK_GRID)}
-    common = {"ENTRIES": ENTRIES, "LINES": LINES, "WORDS": WORDS, "CONTENT": CONTENT, "GRID": GRID}
+    common = {"ENTRIES": ENTRIES, "LINES": LINES, "WORDS": WORDS, "CONTENT": CONTENT, "GRID": GRID, "PLACED": PLACED}
     return [own[p][spark] if p in own else common[p] for p in NEEDS[view]]
 
 
@@ -173,12 +184,15 @@ def duck(*views: str) -> str:
     parts: list[str] = []
     for v in views:
         parts += [p for p in _parts(v, False) if p not in parts]
-    return ",".join(parts)
+    return ",".join(parts).replace("DOCS", "(SELECT count(*) FROM slots)")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A rendered view over the whole tables at ``sf_dir``."""
     sql = f"WITH {','.join(_parts(name, True))} SELECT * FROM {name}"
+    if "DOCS" in sql:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null").select("doc_id").distinct().count()
+        sql = sql.replace("DOCS", str(max(1, docs)))
     tables = [t for t in ("documents", "orders", "lineitem") if f" {t}" in sql]
     for t in tables:
         sql = sql.replace(f"FROM {t}", "FROM {" + t + "}")
@@ -186,12 +200,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw tables on body pages: the grid of order k goes to every page of document k.
-
-    Grids of orders whose number is no document's id land on no page.
-    """
-    pages = view(spark, sf_dir, "words").select("doc_id", "page_idx").distinct()
+    """Raw tables on body pages: every grid lands on one page."""
     boxes = F.struct(F.lit(0.0).alias("x0"), F.lit(43.5).alias("top"), F.lit(500.0).alias("x1"), F.lit(90.0).alias("bottom"))
-    grids = view(spark, sf_dir, "grids").select(F.col("k").alias("doc_id"), "rows")
-    # order k and document k share a number; its grid repeats on each of the document's pages
-    return pages.join(grids, "doc_id").select("doc_id", "page_idx", F.lit(0).alias("table_idx"), boxes.alias("bbox"), "rows")
+    return view(spark, sf_dir, "placed").select("doc_id", "page_idx", "table_idx", boxes.alias("bbox"), "rows")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,32 @@ def sections_documents(sections: DataFrame) -> DataFrame:
     return _documents(sections, "sec_pos", F.struct("level", "depth", "number", "heading", "content", "lists", "tables"))
 
 
-def write_json(documents: DataFrame, folder: str) -> None:
-    """One text file for each document below ``folder/doc_id=...``, written as a whole or not at all."""
-    documents.write.partitionBy("doc_id").mode("overwrite").text(folder)
+def write_json(documents: DataFrame, folder: str, suffix: str = "") -> None:
+    """One file ``<doc_id><suffix>.json`` in ``folder`` for each document with an id; a file of that name is replaced.
+
+    The cluster writes whole files aside, then each is renamed into place: one request a document from the driver and
+    no data. Corpora of very many documents go to ``write_parquet``.
+    """
+    spark = documents.sparkSession
+    aside = f"{folder.rstrip('/')}/_writing-{uuid.uuid4().hex}"
+    documents.where("doc_id is not null").write.partitionBy("doc_id").text(aside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    fs = path(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        for one in fs.listStatus(path(aside)):
+            at = one.getPath()
+            if not one.isDirectory():
+                continue
+            stem = names.unescapePathName(at.getName().removeprefix("doc_id="))
+            target = path(path(folder), f"{stem}{suffix}.json".replace("/", "%2F"))
+            for part in fs.listStatus(at):
+                if part.getPath().getName().startswith("part-"):
+                    fs.delete(target, False)
+                    if not fs.rename(part.getPath(), target):
+                        raise OSError(f"cannot write {target}")
+    finally:
+        fs.delete(path(aside), True)
 
 
 def write_parquet(rows: DataFrame, folder: str) -> None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.pipeline import parse
-from ..sources.readers import Decoder, decoded, pdfplumber_decoder, relations, stem
+from ..sources.readers import Decoder, caption_words, decoded, pdfplumber_decoder, relations, stem
 from pyspark.sql import functions as F
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -20,7 +20,7 @@ def parse_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, de
 
     def batch(files: DataFrame, epoch: int) -> None:
         pages = decoded(files.select(stem(F.col("path")).alias("doc_id"), "content"), decoder).persist()
-        result = parse(*relations(pages))
+        result = parse(*relations(pages), caption_words=caption_words(pages))
         # an epoch that runs again replaces what it wrote
         result.headings.write.mode("overwrite").parquet(f"{out}/headings/epoch={epoch}")
         result.sections.write.mode("overwrite").parquet(f"{out}/sections/epoch={epoch}")

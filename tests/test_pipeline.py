@@ -40,8 +40,20 @@ def test_folder_to_json_and_back(spark, tmp_path):
     back = readers.sections_json(spark, str(out / "*_content.json")).drop("sec_pos").collect()
     assert [r.asDict(True) for r in back] == [r.asDict(True) for r in result.sections.select(*back[0].asDict()).collect()]
     assert [(r.pos, r.number, r.text) for r in readers.headings_json(spark, str(out / "doc one.json")).collect()] == [(0, "1", "Введение"), (1, "1.1", "Таблицы")]
-    writers.write_json(json, str(tmp_path / "json"))
-    assert spark.read.text(str(tmp_path / "json")).count() == 1
+    writers.write_json(json, str(tmp_path / "json"), "_content")
+    again = readers.sections_json(spark, str(tmp_path / "json"))
+    assert [r.asDict(True) for r in again.drop("sec_pos").collect()] == [r.asDict(True) for r in back]
+
+
+def test_words_of_captions(spark, tmp_path):
+    def split_by_font(content: bytes):
+        for page in decoder(content):
+            k, text, words, grids = page
+            yield k, text, words, grids, [("Таблица 1. Общая", 10.0, 80.0, 90.0)] if grids else []
+
+    pages = readers.decoded(readers.files(spark, folder(tmp_path)), split_by_font)
+    result = parse(*readers.relations(pages), caption_words=readers.caption_words(pages))
+    assert [r.tables[0].caption for r in result.sections.collect()] == ["Таблица 1. Общая"]
 
 
 def test_null_captions_are_kept(spark):
