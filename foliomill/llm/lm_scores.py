@@ -176,21 +176,36 @@ def windows(classes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
 
 def forward(flat: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hidden layer, log-probabilities of all classes) for each row of ``around``."""
+    h, z, total = _layers(flat, around)
+    return h, z - np.log(total)[:, None]
+
+
+def _layers(flat: np.ndarray, around: np.ndarray, over: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hidden layer, scores of all classes, sums of their exponentials); the exponentials in place of the scores if ``over``."""
     first, b1, second, b2 = unpack(flat)
     h = first[0][around[:, 0]]
     for k in range(1, 2 * SIDE):
-        h = h + first[k][around[:, k]]
-    h = np.tanh(h + b1)
-    z = h @ second + b2
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return h, z
+        h += first[k][around[:, k]]
+    h += b1
+    np.tanh(h, out=h)
+    z = h @ second
+    z += b2
+    if np.abs(second).sum(0).max() + np.abs(b2).max() > 60:  # else no exponential overflows, as no hidden value is beyond 1
+        z -= z.max(1, keepdims=True)
+    e = np.exp(z, out=z if over else None)
+    return h, z, e.sum(1)
+
+
+def _truths(flat: np.ndarray, around: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(score of the true class, sum of the exponentials of all) for each row."""
+    _, z, total = _layers(flat, around)
+    return z[np.arange(len(truth)), truth], total
 
 
 class Trainer:
     """Adam over mini-batches of masked positions."""
 
-    def __init__(self, flat: np.ndarray, rate: float = 0.005, batch: int = 512):
+    def __init__(self, flat: np.ndarray, rate: float = 0.005, batch: int = 1024):
         self.flat, self.rate, self.batch, self.seen, self.k = flat.copy(), rate, batch, 0, 0
         self.m, self.v = np.zeros_like(flat), np.zeros_like(flat)
 
@@ -202,25 +217,34 @@ class Trainer:
         self.seen += len(truth)
 
     def _step(self, around: np.ndarray, truth: np.ndarray) -> None:
-        second = unpack(self.flat)[2]
-        h, logp = forward(self.flat, around)
-        e = np.exp(logp)
-        e[np.arange(len(truth)), truth] -= 1
-        e /= len(truth)
+        second, n = unpack(self.flat)[2], len(truth)
+        h, e, total = _layers(self.flat, around, over=True)
+        e /= (total * n)[:, None]
+        e[np.arange(n), truth] -= np.float32(1 / n)
         dh = (e @ second.T) * (1 - h * h)
         grad = np.zeros_like(self.flat)
         g_first, g_b1, g_second, g_b2 = unpack(grad)
-        for k in range(2 * SIDE):
-            pick = np.zeros((len(truth), CLASSES), np.float32)
-            pick[np.arange(len(truth)), around[:, k]] = 1
-            g_first[k] += pick.T @ dh
+        # rows of the input layer, sorted so that each row's gradients are neighbours
+        rows = (around + CLASSES * np.arange(2 * SIDE, dtype=np.int32)).T.astype(np.uint16).ravel()
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        start = np.flatnonzero(np.diff(rows, prepend=rows[0] + 1))
+        g_first.reshape(-1, HIDDEN)[rows[start]] = np.add.reduceat(dh[order % n], start)
         g_b1 += dh.sum(0)
-        g_second += h.T @ e
+        np.matmul(h.T, e, out=g_second)
         g_b2 += e.sum(0)
         self.k += 1
-        self.m = 0.9 * self.m + 0.1 * grad
-        self.v = 0.999 * self.v + 0.001 * grad * grad
-        self.flat -= self.rate * (self.m / (1 - 0.9**self.k)) / (np.sqrt(self.v / (1 - 0.999**self.k)) + 1e-8)
+        self.m *= 0.9
+        self.m += np.float32(0.1) * grad
+        self.v *= 0.999
+        grad *= grad
+        grad *= np.float32(0.001)
+        self.v += grad
+        step = np.sqrt(self.v / (1 - 0.999**self.k))
+        step += 1e-8
+        np.divide(self.m, step, out=step)
+        step *= self.rate / (1 - 0.9**self.k)
+        self.flat -= step
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
@@ -290,9 +314,10 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -
                 of = np.repeat(np.arange(len(codes)), n)
                 each = voc.inner[every].astype(np.float64)
                 truth = every // BUCKETS
-                for a in range(0, len(every), 8192):
-                    _, logp = forward(params, around[a : a + 8192])
-                    each[a : a + 8192] += logp[np.arange(len(logp)), truth[a : a + 8192]]
+                for a in range(0, len(every), 2048):
+                    own = truth[a : a + 2048]
+                    z, total = _truths(params, around[a : a + 2048], own)
+                    each[a : a + 2048] += z - np.log(total)
                 sums = np.bincount(of, each, len(codes))
             mean = pa.array([s / k if k else None for s, k in zip(sums.tolist(), n.tolist())], pa.float64())
             own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
