@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return r.n, int(r.h or 0)
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of every node that has an edge (a, b); the label is the smallest node it reaches.
 
     Each round's edges go to the shared folder, so the plan stays short and lost executors cost one round. Minima are
@@ -21,7 +21,7 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """
     now = scratch.keep(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(most):
+    while True:  # the number of rounds grows with the logarithm of a chain's length
         state = _state(now)
         if state == before or not state[0]:
             break
@@ -35,7 +35,5 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         nxt = scratch.keep(small.select("e.a", "e.b").where("a <> b").distinct())
         scratch.drop(now, large)
         now = nxt
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     heads = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(heads)

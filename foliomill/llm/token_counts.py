@@ -25,6 +25,8 @@ MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Entries kept by each of a worker's two caches before the older half is forgotten.
 CACHE = 350_000
+#: Longest segment (characters) that a cache holds, and the step in which longer ones are counted.
+LONG = 512
 
 
 class PrefixCounter:
@@ -77,29 +79,46 @@ class PrefixCounter:
 
     def segment(self, s: str) -> list[int]:
         """``count[j]``: tokens of ``s[:j]``, for j from 0 to len(s)."""
+        last, count = [""], [0]
+        self._extend(s, len(s), 0, last, count)
+        return count
+
+    def total(self, s: str) -> int:
+        """Tokens of a segment; of a long one only the places that a piece can reach back to are held."""
+        base, last, count = 0, [""], [0]
+        for upto in range(LONG, len(s) + LONG, LONG):
+            self._extend(s, min(upto, len(s)), base, last, count)
+            gone = max(0, len(last) - self.longest - 1)
+            base += gone
+            del last[:gone], count[:gone]
+        return count[-1]
+
+    def _extend(self, s: str, upto: int, base: int, last: list[str], count: list[int]) -> None:
+        """Last token and count of the prefixes up to ``upto``; the lists start at place ``base``."""
         score, fits, longest = self.score, self._fits, self.longest
-        last, count = [""] * (len(s) + 1), [0] * (len(s) + 1)
-        for j in range(1, len(s) + 1):
+        for j in range(base + len(last), upto + 1):
             for i in range(max(0, j - longest), j):
                 t = s[i:j]
                 if t in score:
                     if i == 0:
                         # the whole prefix is one piece only if merging really builds it
                         if j == 1 or self._whole(t):
-                            last[j], count[j] = t, 1
+                            last.append(t)
+                            count.append(1)
                             break
                         continue
-                    p = last[i]
+                    p = last[i - base]
                     ok = fits.get((p, t))
                     if ok is None:
                         ok = self._fit(p, t)
                     if ok:
-                        last[j], count[j] = t, count[i] + 1
+                        last.append(t)
+                        count.append(count[i - base] + 1)
                         break
             else:  # a character outside the vocabulary: its UTF-8 bytes
                 c = s[j - 1]
-                last[j], count[j] = c, count[j - 1] + (1 if c in score else len(c.encode("utf-8", "surrogatepass")))
-        return count
+                last.append(c)
+                count.append(count[-1] + (1 if c in score else len(c.encode("utf-8", "surrogatepass"))))
 
     def _whole(self, piece: str) -> bool:
         return self._fit("", piece)
@@ -118,6 +137,8 @@ class PrefixCounter:
         return parts
 
     def _known(self, part: str) -> int:
+        if len(part) > LONG:
+            return self.total(part)
         n = self._new.get(part)
         if n is None:
             n = self._old.get(part)

@@ -52,6 +52,17 @@ def test_counts_are_the_librarys(spark, texts, model):
     assert got == {k: (len(t.encode()), want[k], want[k] > 4096) for k, t in texts.items()}
 
 
+def test_long_segments_are_not_held(model):
+    import sentencepiece
+
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=model), token_counts.PrefixCounter(model)
+    rng = random.Random(2)
+    for n in (511, 512, 513, 1500, 20_000):
+        for t in ("a" * n, "".join(rng.choice("abcdeté日") for _ in range(n)), "=" * n):
+            assert own.count(t) == len(sp.encode(t)) == own.prefixes(t)[-1]
+    assert max(map(len, own._new)) <= token_counts.LONG
+
+
 def test_every_prefix(model):
     import sentencepiece
 
