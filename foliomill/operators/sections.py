@@ -65,33 +65,46 @@ def _is_toc(page) -> Column:
     )
 
 
-def filtered_lines(body: DataFrame) -> DataFrame:
-    """Body lines that may be content: (doc_id, page_idx, line_no, seq, text, font), ``text`` normalised."""
+def documents(body: DataFrame, headings: DataFrame) -> DataFrame:
+    """(doc_id, lines, pages, marks, nums, keys): a row for each document of the body, which is shuffled once.
+
+    ``lines`` are those that may be content, normalised and numbered by ``seq`` from 1; ``marks`` the numbered bold lines
+    outside contents pages. ``nums`` and ``keys`` are the headings', null without any.
+    """
     page = Window.partitionBy("doc_id", "page_idx")
-    rows = body.repartition("doc_id").withColumn("is_toc", _is_toc(page)).where("not is_toc")
-    rows = rows.withColumn("text", T.normalize_line(T.strip(F.col("text"))))
-    before = T.strip_dots(F.col("text"))
-    only_leaders = F.col("text").rlike(R.BODY_LEADER) & ((before == "") | T.is_page_number(before))
-    rows = rows.where((F.col("text") != "") & ~T.is_page_number(F.col("text")) & ~only_leaders)
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_idx", "line_no"))
-    return rows.select("doc_id", "page_idx", "line_no", seq.alias("seq"), "text", T.is_heading_font(F.col("bold"), F.col("size")).alias("font"))
-
-
-def _tracked(lines: DataFrame, headings: DataFrame) -> DataFrame:
-    """(doc_id, lines, keys, events): each document's lines as one array, and the events of those that can open a section."""
-    is_entry = F.col("text").rlike(R.BODY_ENTRY)
-    num = F.when(is_entry, T.normalize_number(F.regexp_extract("text", R.BODY_ENTRY, 1)))
-    rest = T.strip(F.regexp_extract("text", R.BODY_ENTRY, 2))
-    entry = F.struct("seq", "text", "font", num.alias("num"), F.when(is_entry, T.normal_heading(rest)).alias("norm"), (F.col("font") & (rest != "")).alias("titled"))
-    per_doc = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("lines")).join(contents_index(headings), "doc_id")
+    rows = body.repartition("doc_id").withColumn("is_toc", _is_toc(page))
+    rows = rows.withColumns({"line": T.normalize_line(T.strip(F.col("text"))), "plain": T.normalize_line(F.col("text"))})
+    before = T.strip_dots(F.col("line"))
+    only_leaders = F.col("line").rlike(R.BODY_LEADER) & ((before == "") | T.is_page_number(before))
+    content = ~F.col("is_toc") & (F.col("line") != "") & ~T.is_page_number(F.col("line")) & ~only_leaders
+    is_entry, font = F.col("line").rlike(R.BODY_ENTRY), T.is_heading_font(F.col("bold"), F.col("size"))
+    rest = T.strip(F.regexp_extract("line", R.BODY_ENTRY, 2))
+    entry = F.struct(
+        "page_idx", "line_no", F.col("line").alias("text"), font.alias("font"), F.when(is_entry, T.normalize_number(F.regexp_extract("line", R.BODY_ENTRY, 1))).alias("num"),
+        F.when(is_entry, T.normal_heading(rest)).alias("norm"), (font & (rest != "")).alias("titled"),
+    )
+    bold = F.col("bold") & ~F.col("is_toc") & F.col("plain").rlike(R.TABLE_ENTRY)
+    mark = F.struct("page_idx", "line_no", F.regexp_extract("plain", R.TABLE_ENTRY, 1).alias("num"))
+    per_doc = rows.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(content, entry))).alias("lines"),
+        F.array_sort(F.collect_set("page_idx")).alias("pages"),
+        F.array_sort(F.collect_list(F.when(bold, mark))).alias("marks"),
+    )
+    number = lambda x, k: F.struct((k + 1).alias("seq"), *[x[c].alias(c) for c in ("text", "font", "num", "norm", "titled")])
+    return per_doc.withColumn("lines", F.transform("lines", number)).join(contents_index(headings), "doc_id", "left")
+
+
+def _events(docs: DataFrame) -> DataFrame:
+    """Documents with headings, and the ``events`` of the lines that can open a section."""
+    docs = docs.where(F.col("keys").isNotNull())
     able = F.filter("lines", lambda x: x["num"].isNotNull() & (x["titled"] | F.array_contains("nums", x["num"])))
     candidates = F.transform(able, lambda x: F.struct(x["seq"].alias("seq"), x["num"].alias("num"), x["norm"].alias("norm"), x["titled"].alias("font")))
-    return per_doc.select("doc_id", "lines", "keys", track(candidates, F.col("keys"), F.col("nums")).alias("events"))
+    return docs.withColumn("events", track(candidates, F.col("keys"), F.col("nums")))
 
 
-def boundaries(lines: DataFrame, headings: DataFrame) -> DataFrame:
-    """(doc_id, seq, kind, number) over filtered lines: where sections open, and running headers."""
-    return _tracked(lines, headings).select("doc_id", F.explode("events").alias("e")).select("doc_id", "e.seq", "e.kind", "e.number")
+def boundaries(body: DataFrame, headings: DataFrame) -> DataFrame:
+    """(doc_id, seq, kind, number) over content lines: where sections open, and running headers."""
+    return _events(documents(body, headings)).select("doc_id", F.explode("events").alias("e")).select("doc_id", "e.seq", "e.kind", "e.number")
 
 
 def sections(body: DataFrame, headings: DataFrame) -> DataFrame:
@@ -100,7 +113,21 @@ def sections(body: DataFrame, headings: DataFrame) -> DataFrame:
     Lines and headings meet by document only, so the body is shuffled once. A section's lines are a slice of its
     document's; the first ones that repeat parts of the heading in a heading's font are left out.
     """
-    docs = _tracked(filtered_lines(body), headings)
+    return _opened(_events(documents(body, headings)))
+
+
+def sections_with(body: DataFrame, headings: DataFrame, placed: DataFrame) -> DataFrame:
+    """``sections`` with their ``tables``, in the same pass; ``placed`` (doc_id, t) holds each document's kept tables in order.
+
+    A table goes to the section whose number is open at the end of its page.
+    """
+    docs = _events(documents(body, headings)).withColumn("of_page", _page_numbers()).join(placed, "doc_id", "left")
+    number = lambda x: F.get(F.filter("of_page", lambda p: p["page_idx"] == x["page_idx"]), 0)["number"]
+    docs = docs.withColumn("t", F.transform("t", lambda x: F.struct(number(x).alias("number"), x["caption"].alias("caption"), x["rows"].alias("rows"))))
+    return _opened(docs, True)
+
+
+def _opened(docs: DataFrame, tables: bool = False) -> DataFrame:
     opened = F.filter("events", lambda e: e["kind"] == "B")
     headers = F.transform(F.filter("events", lambda e: e["kind"] == "R"), lambda e: e["seq"])
     docs = docs.withColumns({"opened": opened, "headers": headers})
@@ -108,7 +135,11 @@ def sections(body: DataFrame, headings: DataFrame) -> DataFrame:
     def part(e: Column, k: Column) -> Column:
         upto = F.coalesce(F.get("opened", k + 1)["seq"], F.size("lines") + 1)
         own = F.slice("lines", e["seq"] + 1, upto - e["seq"] - 1)
-        return F.struct(k.alias("sec_pos"), F.get(F.filter("keys", lambda x: x["num"] == e["number"]), 0).alias("key"), own.alias("own"))
+        fields = [k.alias("sec_pos"), F.get(F.filter("keys", lambda x: x["num"] == e["number"]), 0).alias("key"), own.alias("own")]
+        if tables:
+            mine = F.filter(F.coalesce("t", F.array()), lambda x: x["number"] == e["number"])
+            fields.append(F.transform(mine, lambda x: F.struct(x["caption"].alias("caption"), x["rows"].alias("rows"))).alias("tables"))
+        return F.struct(*fields)
 
     rows = docs.select("doc_id", "headers", F.explode(F.transform("opened", part)).alias("s")).select("doc_id", "headers", "s.*")
     header = lambda x: F.array_contains("headers", x["seq"])
@@ -118,31 +149,34 @@ def sections(body: DataFrame, headings: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", first)
     kept = F.concat(F.filter(F.slice("own", F.lit(1), F.col("first") - 1), header), F.slice("own", F.col("first"), F.size("own")))
     content = T.collapse(F.array_join(F.transform(kept, lambda x: x["text"]), " "))
-    return rows.select("doc_id", "sec_pos", "key.level", "key.depth", F.col("key.num").alias("number"), F.col("key.text").alias("heading"), content.alias("content"))
+    found = ["doc_id", "sec_pos", "key.level", "key.depth", F.col("key.num").alias("number"), F.col("key.text").alias("heading"), content.alias("content")]
+    return rows.select(*found, *(["tables"] if tables else []))
 
 
-def page_sections(body: DataFrame, headings: DataFrame) -> DataFrame:
-    """(doc_id, page_idx, number): the section open at the end of each page, null before the first.
+def _page_numbers() -> Column:
+    """Array of (page_idx, number): the section open at the end of each page, null before the first.
 
     A tracker of its own: bold lines only, a blank after the number, no match by text.
     """
-    page = Window.partitionBy("doc_id", "page_idx")
-    rows = body.repartition("doc_id").withColumn("is_toc", _is_toc(page))
-    t = T.normalize_line(F.col("text"))
-    num = F.when(F.col("bold") & ~F.col("is_toc") & t.rlike(R.TABLE_ENTRY), F.regexp_extract(t, R.TABLE_ENTRY, 1))
-    per_doc = rows.withColumn("num", num).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("page_idx")).alias("pages"),
-        F.array_sort(F.collect_list(F.when(F.col("num").isNotNull(), F.struct("page_idx", "line_no", "num")))).alias("c"),
-    )
-    index = contents_index(headings)
-    index = index.withColumn("keys", F.transform("keys", lambda k: k.withField("depth", T.depth(k["num"]))))
-    docs = per_doc.join(index, "doc_id", "left")
+    keys = F.transform("keys", lambda k: k.withField("depth", T.depth(k["num"])))
     entry = lambda x, k: F.struct(k.alias("seq"), x["num"].alias("num"), F.lit("").alias("norm"), F.lit(False).alias("font"))
-    docs = docs.withColumn("c", F.filter("c", lambda x: F.array_contains("nums", x["num"])))
-    docs = docs.withColumn("events", F.filter(track(F.transform("c", entry), F.col("keys"), F.col("nums")), lambda e: e["kind"] == "B"))
-    so_far = lambda p: F.filter("events", lambda e: F.get("c", e["seq"])["page_idx"] <= p)
-    at = F.transform("pages", lambda p: F.struct(p.alias("page_idx"), F.try_element_at(so_far(p), F.lit(-1))["number"].alias("number")))
-    return docs.select("doc_id", F.explode(at).alias("p")).select("doc_id", "p.page_idx", "p.number")
+
+    def numbers(v: Column) -> Column:
+        so_far = lambda p: F.filter(v["events"], lambda e: F.get(v["marks"], e["seq"])["page_idx"] <= p)
+        return F.transform("pages", lambda p: F.struct(p.alias("page_idx"), F.try_element_at(so_far(p), F.lit(-1))["number"].alias("number")))
+
+    def opened(marks: Column) -> Column:
+        events = F.filter(track(F.transform(marks, entry), keys, F.col("nums")), lambda e: e["kind"] == "B")
+        return F.struct(marks.alias("marks"), events.alias("events"))
+
+    known = F.filter("marks", lambda x: F.array_contains("nums", x["num"]))
+    return T.let(T.let(known, opened), numbers)
+
+
+def page_sections(body: DataFrame, headings: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, number): the section open at the end of each page, null before the first."""
+    docs = documents(body, headings).select("doc_id", F.explode(_page_numbers()).alias("p"))
+    return docs.select("doc_id", "p.page_idx", "p.number")
 
 
 def previews(found: DataFrame, most: int = 120) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import regex as R
 from ..functions import text as T
-from .sections import page_sections
+from .sections import page_sections, sections_with
 
 CAPTION_GAP, CAPTION_SLACK = 22.0, 4.0
 
@@ -142,6 +142,14 @@ def with_tables(sections: DataFrame, tables: DataFrame, words: DataFrame, body:
     return out.withColumn("tables", F.coalesce("tables", F.array().cast(schema.TABLES)))
 
 
+def annotated(body: DataFrame, headings: DataFrame, tables: DataFrame, words: DataFrame) -> DataFrame:
+    """Sections with their ``tables``, as ``with_tables`` over ``sections`` gives them, from one pass over the body."""
+    entry = F.struct("page_idx", "table_idx", "caption", "rows")
+    placed = kept_tables(tables, words).groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("t"))
+    out = sections_with(body, headings, placed)
+    return out.withColumn("tables", F.col("tables").cast(schema.TABLES))
+
+
 def table_totals(sections: DataFrame) -> DataFrame:
     """(doc_id, n_tables)."""
     return sections.groupBy("doc_id").agg(F.sum(F.size("tables")).alias("n_tables"))

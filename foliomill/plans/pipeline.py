@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators import lines, lists, sections, tables, toc
+from ..operators import lines, lists, tables, toc
 
 
 @dataclass
@@ -25,5 +25,6 @@ def parse(text_lines: DataFrame, words: DataFrame, raw_tables: DataFrame, body:
     found = toc.headings(text_lines)
     found = toc.deduplicated(found) if dedup else found
     body = lines.body_lines(words) if body is None else body
-    out = lists.with_lists(sections.sections(body, found))
-    return Result(found, tables.with_tables(out, raw_tables, words if caption_words is None else caption_words, body, found))
+    out = tables.annotated(body, found, raw_tables, words if caption_words is None else caption_words)
+    out = lists.with_lists(out)
+    return Result(found, out.select(*[c for c in out.columns if c != "tables"], "tables"))

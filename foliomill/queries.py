@@ -101,7 +101,7 @@ def _body(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def section_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     rows, found = _body(spark, sf)
-    return sections.boundaries(sections.filtered_lines(rows), found).select(*_long("doc_id", "seq"), "kind", "number")
+    return sections.boundaries(rows, found).select(*_long("doc_id", "seq"), "kind", "number")
 
 
 def section_contents(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,8 +154,7 @@ def _annotated(spark: SparkSession, sf: str) -> DataFrame:
     """Sections with lists and tables; table pages are moved onto the body's page numbers."""
     rows, found = _body(spark, sf)
     shift = lambda df: df.withColumn("page_idx", F.col("page_idx") + 1000)
-    out = lists.with_lists(sections.sections(rows, found))
-    return tables.with_tables(out, shift(rendered.page_tables(spark, sf)), shift(rendered.view(spark, sf, "words")), rows, found)
+    return lists.with_lists(tables.annotated(rows, found, shift(rendered.page_tables(spark, sf)), shift(rendered.view(spark, sf, "words"))))
 
 
 def section_tables(spark: SparkSession, sf: str) -> DataFrame:
