@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     own = lambda df: df.select(*[F.col(c).alias(f"b{c}") for c in df.columns])
 
     def sliced(df: DataFrame) -> DataFrame:
-        g = own(groups)
+        g = own(groups).hint("merge")  # never broadcast: it grows with the corpus, and compressed files hide its size
         return df.join(g, df["_s"].eqNullSafe(g["b_s"]) & (df["_n"] == g["b_n"])).withColumn("_b", F.substr("_h", F.lit(1), F.col("b_k"))).drop(*g.columns)
 
     counts = sliced(keys).groupBy("_s", "_n", "_b").agg(F.count("*").alias("_c"))
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     starts = own(starts.select("_s", "_n", "_b", "_from", F.col("bsize").alias("source_size"), F.col("btarget").alias("target")))
     work = sliced((rows if keep_text else rows.drop("text")).withColumns({"_s": F.col("source"), "_n": F.col("size")}))
     ranked = work.withColumn("_i", F.row_number().over(Window.partitionBy("_s", "_n", "_b").orderBy("_h")))
-    ranked = ranked.join(starts, ranked["_s"].eqNullSafe(starts["b_s"]) & (ranked["_n"] == starts["b_n"]) & (ranked["_b"] == starts["b_b"]))
+    ranked = ranked.join(starts.hint("merge"), ranked["_s"].eqNullSafe(starts["b_s"]) & (ranked["_n"] == starts["b_n"]) & (ranked["_b"] == starts["b_b"]))
     each = F.when(F.col("bsource_size") > 0, F.col("btarget") / F.col("bsource_size")).otherwise(F.lit(0.0))
     u, i = F.lit(offset(seed)), F.col("_i") + F.col("b_from")
     copies = (F.floor(i * each + u) - F.floor((i - 1) * each + u)).cast("long")
