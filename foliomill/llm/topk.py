@@ -20,7 +20,7 @@ from . import common
 
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Blocks in a step for each block in the step before it, and partitions that blocks are written in at most.
-GROWTH, PARTS = 4, 4096
+GROWTH, PARTS = 16, 4096
 PAIR_SCHEMA = "query_id long, vec_id long, score long"
 
 
