@@ -12,42 +12,42 @@ EVENT = "struct<seq:int,kind:string,number:string>"
 
 
 def contents_index(headings: DataFrame) -> DataFrame:
-    """(doc_id, nums, keys): all numbers in order; each number once, by first place, with its last text, place and depth."""
+    """(doc_id, nums, keys): all numbers in order; each number once, by first place, with its last text, place and depth, and all places."""
     entry = F.struct("pos", "number", "text", "level", "depth")
     per_doc = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("h"))
     per_doc = per_doc.withColumn("nums", F.transform("h", lambda x: x["number"]))
 
     def key(num: Column) -> Column:
         last = F.element_at(F.filter("h", lambda x: x["number"] == num), -1)
+        places = F.filter(F.transform("nums", lambda n, i: F.when(n == num, i)), lambda i: i.isNotNull())
         return F.struct(
             num.alias("num"), T.normal_heading(last["text"]).alias("norm"), last["pos"].alias("pos"), last["depth"].alias("depth"),
-            last["text"].alias("text"), last["level"].alias("level"),
+            last["text"].alias("text"), last["level"].alias("level"), places.alias("places"),
         )
 
     return per_doc.select("doc_id", "nums", F.transform(F.array_distinct("nums"), key).alias("keys"))
 
 
-def track(candidates: Column, keys: Column, nums: Column) -> Column:
+def track(candidates: Column, keys: Column) -> Column:
     """Events of a document's candidate lines (seq, num, norm, font), in order.
 
     'B' opens the section of a number that is still unused and uses it up. A line with another number but a heading's
     font opens the first unused heading whose text it starts with, or which starts with it. 'R' is a running header: a
-    chapter ahead of its turn while earlier numbers are unused.
+    chapter ahead of its turn while earlier numbers are unused. Each line looks once at the headings that are still free.
     """
-    state = F.struct(F.lit(0).alias("cur"), F.array().cast("array<string>").alias("used"), F.array().cast(f"array<{EVENT}>").alias("events"))
+    state = F.struct(F.lit(0).alias("cur"), keys.alias("free"), F.array().cast(f"array<{EVENT}>").alias("events"))
 
     def step(acc: Column, x: Column) -> Column:
-        unused = lambda k: ~F.array_contains(acc["used"], k["num"])
-        exact = F.get(F.filter(keys, lambda k: (k["num"] == x["num"]) & unused(k)), 0)
+        exact = F.get(F.filter(acc["free"], lambda k: k["num"] == x["num"]), 0)
         alike = lambda k: (k["norm"] != "") & (F.startswith(x["norm"], k["norm"]) | F.startswith(k["norm"], x["norm"]))
-        by_text = F.when(x["font"] & (F.length(x["norm"]) >= 5), F.get(F.filter(keys, lambda k: unused(k) & alike(k)), 0))
+        by_text = F.when(x["font"] & (F.length(x["norm"]) >= 5), F.get(F.filter(acc["free"], alike), 0))
         event = lambda kind, number: F.struct(x["seq"].alias("seq"), F.lit(kind).alias("kind"), number.alias("number"))
 
         def moved(hit: Column) -> Column:
-            earlier = F.slice(nums, acc["cur"] + 1, F.greatest(hit["pos"] - acc["cur"], F.lit(0)))
-            running = (hit["depth"] == 1) & (hit["pos"] > acc["cur"]) & F.exists(earlier, lambda n: ~F.array_contains(acc["used"], n))
-            opened = F.struct((hit["pos"] + 1).alias("cur"), F.concat(acc["used"], F.array(hit["num"])).alias("used"), F.concat(acc["events"], F.array(event("B", hit["num"]))).alias("events"))
-            passed = F.struct(acc["cur"].alias("cur"), acc["used"].alias("used"), F.concat(acc["events"], F.array(event("R", F.lit(None).cast("string")))).alias("events"))
+            between = lambda k: F.exists(k["places"], lambda p: (p >= acc["cur"]) & (p < hit["pos"]))
+            running = (hit["depth"] == 1) & (hit["pos"] > acc["cur"]) & F.exists(acc["free"], between)
+            opened = F.struct((hit["pos"] + 1).alias("cur"), F.filter(acc["free"], lambda k: k["num"] != hit["num"]).alias("free"), F.concat(acc["events"], F.array(event("B", hit["num"]))).alias("events"))
+            passed = F.struct(acc["cur"].alias("cur"), acc["free"].alias("free"), F.concat(acc["events"], F.array(event("R", F.lit(None).cast("string")))).alias("events"))
             return F.when(hit.isNull(), acc).when(running, passed).otherwise(opened)
 
         return T.let(F.coalesce(exact, by_text), moved)
@@ -99,7 +99,7 @@ def _events(docs: DataFrame) -> DataFrame:
     docs = docs.where(F.col("keys").isNotNull())
     able = F.filter("lines", lambda x: x["num"].isNotNull() & (x["titled"] | F.array_contains("nums", x["num"])))
     candidates = F.transform(able, lambda x: F.struct(x["seq"].alias("seq"), x["num"].alias("num"), x["norm"].alias("norm"), x["titled"].alias("font")))
-    return docs.withColumn("events", track(candidates, F.col("keys"), F.col("nums")))
+    return docs.withColumn("events", track(candidates, F.col("keys")))
 
 
 def boundaries(body: DataFrame, headings: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def _page_numbers() -> Column:
         return F.transform("pages", lambda p: F.struct(p.alias("page_idx"), F.try_element_at(so_far(p), F.lit(-1))["number"].alias("number")))
 
     def opened(marks: Column) -> Column:
-        events = F.filter(track(F.transform(marks, entry), keys, F.col("nums")), lambda e: e["kind"] == "B")
+        events = F.filter(track(F.transform(marks, entry), keys), lambda e: e["kind"] == "B")
         return F.struct(marks.alias("marks"), events.alias("events"))
 
     known = F.filter("marks", lambda x: F.array_contains("nums", x["num"]))
