@@ -58,7 +58,7 @@ class Scratch:
         back._scratch_path = path
         # shuffle files behind a written table are not read again; Spark deletes them once the driver has let go of the plan
         del df
-        gc.collect()
+        release()
         self.spark.sparkContext._jvm.System.gc()
         return back
 

@@ -229,7 +229,10 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
     """Fits the model on a bounded sample of labelled rows; ``labels`` (doc_id, quality) picks which may be learnt from."""
     rows = sample(docs, labels, "quality", max_rows, max_chars)
-    return Model.fit([t for t, _ in rows], [y for _, y in rows])
+    model = Model.fit([t for t, _ in rows], [y for _, y in rows])
+    del rows
+    common.release()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

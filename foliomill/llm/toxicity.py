@@ -56,6 +56,15 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def _sums(to: np.ndarray, x: np.ndarray, weight: np.ndarray, of: np.ndarray, size: int, part: int = 1 << 19) -> np.ndarray:
+    """``x * weight[of]`` summed by ``to``, a part at a time so that little memory is held."""
+    out = np.zeros(size)
+    for a in range(0, len(x), part):
+        own = slice(a, a + part)
+        out += np.bincount(to[own], x[own] * weight[of[own]], size)
+    return out
+
+
 @dataclass
 class Model:
     """``weight`` holds r times the fitted coefficient of every bucket; ``top`` weighs (whole text, worst window, worst words, 1)."""
@@ -106,23 +115,27 @@ class Model:
             row.append(np.full(len(u), i, np.int32))
             col.append(u)
             val.append((c / (c.sum() + SMOOTH)).astype(np.float32))
-        row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
-        hot = y[row] == 1
+        row = np.concatenate(row)
+        col = np.concatenate(col)
+        val = np.concatenate(val)
+        hot = (y == 1)[row]
         p = np.bincount(col[hot], minlength=1 << BITS) + 0.5
         q = np.bincount(col[~hot], minlength=1 << BITS) + 0.5
         r = np.log((p / y.sum()) / (q / (len(y) - y.sum())))
-        x, b = val * (r[col] * 100).astype(np.float32), 0.0
+        x, b = val * (r * 100).astype(np.float32)[col], 0.0
         del val, hot
         weight_of = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
         used = np.unique(col)
-        pos = np.searchsorted(used, col).astype(np.int32)
+        place = np.zeros(1 << BITS, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        pos = place[col]
         del col
         w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
         mb = vb = 0.0
         for k in range(1, rounds + 1):
-            z = np.bincount(row, x * w[pos], len(y)) + b
+            z = _sums(row, x, w, pos, len(y)) + b
             e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight_of
-            g, gb = np.bincount(pos, x * e[row], len(used)) + ridge * w, e.sum()
+            g, gb = _sums(pos, x, e, row, len(used)) + ridge * w, e.sum()
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             step = rate / (1 - 0.9**k)
@@ -202,7 +215,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_ch
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
     """Fits the model on a bounded sample of labelled rows; ``labels`` (doc_id, toxic) picks which may be learnt from."""
     rows = sample(docs, labels, "toxic", max_rows, max_chars)
-    return Model.fit([t for t, _ in rows], [y for _, y in rows])
+    model = Model.fit([t for t, _ in rows], [y for _, y in rows])
+    del rows
+    common.release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
