@@ -12,7 +12,6 @@ documents from common parameters, and the cluster averages the parameters, weigh
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,54 +22,109 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOP, ENDINGS, BUCKETS = 95, 32, 8192
+TOP, ENDINGS, BUCKETS = 95, 32, 8192  # the last two: powers of two
+ENDING_BITS = ENDINGS.bit_length() - 1  # bits of a word's hash that tell its ending; the next ones tell its bucket
 CLASSES = TOP + ENDINGS + 1  # the last one stands outside a text
 OUTSIDE = CLASSES - 1
 SIDE, HIDDEN, STRIDE, ROUNDS = 2, 32, 1, 2
-#: Distinct words that a counting task holds before it hands its counts on.
-FLUSH = 150_000
-CACHE = 250_000
+#: Counts that a task holds before it adds up those of equal words, and hands them on if half as many are left.
+FLUSH = 1 << 20
+#: Bytes of text hashed at once; longest word whose bytes are read eight by eight.
+PIECE, LONGEST = 1 << 18, 256
+#: Ending of a word by its last two bytes; one byte stands in the second row.
+_ENDING = np.array([zlib.crc32(bytes([i >> 8, i & 255])) % ENDINGS for i in range(1 << 16)] + [zlib.crc32(bytes([i])) % ENDINGS for i in range(256)], np.uint64)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word (64 bits, the lowest tell its ending); seven bytes at least follow the last word."""
+    size = end - start
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    out = common.mix64(size.astype(np.uint64))
+    rest, at = slice(None), start
+    left = size
+    while len(at):
+        x = eight[at].view("<u8")[:, 0] & _FIRST[np.minimum(left, 8)]
+        out[rest] = common.mix64(out[rest] * np.uint64(0x9E3779B97F4A7C15) ^ x)
+        more = np.flatnonzero((left > 8) & (left <= LONGEST))
+        rest = more if isinstance(rest, slice) else rest[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONGEST):
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
+    last = data[end - 1].astype(np.int64)
+    two = np.where(size > 1, data[end - 2].astype(np.int64) << 8, 1 << 16)
+    return (out & ~np.uint64(ENDINGS - 1) | _ENDING[two + last]).view(np.int64)
+
+
+def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of all texts, number of words in each text); the words are those of ``words``."""
+    out, sizes = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+    raw, first, held = [], 0, 0
+    for i, t in enumerate(texts):
+        raw.append(t.lower().encode("utf-8", "surrogatepass"))
+        held += len(raw[-1])
+        if held < PIECE and i + 1 < len(texts):
+            continue
+        data = np.frombuffer(b"".join([b" ", b" ".join(raw), b" " * 8]), np.uint8)
+        gap = (data == 32) | (data - np.uint8(9) < 5)
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        start, end = edge[::2], edge[1::2]
+        for a in range(0, len(start), PIECE):
+            out.append(_hashes(data, start[a : a + PIECE], end[a : a + PIECE]))
+        ends = np.cumsum([len(x) + 1 for x in raw])
+        sizes[first : i + 1] = np.diff(np.searchsorted(start, ends), prepend=0)
+        raw, first, held = [], i + 1, 0
+    return np.concatenate(out), sizes
+
+
 def word_hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    data = np.frombuffer(word + b" " * 8, np.uint8)
+    return int(_hashes(data, np.array([0]), np.array([len(word)]))[0])
 
 
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
+def _summed(word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(word)
+    word = word[order]
+    first = np.flatnonzero(np.diff(word, prepend=~word[:1]))
+    return word[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, ending, n) over all texts; ``word`` is a 64-bit hash. Tasks pre-aggregate within bounded memory."""
 
     def run(batches):
-        held: Counter = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # distinct words and counts of each part
+
+        def merged():
+            held[:] = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+            return held[0]
 
-        def flush():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([word_hash(w) for w in held], pa.int64()), pa.array([ending(w) for w in held], pa.int32()), pa.array(list(held.values()), pa.int64())],
-                names=["word", "ending", "n"],
-            )
+        def rows():
+            word, n = merged()
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
 
         for b in batches:
             for part in common.slices(b):
-                for t in common.texts(part):
-                    held.update(words(t))
-                if len(held) > FLUSH:
-                    yield flush()
+                word = np.sort(hashes(common.texts(part))[0])
+                first = np.flatnonzero(np.diff(word, prepend=~word[:1]))
+                held.append((word[first], np.diff(first, append=len(word))))
+                if sum(len(w) for w, _ in held) > FLUSH and len(merged()[0]) > FLUSH // 2:
+                    yield rows()
         if held:
-            yield flush()
+            yield rows()
         common.release()
 
-    rows = docs.select("text").mapInArrow(run, "word long, ending int, n long")
-    return rows.groupBy("word", "ending").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("word", F.pmod("word", F.lit(ENDINGS)).cast("int").alias("ending"), "n")
 
 
 @dataclass
@@ -86,7 +140,7 @@ class Vocabulary:
         top = counts.orderBy(F.desc("n"), "word").limit(TOP).select("word").collect()
         frequent = {r.word: i for i, r in enumerate(top)}
         rest = counts.where(~F.col("word").isin(list(frequent) or [0])) if frequent else counts
-        place = (F.col("ending") * BUCKETS + F.pmod("word", F.lit(BUCKETS))).alias("at")
+        place = (F.col("ending") * BUCKETS + F.pmod(F.shiftright("word", ENDING_BITS), F.lit(BUCKETS))).alias("at")
         sums = np.zeros(ENDINGS * BUCKETS)
         for r in rest.groupBy(place).agg(F.sum("n").alias("n")).collect():
             sums[r["at"]] = r["n"]
@@ -95,35 +149,26 @@ class Vocabulary:
         inner[TOP : TOP + ENDINGS] = np.log((sums + 1) / (sums.sum(1, keepdims=True) + BUCKETS))
         return cls(frequent, inner.ravel())
 
-    def code(self, word: bytes) -> int:
-        h = word_hash(word)
-        c = self.frequent.get(h)
-        return c * BUCKETS if c is not None else (TOP + ending(word)) * BUCKETS + h % BUCKETS
-
-
-class Coder:
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
-
-    def codes(self, text: str) -> np.ndarray:
-        known, own = self.known, words(text)
-        new = set(own).difference(known)
-        if new:
-            if len(known) > CACHE:
-                known.clear()
-                new = set(own)
-            code = self.vocabulary.code
-            known.update((w, code(w)) for w in new)
-        return np.fromiter(map(known.__getitem__, own), np.int32, len(own))
+    def codes(self, word: np.ndarray) -> np.ndarray:
+        """Class and bucket, as one number, of each word by its hash."""
+        known = np.array(sorted(self.frequent), np.int64)
+        out = ((word & (ENDINGS - 1)) + TOP) * BUCKETS + ((word >> ENDING_BITS) & (BUCKETS - 1))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+            hit = np.flatnonzero(known[at] == word)
+            out[hit] = np.array([self.frequent[h] for h in known.tolist()])[at[hit]] * BUCKETS
+        return out.astype(np.int32)
 
+    def code(self, word: bytes) -> int:
+        return int(self.codes(np.array([word_hash(word)]))[0])
 
-    def lists(self, batch: pa.RecordBatch) -> list[np.ndarray]:
-        """Codes of each row: the column of that name, or else those of the text."""
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of all rows, number of codes in each row): the column of that name, or else those of the text."""
         if "codes" not in batch.schema.names:
-            return [self.codes(t) for t in common.texts(batch)]
+            word, sizes = hashes(common.texts(batch))
+            return self.codes(word), sizes
         held = batch.column(batch.schema.get_field_index("codes"))
-        at = np.asarray(held.offsets)
-        return np.split(np.asarray(held.flatten(), np.int32), at[1:-1] - at[0]) if len(held) else []
+        return np.asarray(held.flatten(), np.int32), np.diff(np.asarray(held.offsets).astype(np.int64))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -133,12 +178,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        coder = Coder(shared.value)
+        voc = shared.value
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lists = coder.lists(batch)
-            at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            codes = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
+            every, sizes = voc.read(batch)
+            codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(every))
             names = [f.name for f in kept]
             return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), codes], names=[*names, "codes"])
 
@@ -166,81 +210,132 @@ def unpack(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def windows(classes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """Classes around each position, or those in ``at`` (left to right, without itself)."""
-    padded = np.full(len(classes) + 2 * SIDE, OUTSIDE, np.int32)
-    padded[SIDE : SIDE + len(classes)] = classes
-    at = np.arange(len(classes)) if at is None else at
-    return np.stack([padded[at + k] for k in range(2 * SIDE + 1) if k != SIDE], 1)
+def windows(classes: np.ndarray, at: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Classes around each position, or those in ``at`` (left to right, without itself); with ``sizes`` those of texts that are joined."""
+    sizes = np.array([len(classes)]) if sizes is None else sizes
+    place = np.arange(len(classes)) + SIDE * np.repeat(np.arange(1, len(sizes) + 1), sizes)  # marks stand before each text and after the last
+    padded = np.full(len(classes) + SIDE * (len(sizes) + 1), OUTSIDE, np.int32)
+    padded[place] = classes
+    place = place if at is None else place[at]
+    out = np.empty((len(place), 2 * SIDE), np.int32)
+    for i, k in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
+        out[:, i] = padded[place + k]
+    return out
+
+
+#: Parameters of the input layer, then its bias; what follows is the output layer with its bias as one more row.
+_FIRST_SIZE = 2 * SIDE * CLASSES * HIDDEN
+_ROWS = CLASSES * np.arange(2 * SIDE)
+_ONES = np.ones(CLASSES, np.float32)
+#: Positions that go through the network together.
+BATCH = 1024
 
 
-def forward(flat: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hidden layer, log-probabilities of all classes) for each row of ``around``."""
-    h, z, total = _layers(flat, around)
-    return h, z - np.log(total)[:, None]
+def _split(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(input layer by place and class, its bias, output layer and its bias below)."""
+    end = _FIRST_SIZE + HIDDEN
+    return flat[:_FIRST_SIZE].reshape(-1, HIDDEN), flat[_FIRST_SIZE:end], flat[end:].reshape(HIDDEN + 1, CLASSES)
 
 
-def _layers(flat: np.ndarray, around: np.ndarray, over: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hidden layer, scores of all classes, sums of their exponentials); the exponentials in place of the scores if ``over``."""
-    first, b1, second, b2 = unpack(flat)
-    h = first[0][around[:, 0]]
+def _layers(flat: np.ndarray, rows: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hidden layer and a column of ones, scores of all classes, in ``out``) where ``rows`` of the input layer are summed."""
+    first, b1, last = _split(flat)
+    x = first.take(rows[:, 0], 0)
     for k in range(1, 2 * SIDE):
-        h += first[k][around[:, k]]
-    h += b1
-    np.tanh(h, out=h)
-    z = h @ second
-    z += b2
-    if np.abs(second).sum(0).max() + np.abs(b2).max() > 60:  # else no exponential overflows, as no hidden value is beyond 1
+        x += first.take(rows[:, k], 0)
+    x += b1
+    h = np.ones((len(rows), HIDDEN + 1), np.float32)
+    np.tanh(x, out=h[:, :HIDDEN])
+    z = np.matmul(h, last, out=out)
+    if np.abs(last).sum(0).max() > 60:  # else no exponential overflows, as no hidden value is beyond 1
         z -= z.max(1, keepdims=True)
-    e = np.exp(z, out=z if over else None)
-    return h, z, e.sum(1)
+    return h, z
+
+
+def forward(flat: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hidden layer, log-probabilities of all classes) for each row of ``around``."""
+    h, z = _layers(flat, around + _ROWS)
+    return h[:, :HIDDEN], z - np.log(np.exp(z) @ _ONES)[:, None]
+
+
+def log_probs(flat: np.ndarray, around: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Log-probability of the true class for each row of ``around``."""
+    out, work = np.empty(len(truth)), np.empty((min(BATCH, len(truth)), CLASSES), np.float32)
+    for a in range(0, len(truth), BATCH):
+        own = truth[a : a + BATCH]
+        z = _layers(flat, around[a : a + BATCH] + _ROWS, work[: len(own)])[1]
+        true = z[np.arange(len(own)), own]
+        out[a : a + BATCH] = true - np.log(np.exp(z, out=z) @ _ONES)
+    return out
+
+
+#: Gradients of one row that are added at once.
+TOGETHER = 8
 
 
-def _truths(flat: np.ndarray, around: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(score of the true class, sum of the exponentials of all) for each row."""
-    _, z, total = _layers(flat, around)
-    return z[np.arange(len(truth)), truth], total
+def _by_row(rows: np.ndarray, each: np.ndarray, out: np.ndarray) -> None:
+    """Sums of the gradients in ``each`` (a row of zeros follows them) for each row of the input layer."""
+    n = len(rows)
+    key = rows.T.ravel()
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    count = np.bincount(key, minlength=len(out))
+    # equal rows are neighbours now, in groups that the row of zeros fills up
+    groups = (count + TOGETHER - 1) // TOGETHER
+    end = np.cumsum(groups)
+    at = np.full(end[-1] * TOGETHER, n)
+    at[np.arange(len(key)) + np.repeat((end - groups) * TOGETHER - (np.cumsum(count) - count), count)] = order % n
+    sums = each.take(at.reshape(-1, TOGETHER).T.ravel(), 0).reshape(TOGETHER, -1).sum(0).reshape(-1, HIDDEN)
+    used = np.flatnonzero(count)
+    out[:] = 0
+    out[used] = np.add.reduceat(sums, (end - groups)[used])
 
 
 class Trainer:
     """Adam over mini-batches of masked positions."""
 
-    def __init__(self, flat: np.ndarray, rate: float = 0.005, batch: int = 1024):
+    def __init__(self, flat: np.ndarray, rate: float = 0.005, batch: int = BATCH):
         self.flat, self.rate, self.batch, self.seen, self.k = flat.copy(), rate, batch, 0, 0
-        self.m, self.v = np.zeros_like(flat), np.zeros_like(flat)
+        self.m, self.v, self.grad, self.work = (np.zeros_like(flat) for _ in range(4))
+        self.e, self.dh = np.empty((batch, CLASSES), np.float32), np.zeros((batch + 1, HIDDEN), np.float32)
 
     def learn(self, around: np.ndarray, truth: np.ndarray) -> None:
         order = np.random.default_rng(len(truth) + self.seen).permutation(len(truth))
         for a in range(0, len(order), self.batch):
             at = order[a : a + self.batch]
-            self._step(around[at], truth[at])
+            self._step(around.take(at, 0), truth[at])
         self.seen += len(truth)
 
     def _step(self, around: np.ndarray, truth: np.ndarray) -> None:
-        second, n = unpack(self.flat)[2], len(truth)
-        h, e, total = _layers(self.flat, around, over=True)
-        e /= (total * n)[:, None]
-        e[np.arange(n), truth] -= np.float32(1 / n)
-        dh = (e @ second.T) * (1 - h * h)
-        grad = np.zeros_like(self.flat)
-        g_first, g_b1, g_second, g_b2 = unpack(grad)
-        # rows of the input layer, sorted so that each row's gradients are neighbours
-        rows = (around + CLASSES * np.arange(2 * SIDE, dtype=np.int32)).T.astype(np.uint16).ravel()
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        start = np.flatnonzero(np.diff(rows, prepend=rows[0] + 1))
-        g_first.reshape(-1, HIDDEN)[rows[start]] = np.add.reduceat(dh[order % n], start)
-        g_b1 += dh.sum(0)
-        np.matmul(h.T, e, out=g_second)
-        g_b2 += e.sum(0)
+        n, rows = len(truth), around + _ROWS
+        last = _split(self.flat)[2]
+        g_first, g_b1, g_last = _split(self.grad)
+        h, e = _layers(self.flat, rows, self.e[:n])
+        np.exp(e, out=e)
+        total = e @ _ONES
+        # of probabilities less the truth, times their sum: the narrow layer is divided by it
+        e[np.arange(n), truth] -= total
+        share = (1 / (total * n))[:, None]
+        x, dh = h[:, :HIDDEN], self.dh[: n + 1]
+        np.matmul(e, last[:HIDDEN].T, out=dh[:n])
+        dh[:n] *= (1 - x * x) * share
+        dh[n] = 0
+        dh[:n].sum(0, out=g_b1)
+        _by_row(rows, dh, g_first)
+        h *= share
+        g_last[:] = (e.T @ h).T
+        self._move()
+
+    def _move(self) -> None:
+        grad, step = self.grad, self.work
         self.k += 1
         self.m *= 0.9
-        self.m += np.float32(0.1) * grad
+        self.m += np.multiply(grad, np.float32(0.1), out=step)
         self.v *= 0.999
         grad *= grad
         grad *= np.float32(0.001)
         self.v += grad
-        step = np.sqrt(self.v / (1 - 0.999**self.k))
+        np.divide(self.v, 1 - 0.999**self.k, out=step)
+        np.sqrt(step, out=step)
         step += 1e-8
         np.divide(self.m, step, out=step)
         step *= self.rate / (1 - 0.9**self.k)
@@ -255,18 +350,18 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
         now = spark.sparkContext.broadcast(flat)
 
         def run(batches, now=now):
-            coder, trainer = Coder(voc.value), Trainer(now.value)
+            trainer = Trainer(now.value)
             around, truth, held = [], [], 0
             for b in batches:
                 for part in common.slices(b):
-                    for own in coder.lists(part):
-                        c = own // BUCKETS
-                        if not len(c):
-                            continue
-                        pos = np.arange(len(c) * 7919 % stride % len(c), len(c), stride)
-                        around.append(windows(c, pos))
-                        truth.append(c[pos])
-                        held += len(pos)
+                    every, sizes = voc.value.read(part)
+                    c = every // BUCKETS
+                    before = np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    size = np.repeat(sizes, sizes)
+                    pos = np.flatnonzero((np.arange(len(c)) - before - size * 7919 % stride % np.maximum(size, 1)) % stride == 0) if stride > 1 else None
+                    around.append(windows(c, pos, sizes))
+                    truth.append(c if pos is None else c[pos])
+                    held += len(truth[-1])
                     if held > 50_000:
                         trainer.learn(np.concatenate(around), np.concatenate(truth))
                         around, truth, held = [], [], 0
@@ -277,7 +372,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
                     [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(trainer.flat.astype(np.float64) * trainer.seen), pa.array(np.full(len(flat), float(trainer.seen)))],
                     names=["i", "x", "n"],
                 )
-            del coder, trainer, around, truth
+            del trainer, around, truth
             common.release()
 
         sums = docs.select("codes" if "codes" in docs.columns else "text").mapInArrow(run, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
@@ -301,24 +396,13 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -
 
     def make():
         voc, params = shared.value
-        coder = Coder(voc)
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             # texts are scored together, each within its own borders
-            codes = coder.lists(batch)
-            n = np.array([len(c) for c in codes], np.int64)
-            sums = np.zeros(len(codes))
-            if n.sum():
-                every = np.concatenate(codes)
-                around = np.concatenate([windows(c // BUCKETS) for c in codes if len(c)])
-                of = np.repeat(np.arange(len(codes)), n)
-                each = voc.inner[every].astype(np.float64)
-                truth = every // BUCKETS
-                for a in range(0, len(every), 2048):
-                    own = truth[a : a + 2048]
-                    z, total = _truths(params, around[a : a + 2048], own)
-                    each[a : a + 2048] += z - np.log(total)
-                sums = np.bincount(of, each, len(codes))
+            every, n = voc.read(batch)
+            truth = every // BUCKETS
+            each = voc.inner[every] + log_probs(params, windows(truth, None, n), truth)
+            sums = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).astype(np.float64)  # without words: integers
             mean = pa.array([s / k if k else None for s, k in zip(sums.tolist(), n.tolist())], pa.float64())
             own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             return pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(sums), mean], names=[*kept, *made])

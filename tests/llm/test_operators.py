@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -836,6 +837,48 @@ def test_training_takes_every_position(spark):
     assert np.allclose(lm_scores.train(rows, voc, rounds=1), trainer.flat, atol=1e-6)
 
 
+def test_words_are_hashed_together(texts):
+    odd = ["ß İΣ Σ", "", " \x1c a\x0bb\x85c d\t\n", "x" * 300 + " " + "y" * 256 + " z " + "y" * 257, "é", "ΑΣ", "  a", "\n"]
+    every = [*odd, *list(texts.values())[:40]]
+    own = [lm_scores.words(t) for t in every]
+    got, sizes = lm_scores.hashes(every)
+    assert sizes.tolist() == [len(w) for w in own]
+    assert got.tolist() == [lm_scores.word_hash(w) for ws in own for w in ws]
+    assert (got % lm_scores.ENDINGS).tolist() == [lm_scores.ending(w) for ws in own for w in ws]
+    assert len(set(got.tolist())) == len({w for ws in own for w in ws})
+    cost = {}
+    many = [t for t in every * 100 if t]
+    for f in (lambda: lm_scores.hashes(many), lambda: collections.Counter(lm_scores.word_hash(w) for t in many[: len(many) // 100] for w in lm_scores.words(t))):
+        start = time.process_time()
+        f()
+        cost[len(cost)] = time.process_time() - start
+    assert cost[0] < 50 * cost[1]  # half of what single words would take
+
+
+def test_gradient_and_windows_of_joined_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 5, 1, 0, 700, 2, 0])
+    classes = rng.integers(0, lm_scores.OUTSIDE, sizes.sum()).astype(np.int32)
+    cuts = np.split(classes, np.cumsum(sizes)[:-1])
+    around = lm_scores.windows(classes, None, sizes)
+    assert (around == np.concatenate([lm_scores.windows(c) for c in cuts])).all()
+    trainer = lm_scores.Trainer(lm_scores.start(3))
+    monkeypatch.setattr(trainer, "_move", lambda: None)
+    trainer._step(around, classes)
+    first, b1, second, b2 = (x.astype(np.float64) for x in lm_scores.unpack(trainer.flat))
+    h = np.tanh(sum(first[k][around[:, k]] for k in range(4)) + b1)
+    e = np.exp(h @ second + b2)
+    e /= e.sum(1, keepdims=True)
+    e[np.arange(len(classes)), classes] -= 1
+    e /= len(classes)
+    dh = (e @ second.T) * (1 - h * h)
+    want = [np.zeros_like(first), dh.sum(0), h.T @ e, e.sum(0)]
+    for k in range(4):
+        np.add.at(want[0][k], around[:, k], dh)
+    for got, own in zip(lm_scores.unpack(trainer.grad), want):
+        assert np.allclose(got, own, atol=1e-6)
+
+
 def test_word_counts_cover_everything(spark, texts):
     got = {r.word: r.n for r in lm_scores.word_counts(all_docs(spark)).collect()}
     want = collections.Counter(lm_scores.word_hash(w) for t in texts.values() for w in lm_scores.words(t))
