@@ -115,10 +115,10 @@ def repeated(pieces: list[bytes], least: int, keep_first: bool) -> tuple[list[np
     windows = [max(0, len(p) - least + 1) for p in pieces]
     where = np.concatenate([np.arange(s, s + w) for s, w in zip(starts, windows)]) if pieces else np.zeros(0, np.int64)
     own = label[where]
-    names, first, inverse, count = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-    leads = np.zeros(len(own), bool)
-    leads[first] = True
-    gone = ~leads if keep_first else count[inverse] > 1
+    first = np.zeros(len(label) + 1, np.int64)
+    first[own[::-1]] = np.arange(len(own))[::-1]  # of equal labels the last one written stays
+    leads = first[own] == np.arange(len(own))
+    gone = ~leads if keep_first else np.bincount(own, minlength=1)[own] > 1
     cuts = np.cumsum(windows)[:-1]
     return np.split(gone, cuts), np.split(leads, cuts)
 

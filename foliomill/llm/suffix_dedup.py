@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,14 @@ from .bwt import MOST, repeated, shared
 SEED = 32
 #: Window starts looked at together; a longer text is cut into such stretches that overlap by a window.
 STRETCH = 1 << 20
+#: Bytes hashed together.
+HASHED = 1 << 16
 #: Bytes of contexts in one transform, different contexts of one seed that go together.
 TEXT, GROUP = 1 << 20, 512
 #: Window starts in a cell, from level to level.
 WIDTHS = (96, 24, 6, 1)
+#: Distances before a seed whose windows are looked at together, before any transform.
+CELL = 48
 RUN = "least int, ah long, dg long, s0 int, s1 int, seed int"
 #: An odd factor and its inverse modulo 2**64, for digests that do not depend on the place.
 _FACTOR = 0x9FB21C651E98DF25
@@ -43,7 +48,9 @@ _BYTES = common.mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51_7C_C1_B7)
 
 
 def _hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of every ``width`` bytes; width is a power of two."""
+    """A 64-bit hash of every ``width`` bytes; width is a power of two. Parts are small enough for a core's cache."""
+    if len(data) > HASHED + width:
+        return np.concatenate([_hashes(data[a : a + HASHED + width - 1], width) for a in range(0, len(data) - width + 1, HASHED)])
     h = _BYTES[data]
     n = 1
     with np.errstate(over="ignore"):
@@ -182,6 +189,25 @@ def _cut(rows: DataFrame, least: int) -> DataFrame:
     return common.map_arrow(rows, make, f"doc_id {kind}, th long, ah long, dg long, s0 int, seed int, hot boolean, bytes binary")
 
 
+def _meeting(group: list[dict], least: int) -> list[dict]:
+    """The contexts of one seed that another one may share a window with, and no fewer; rows repeated as a whole go.
+
+    Equal windows stand equally far before the seed. So they hold one core of those that ``CELL`` distances in a row
+    have in common, and a context whose cores are all its own has no window that occurs elsewhere.
+    """
+    seen: set[int] = set()
+    group = [r for r in group if r["dg"] not in seen and not seen.add(r["dg"])]
+    if len(group) < 2:
+        return []
+    holders: dict[tuple[int, bytes], list[int]] = {}
+    for i, r in enumerate(group):
+        b, k = r["bytes"], r["seed"] - r["s0"]
+        for far in range(max(0, k - len(b) + least) // CELL * CELL, k + 1, CELL):
+            holders.setdefault((far, b[k - far : k - min(far + CELL - 1, least - SEED) + least]), []).append(i)
+    meet = {i for x in holders.values() if len(x) > 1 for i in x}
+    return [r for i, r in enumerate(group) if i in meet]
+
+
 def _expanded(cut: DataFrame, least: int, keep_first: bool = False, across: bool = False) -> DataFrame:
     """(doc_id, th, lo, hi): stretches of windows to remove, by interval expansion over whole seeds.
 
@@ -194,8 +220,6 @@ def _expanded(cut: DataFrame, least: int, keep_first: bool = False, across: bool
     def solve(held: list[dict]) -> pa.RecordBatch:
         # one piece for each context; the corpus order decides which of equal windows is the first
         held.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["th"], r["s0"]))
-        seen: set[tuple] = set()
-        held = [r for r in held if (k := (r["ah"], r["dg"])) not in seen and not seen.add(k)]  # rows repeated as a whole
         pieces = [r["bytes"] for r in held]
         if across:
             texts: dict[tuple, int] = {}
@@ -214,18 +238,19 @@ def _expanded(cut: DataFrame, least: int, keep_first: bool = False, across: bool
     def run(batches):
         held: list[dict] = []
         size = 0
-        for b in batches:
-            for r in b.to_pylist():
-                if size > TEXT and r["ah"] != held[-1]["ah"]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r["bytes"]) + 1
+        rows = (r for b in batches for r in b.to_pylist())
+        for _, group in groupby(rows, lambda r: r["ah"]):
+            own = _meeting(list(group), least)
+            held += own
+            size += sum(len(r["bytes"]) + 1 for r in own)
+            if size > TEXT:
+                yield solve(held)
+                held, size = [], 0
         if held:
             yield solve(held)
 
     schema = f"doc_id {kind}, th long" + ("" if across else ", lo int, hi int")
-    return rows.select("ah", "dg", "doc_id", "th", "s0", "bytes").mapInArrow(run, schema)
+    return rows.select("ah", "dg", "doc_id", "th", "s0", "seed", "bytes").mapInArrow(run, schema)
 
 
 def _cells(work: DataFrame, width: int, least: int) -> DataFrame:

@@ -481,6 +481,37 @@ def test_contexts_in_stretches(monkeypatch):
         assert all(len(v) == 1 for v in of.values()) and all(len(v) == 1 for v in seen.values())
 
 
+def test_only_contexts_that_can_meet_are_transformed():
+    rng = random.Random(5)
+    letters = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    seed, least, group = b"x" * suffix_dedup.SEED, 120, []
+    for i in range(60):
+        left, right = letters(88), letters(88)
+        if group and i % 3 == 0:  # shares as much as a window holds, a byte less or more, with an earlier one
+            old, far, n = rng.choice(group), rng.randrange(0, 89), least + i % 2 - (i % 4 == 0)
+            whole = bytearray(left + seed + right)
+            whole[88 - far : 88 - far + n] = old["bytes"][88 - far : 88 - far + n]
+            left, right = bytes(whole[:88]), bytes(whole[88 + len(seed) :])
+        cut = rng.randrange(0, 40)
+        group.append({"ah": 1, "dg": i, "doc_id": i, "th": 0, "s0": 500, "seed": 588, "bytes": (left + seed + right)[: 208 - cut]})
+    group.append(dict(group[0], doc_id=99))
+    met = suffix_dedup._meeting(group, least)
+    gone = {r["dg"]: g for r, g in zip(group[:60], bwt.repeated([r["bytes"] for r in group[:60]], least, False)[0])}
+    assert any(g.any() for g in gone.values()) and len(met) < 50
+    for r, g in zip(met, bwt.repeated([r["bytes"] for r in met], least, False)[0]):
+        assert (gone.pop(r["dg"]) == g).all()
+    assert not any(g.any() for g in gone.values())
+
+
+def test_hashes_in_parts(monkeypatch):
+    data = np.random.default_rng(6).integers(0, 256, 1000).astype(np.uint8)
+    for n in (31, 32, 33, 131, 132, 133, 231, 232, 1000):
+        whole = suffix_dedup._hashes(data[:n], 32)
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "HASHED", 100)
+            assert (suffix_dedup._hashes(data[:n], 32) == whole).all() and len(whole) == max(0, n - 31)
+
+
 def test_repeats_over_the_table(spark, texts):
     got = queries.QUERIES["op5_suffix_dedup"](spark, DATA).collect()
     assert {r.doc_id for r in got if r.shares_passage} == brute_shared(sorted(texts.items()), suffix_dedup.PASSAGE)
