@@ -23,7 +23,9 @@ SIZES = (2, 3, 4, 5)
 BITS = 18
 #: Most labelled rows of either class that the fit reads, and most characters of them together (one text may be longer).
 MAX_ROWS, MAX_CHARS = 2000, 3_000_000
-CACHE = 400_000
+CACHE = 200_000
+#: Bytes of text whose words a scorer holds at once, and new words whose n-grams it does.
+WORD_BYTES, NEW_WORDS = 1 << 20, 10_000
 FOLDS = 4
 WINDOW = 48
 #: Distinct words whose mean counts beside the window, and the n-grams without a say added to each word's sum.
@@ -160,8 +162,8 @@ class Scorer:
                 known.clear()
                 new = set().union(*words)
             todo = list(new)
-            for a in range(0, len(todo), 50_000):
-                part = todo[a : a + 50_000]
+            for a in range(0, len(todo), NEW_WORDS):
+                part = todo[a : a + NEW_WORDS]
                 b, owner = grams(part)
                 s = np.bincount(owner, self.model.weight[b], len(part))
                 n = np.bincount(owner, minlength=len(part))
@@ -236,7 +238,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(Model(weight.astype(np.float64), bias, top))
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            s = scorer.scores(common.texts(batch))
+            s = np.concatenate([scorer.scores(common.texts(part)) for part in common.slices(batch, WORD_BYTES)])
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "toxicity"])
 
         return kernel

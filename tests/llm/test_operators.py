@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, same_rows
 from pyspark.sql import functions as F
@@ -90,6 +91,19 @@ def test_count_edges(spark, model):
 # 2 toxicity and 6 quality
 
 
+def test_toxicity_holds_the_words_of_little_text(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdeé \n") for _ in range(rng.randint(0, 300_000))) for _ in range(30)] + ["", "x" * 2_000_000]
+    model = toxicity.Model(np.random.default_rng(3).normal(size=1 << toxicity.BITS), 0.1, (0.5, 0.2, 0.1, 0.0))
+    want = toxicity.Scorer(toxicity.Model(model.weight.astype(np.float32).astype(float), model.bias, model.top)).scores(texts)
+    monkeypatch.setattr(common, "map_arrow", lambda df, make, schema: make())
+    kernel, seen, scores = toxicity.score_toxicity(docs(spark, "a"), model), [], toxicity.Scorer.scores
+    monkeypatch.setattr(toxicity.Scorer, "scores", lambda self, t: seen.append([len(x.encode()) for x in t]) or scores(self, t))
+    got = kernel(pa.record_batch({"text": texts})).column("toxicity").to_pylist()
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
+    assert sum(map(len, seen)) == len(texts) and all(len(s) == 1 or sum(s[1:]) <= 1 << 20 for s in seen)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     plain = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60))
