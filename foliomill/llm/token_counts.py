@@ -7,7 +7,8 @@ the last token of ``s[:j]`` is the one ``t`` ending at ``j`` for which the pair
 truncation or budget questions are array look-ups instead of new encodings.
 
 No piece of the vocabulary crosses the start of a run of word marks or a line break, so a text falls into
-segments whose counts add up; segments repeat a lot and are cached per worker.
+segments whose counts add up; segments repeat a lot and are cached per worker. A segment that is new is cut once more,
+between characters that stand side by side in no piece (a word and its punctuation), and its parts are cached as well.
 """
 
 from __future__ import annotations
@@ -50,22 +51,28 @@ class PrefixCounter:
         if sp.normalize("ﬁ \tａ") not in (f"{MARK}ﬁ{MARK}\tａ", "ﬁ \tａ"):
             raise ValueError("the model rewrites characters before it encodes")
         self.longest = max(map(len, self.score))
+        self._side_by_side = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        self._starts = {p[:n] for p in self.score for n in range(1, len(p) + 1)}
         self._new: dict[str, int] = {}
         self._old: dict[str, int] = {}
         self._fits: dict[tuple[str, str], bool] = {}
+        self._ends: dict[str, tuple[str, list[tuple[str, int]]]] = {}
 
     def _merge(self, text: str) -> list[str]:
         """Plain byte-pair merging of a short string: best score first, leftmost on ties."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
+        parts, score, none = list(text), self.score, float("-inf")
+        gains = [score.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while gains:
+            best = max(gains)
+            if best == none:
                 break
+            at = gains.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at:
+                gains[at - 1] = score.get(parts[at - 1] + parts[at], none)
+            if at < len(gains):
+                gains[at] = score.get(parts[at] + parts[at + 1], none)
         return parts
 
     def _fit(self, left: str, right: str) -> bool:
@@ -93,36 +100,39 @@ class PrefixCounter:
             del last[:gone], count[:gone]
         return count[-1]
 
+    def _end(self, s: str) -> tuple[str, list[tuple[str, int]]]:
+        """The longest end of ``s`` that starts a piece, and the pieces at its end with their lengths, longest first."""
+        if len(self._ends) > CACHE:
+            self._ends.clear()
+        tail = s
+        while tail and tail not in self._starts:
+            tail = tail[1:]
+        found = self._ends[s] = tail, [(tail[i:], len(tail) - i) for i in range(len(tail)) if tail[i:] in self.score]
+        return found
+
     def _extend(self, s: str, upto: int, base: int, last: list[str], count: list[int]) -> None:
         """Last token and count of the prefixes up to ``upto``; the lists start at place ``base``."""
-        score, fits, longest = self.score, self._fits, self.longest
-        for j in range(base + len(last), upto + 1):
-            for i in range(max(0, j - longest), j):
-                t = s[i:j]
-                if t in score:
-                    if i == 0:
-                        # the whole prefix is one piece only if merging really builds it
-                        if j == 1 or self._whole(t):
-                            last.append(t)
-                            count.append(1)
-                            break
-                        continue
-                    p = last[i - base]
-                    ok = fits.get((p, t))
-                    if ok is None:
-                        ok = self._fit(p, t)
-                    if ok:
-                        last.append(t)
-                        count.append(count[i - base] + 1)
-                        break
+        score, fits, ends = self.score, self._fits, self._ends
+        at, tail = base + len(last) - 1, ""
+        for c in s[max(0, at - self.longest) : at]:
+            tail = (ends.get(tail + c) or self._end(tail + c))[0]
+        for j in range(at + 1, upto + 1):
+            c = s[j - 1]
+            tail, pieces = ends.get(tail + c) or self._end(tail + c)
+            for t, n in pieces:
+                # at the start the whole prefix is one piece only if merging really builds it
+                p = last[j - n - base]
+                ok = fits.get((p, t))
+                if ok is None:
+                    ok = self._fit(p, t)
+                if ok:
+                    last.append(t)
+                    count.append(count[j - n - base] + 1)
+                    break
             else:  # a character outside the vocabulary: its UTF-8 bytes
-                c = s[j - 1]
                 last.append(c)
                 count.append(count[-1] + (1 if c in score else len(c.encode("utf-8", "surrogatepass"))))
 
-    def _whole(self, piece: str) -> bool:
-        return self._fit("", piece)
-
     def _parts(self, text: str) -> list[str]:
         """Segments of a text, word marks included, without its line breaks."""
         if MARK in text or "  " in text or "\n " in text or text[:1] == " ":
@@ -136,6 +146,12 @@ class PrefixCounter:
             parts.extend([MARK + w for w in words[1:]])
         return parts
 
+    def _runs(self, part: str) -> list[str]:
+        """Parts of a segment between which no merge can happen: no piece holds the two characters there side by side."""
+        inside = self._side_by_side
+        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in inside]
+        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])] if cuts else [part]
+
     def _known(self, part: str) -> int:
         if len(part) > LONG:
             return self.total(part)
@@ -143,7 +159,8 @@ class PrefixCounter:
         if n is None:
             n = self._old.get(part)
             if n is None:
-                n = self.segment(part)[-1]
+                runs = self._runs(part)
+                n = sum(map(self._known, runs)) if len(runs) > 1 else self.segment(part)[-1]
             if len(self._new) >= CACHE:
                 self._old, self._new = self._new, {}
             self._new[part] = n

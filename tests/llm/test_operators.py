@@ -79,6 +79,23 @@ def test_every_prefix(model):
         assert all(len(sp.encode(t[:j])) <= 5 for j in range(k + 1)) and (k == len(t) or len(sp.encode(t[: k + 1])) > 5)
 
 
+def test_words_with_punctuation_are_counted_once(model, monkeypatch):
+    import sentencepiece
+
+    sp, own, done = sentencepiece.SentencePieceProcessor(model_file=model), token_counts.PrefixCounter(model), []
+    segment = token_counts.PrefixCounter.segment
+    monkeypatch.setattr(token_counts.PrefixCounter, "segment", lambda self, s: done.append(s) or segment(self, s))
+    word = "anonwhetion"
+    forms = [word, word + ",", word + ".", word + "&&&", word + "&&&,", word + "日", word + "\t" + word]
+    for t in forms * 2:
+        assert own.count(t) == len(sp.encode(t)), t
+    assert len(done) == len(set(done)) and sum(word in s for s in done) == 2  # with a word mark and without
+    rng = random.Random(4)
+    for _ in range(300):
+        t = "".join(rng.choice(["the", "tion", "é", "ß", "Q", ",", ".", "&&&", "0", "12", " ", "\n", "日", "🙂", "▁", "ﬁ", "\t"]) for _ in range(rng.randint(1, 40)))
+        assert own.count(t) == len(sp.encode(t)) == own.prefixes(t)[-1], t
+
+
 def test_count_edges(spark, model):
     rows = docs(spark, *ODD).withColumn("n_tokens", F.lit("clash"))
     got = token_counts.token_counts(rows, model, budget=10, prefixes=True).orderBy("doc_id").collect()
