@@ -7,7 +7,9 @@ The patterns below are fixed values: results depend on them as they are.
 """
 
 SPACE = r"(?Ud)\s+"
-EDGES = r"(?Ud)^\s+|\s+\z"
+#: What ``\s`` stands for, and a pattern of it without the blank.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD_SPACE = r"[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # numbers at the start of a line
 BROKEN_NUMBER = r"(?Ud)^(\d+(?:\.\s*\d+)*)\.\s+(\d)"
@@ -34,6 +36,9 @@ BULLET = r"(?Udm)(?:^|(?<=[\s;.]))\s*[•●○▪■►]\s*"
 DASH = r"(?Udm)(?:^|(?<=\s))[-–—]\s+(?=[А-ЯЁA-Zа-яёa-z])"
 NUMBERED = r"(?Udm)(?:^|(?<=\s))\d{1,2}[)]\s+(?=[А-ЯЁA-Zа-яёa-z])|(?:^|(?<=\s))\d{1,2}[.]\s+(?=[А-ЯЁа-яё])"
 CITATION = r"(?Udi)\d{4}[;.,]|Vol\.|et al|// |pp?\.\s*\d|doi:|ISBN"
+# parts of CITATION: the year, and the page after one or two p
+CITED_YEAR = r"(?Ud)\d{4}[;.,]"
+CITED_PAGE = r"(?Ud)[pP]\.\s*\d"
 ENDS_SEMICOLON = r"(?Ud);\s*\z"
 LAST_SEMICOLON = r"(?Ud);\s*$"
 

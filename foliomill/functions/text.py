@@ -15,20 +15,87 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# A pattern decodes its text each time, so cheap comparisons of bytes come first where they rule most texts out.
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, R.EDGES, "")
+    return F.btrim(c, F.lit(R.WHITE))
+
+
+def _single_blanks(c: Column) -> Column:
+    """Runs of white space to one blank; ``c`` is a plain column."""
+    return F.when(F.contains(c, F.lit("  ")) | c.rlike(R.ODD_SPACE), F.regexp_replace(c, R.SPACE, " ")).otherwise(c)
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space to one blank, none at the edges."""
-    return strip(F.regexp_replace(c, R.SPACE, " "))
+    """Runs of white space to one blank, none at the edges; ``c`` is a plain column."""
+    return strip(_single_blanks(c))
+
+
+def may_number(c: Column) -> Column:
+    """Whether a text can start with a digit of any script (the lowest beyond ASCII is U+0660)."""
+    return ((c >= F.lit("0")) & (c < F.lit(":"))) | (c >= F.lit("\u0660"))
+
+
+def _may_name(c: Column) -> Column:
+    """Whether a text can start with a word of the contents' own: none starts below К."""
+    return c >= F.lit("К")
+
+
+def is_leader(c: Column) -> Column:
+    """``BODY_LEADER``."""
+    return F.contains(c, F.lit("...")) | F.contains(c, F.lit("……"))
+
+
+def is_toc_leader(c: Column) -> Column:
+    return (F.contains(c, F.lit(".")) | F.contains(c, F.lit("…"))) & c.rlike(R.TOC_LEADER)
+
+
+def is_plain_entry(stripped: Column) -> Column:
+    return may_number(stripped) & stripped.rlike(R.PLAIN_ENTRY)
+
+
+def is_skipped_line(stripped: Column) -> Column:
+    return _may_name(stripped) & stripped.rlike(R.SKIPPED)
+
+
+def is_appendix(stripped: Column) -> Column:
+    return _may_name(stripped) & stripped.rlike(R.APPENDIX)
+
+
+def is_toc_header(stripped: Column, whole: bool = True) -> Column:
+    return _may_name(stripped) & stripped.rlike(R.TOC_HEADER if whole else R.TOC_HEADER_OPEN)
+
+
+def any_of(c: Column, *words: str) -> Column:
+    found = F.contains(c, F.lit(words[0]))
+    for w in words[1:]:
+        found = found | F.contains(c, F.lit(w))
+    return found
+
+
+def is_citation(c: Column) -> Column:
+    """``CITATION``: its words in lower case, unless a letter stands there that the pattern takes for i or s."""
+    low = F.lower(c)
+    words = any_of(low, "vol.", "et al", "// ", "doi:", "isbn") | (F.contains(low, F.lit("p.")) & c.rlike(R.CITED_PAGE))
+    return F.when(any_of(c, "ı", "İ", "ſ"), c.rlike(R.CITATION)).otherwise(c.rlike(R.CITED_YEAR) | words)
+
+
+def is_caption(c: Column) -> Column:
+    """``CAPTION``, which its words decide, unless a letter stands there that the pattern takes for т."""
+    return F.when(any_of(c, "\u1c84", "\u1c85"), c.rlike(R.CAPTION)).otherwise(any_of(F.lower(c), "табл", "table"))
+
+
+def is_diagnostic(c: Column) -> Column:
+    """``DIAGNOSTIC``, which no text of ASCII alone holds."""
+    return (F.octet_length(c) > F.length(c)) & c.rlike(R.DIAGNOSTIC)
 
 
 def normalize_line(c: Column) -> Column:
     """Joins a number broken by blanks at the start of a line: ``3. 3Text`` to ``3.3Text``."""
     prefix = F.regexp_replace(F.regexp_extract(c, R.BROKEN_NUMBER, 1), r"(?Ud)\.\s*", ".")
     rest = F.substring(c, F.length(F.regexp_extract(c, R.BROKEN_NUMBER, 0)) + 1, F.length(c))
-    return F.when(c.rlike(R.BROKEN_NUMBER), F.concat(prefix, F.lit("."), F.regexp_extract(c, R.BROKEN_NUMBER, 2), rest)).otherwise(c)
+    return F.when(may_number(c) & c.rlike(R.BROKEN_NUMBER), F.concat(prefix, F.lit("."), F.regexp_extract(c, R.BROKEN_NUMBER, 2), rest)).otherwise(c)
 
 
 def normalize_number(c: Column) -> Column:
@@ -43,39 +110,49 @@ def level(number: Column) -> Column:
     return F.concat(F.lit("H"), depth(number).cast("string"))
 
 
+def _letter(c: Column) -> Column:
+    """Whether a single character is one of A to z or of the Cyrillic letters."""
+    return ((c >= F.lit("A")) & (c < F.lit("{"))) | ((c >= F.lit("\u0400")) & (c < F.lit("\u0530")))
+
+
+def _without(c: Column, pattern: str) -> Column:
+    """Without a trailer, which neither a letter nor a letter and a full stop end; ``c`` is a plain column."""
+    last, before = F.substring(c, -1, 1), F.substring(c, -2, 1)
+    return strip(F.when(_letter(last) | ((last == F.lit(".")) & _letter(before)), c).otherwise(F.regexp_replace(c, pattern, "")))
+
+
 def strip_dots(c: Column) -> Column:
-    """Without leaders and the page number after them."""
-    return strip(F.regexp_replace(c, R.TRAILER_DOTS, ""))
+    """Without leaders and the page number after them; ``c`` is a plain column."""
+    return _without(c, R.TRAILER_DOTS)
 
 
 def strip_page(c: Column) -> Column:
-    """Without a page number at the end."""
-    return strip(F.regexp_replace(c, R.TRAILER_PAGE, ""))
+    """Without a page number at the end; ``c`` is a plain column."""
+    return _without(c, R.TRAILER_PAGE)
 
 
 def is_page_number(c: Column) -> Column:
-    return c.rlike(R.PAGE_NUMBER)
+    return may_number(c) & c.rlike(R.PAGE_NUMBER)
 
 
 def toc_entry(stripped: Column, fmt: Column) -> Column:
     """struct(number, title) of a table-of-contents line, null if it is none."""
     number = normalize_number(F.regexp_extract(stripped, R.TOC_ENTRY, 1))
-    rest = F.regexp_extract(stripped, R.TOC_ENTRY, 2)
-    title = F.when(fmt == "A", strip_dots(rest)).otherwise(strip_page(rest))
-    ok = stripped.rlike(R.TOC_ENTRY) & ~stripped.rlike(R.SKIPPED) & ~is_page_number(stripped)
+    title = let(F.regexp_extract(stripped, R.TOC_ENTRY, 2), lambda rest: F.when(fmt == "A", strip_dots(rest)).otherwise(strip_page(rest)))
+    ok = may_number(stripped) & stripped.rlike(R.TOC_ENTRY) & ~is_skipped_line(stripped) & ~is_page_number(stripped)
     named = lambda t: F.when((t != "") & ~is_page_number(t), F.struct(number.alias("number"), t.alias("title")))
     return F.when(ok, let(title, named))
 
 
 def normal_heading(c: Column) -> Column:
     """For comparison by text: lower case, single blanks, then without punctuation."""
-    return F.regexp_replace(F.lower(F.regexp_replace(strip(c), R.SPACE, " ")), r"(?Ud)[^\w\s]", "")
+    return F.regexp_replace(F.lower(let(strip(c), _single_blanks)), r"(?Ud)[^\w\s]", "")
 
 
 def is_fragment(line: Column, heading: Column) -> Column:
     """Whether a line, without leaders, is part of a heading."""
-    own = F.lower(F.regexp_replace(strip_dots(line), R.SPACE, " "))
-    return (own != "") & F.contains(F.lower(F.regexp_replace(strip(heading), R.SPACE, " ")), own)
+    own = F.lower(let(strip_dots(line), _single_blanks))
+    return let(own, lambda x: (x != "") & F.contains(F.lower(let(strip(heading), _single_blanks)), x))
 
 
 def is_bold(fontname: Column) -> Column:
@@ -87,7 +164,7 @@ def is_heading_font(bold: Column, size: Column) -> Column:
 
 
 def clean_item(c: Column) -> Column:
-    return strip(F.regexp_replace(collapse(c), R.LAST_SEMICOLON, ""))
+    return let(collapse(c), lambda x: F.when(F.endswith(x, F.lit(";")), strip(F.substring(x, F.lit(1), F.length(x) - 1))).otherwise(x))
 
 
 def clean_cell(c: Column) -> Column:

@@ -10,12 +10,15 @@ from ..functions import regex as R
 from ..functions import text as T
 
 LEAST_LENGTH, LEAST_ITEMS = 8, 2
+#: One of these stands in every match of a pattern.
+MARKS = {R.BULLET: "•●○▪■►", R.DASH: "-–—", R.NUMBERED: ")."}
 ONE = schema.LISTS.removeprefix("array<").removesuffix(">")
 
 
 def segments(content: Column, pattern: str) -> Column:
-    """What follows each match, up to the next one; no match, no segments."""
-    return T.let(F.split(content, pattern, -1), lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
+    """What follows each match, up to the next one; no match, no segments. A text without the pattern's marks is not split."""
+    parts = T.let(F.split(content, pattern, -1), lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
+    return F.when(T.any_of(content, *MARKS[pattern]), parts).otherwise(F.array().cast("array<string>"))
 
 
 def items(parts: Column) -> Column:
@@ -29,7 +32,7 @@ def is_dash_list(parts: Column) -> Column:
 
 
 def is_citation_list(found: Column) -> Column:
-    return (F.size(found) > 0) & (F.size(F.filter(found, lambda x: x.rlike(R.CITATION))) >= F.size(found) * F.lit(0.4))
+    return (F.size(found) > 0) & (F.size(F.filter(found, T.is_citation)) >= F.size(found) * F.lit(0.4))
 
 
 def lists_of(content: Column, heading: Column) -> Column:

@@ -97,27 +97,28 @@ def clean_rows(rows: Column) -> Column:
 
 
 def is_diagnostic(c: Column) -> Column:
-    return c.rlike(R.DIAGNOSTIC)
+    return T.is_diagnostic(c)
 
 
 def keeps_width(cleaned: Column) -> Column:
     """Two columns, or one that starts with a diagnostic header."""
-    return (width(cleaned) >= 2) | is_diagnostic(F.coalesce(F.get(F.get(cleaned, 0), 0), F.lit("")))
+    return (width(cleaned) >= 2) | T.let(F.coalesce(F.get(F.get(cleaned, 0), 0), F.lit("")), is_diagnostic)
 
 
 def captions(tables: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, page_idx, table_idx, caption): the words just above a table, if they read like a caption.
 
-    A range join within the page: tops from 22 points above the table's top to it, bottoms at most 4 below it.
+    A range join within the page: tops from 22 points above the table's top to it, bottoms at most 4 below it. Tables of
+    a page at one height share their words, which are streamed past the heights and not sorted for the join.
     """
-    boxes = tables.select("doc_id", "page_idx", "table_idx", F.col("bbox.top").alias("t_top"))
+    heights = tables.groupBy("doc_id", "page_idx", F.col("bbox.top").alias("t_top")).agg(F.collect_list("table_idx").alias("ids"))
     w = words.select("doc_id", "page_idx", "word_idx", "text", "x0", "top", "bottom")
     near = (F.col("top") >= F.col("t_top") - CAPTION_GAP) & (F.col("top") <= F.col("t_top")) & (F.col("bottom") <= F.col("t_top") + CAPTION_SLACK)
-    hits = boxes.join(w, ["doc_id", "page_idx"]).where(near)
+    hits = w.join(heights.hint("shuffle_hash"), ["doc_id", "page_idx"]).where(near)
     entry = F.struct(F.rint("top").alias("r"), "x0", "word_idx", "text")
-    lines = hits.groupBy("doc_id", "page_idx", "table_idx").agg(F.array_sort(F.collect_list(entry)).alias("w"))
-    line = T.strip(F.array_join(F.transform("w", lambda x: x["text"]), " "))
-    return lines.withColumn("caption", line).where(F.col("caption").rlike(R.CAPTION)).select("doc_id", "page_idx", "table_idx", "caption")
+    lines = hits.groupBy("doc_id", "page_idx", "t_top").agg(F.array_sort(F.collect_list(entry)).alias("w"), F.first("ids").alias("ids"))
+    lines = lines.withColumn("line", F.array_join(F.transform("w", lambda x: x["text"]), " ")).withColumn("caption", T.strip(F.col("line")))
+    return lines.where(T.is_caption(F.col("caption"))).select("doc_id", "page_idx", F.explode("ids").alias("table_idx"), "caption")
 
 
 def kept_tables(tables: DataFrame, words: DataFrame) -> DataFrame:
@@ -142,11 +143,11 @@ def with_tables(sections: DataFrame, tables: DataFrame, words: DataFrame, body:
     return out.withColumn("tables", F.coalesce("tables", F.array().cast(schema.TABLES)))
 
 
-def annotated(body: DataFrame, headings: DataFrame, tables: DataFrame, words: DataFrame) -> DataFrame:
+def annotated(body: DataFrame, headings: DataFrame, tables: DataFrame, words: DataFrame, dealt: bool = False) -> DataFrame:
     """Sections with their ``tables``, as ``with_tables`` over ``sections`` gives them, from one pass over the body."""
     entry = F.struct("page_idx", "table_idx", "caption", "rows")
     placed = kept_tables(tables, words).groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("t"))
-    out = sections_with(body, headings, placed)
+    out = sections_with(body, headings, placed, dealt)
     return out.withColumn("tables", F.col("tables").cast(schema.TABLES))
 
 

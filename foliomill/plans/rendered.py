@@ -18,9 +18,9 @@ KEYWORDS = (
 
 _SPARK_LINES = r"""
 doc_lines AS (
-  SELECT doc_id, i, line, array_join(slice(split(line, ' '), 1, 3), ' ') AS lead, array_join(slice(split(line, ' '), 4, 3), ' ') AS mid,
-         size(split(coalesce(text, ''), '\n')) AS n
-  FROM documents LATERAL VIEW posexplode(split(coalesce(text, ''), '\n')) t AS i, line WHERE doc_id IS NOT NULL
+  SELECT doc_id, i, line, substring_index(line, ' ', 3) AS lead, substr(substring_index(line, ' ', 6), length(substring_index(line, ' ', 3)) + 2) AS mid, n
+  FROM (SELECT doc_id, l, size(l) AS n FROM (SELECT doc_id, split(coalesce(text, ''), '\n') AS l FROM documents WHERE doc_id IS NOT NULL))
+  LATERAL VIEW posexplode(l) t AS i, line
 )"""
 _DUCK_LINES = r"""
 doc_lines AS (
@@ -28,9 +28,10 @@ doc_lines AS (
   FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i, len(l) AS n
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL))
 )"""
+# lines are dealt by page before they are split: their words, many times as large, are not
 _SPARK_WORDS = r"""
-doc_words AS (
-  SELECT doc_id, i, w, word FROM doc_lines LATERAL VIEW posexplode(split(line, ' ')) t AS w, word WHERE word <> ''
+page_lines AS (
+  SELECT /*+ REPARTITION(PARTS, doc_id, page_idx) */ * FROM (SELECT doc_id, CAST((i - i % 5) / 5 AS INT) AS page_idx, i, line FROM doc_lines)
 )"""
 _DUCK_WORDS = r"""
 doc_words AS (
@@ -89,7 +90,7 @@ _ONE = lambda x: "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(_FIEL
 # one pass over the entries in Spark; a branch for each kind of line in DuckDB
 _SPARK_RAW = f"""
 raw_lines AS (
-  SELECT doc_id, x.* FROM entries LATERAL VIEW explode(array_compact(array({", ".join(f"CASE WHEN {x[5]} THEN {_ONE(x)} END" for x in _RENDERED)}))) t AS x
+  SELECT doc_id, x.* FROM entries LATERAL VIEW explode(array({", ".join(f"CASE WHEN {x[5]} THEN {_ONE(x)} END" for x in _RENDERED)})) t AS x WHERE x IS NOT NULL
 )"""
 _DUCK_RAW = f"""
 raw_lines AS ({" UNION ALL ".join(f"SELECT doc_id, {', '.join(f'{v} AS {n}' for n, v in zip(_FIELDS, x))} FROM entries WHERE {x[5]}" for x in _RENDERED)})"""
@@ -99,7 +100,7 @@ text_lines AS (
          text, bold, CAST(size AS DOUBLE) AS size FROM raw_lines
 )"""
 
-WORDS = """
+_DUCK_PLACED = """
 words AS (
   SELECT doc_id, CAST((i - i % 5) / 5 AS INT) AS page_idx, (i % 5) * 100000 + w AS word_idx, word AS text,
          CAST(7 * w - 10 * (w % 3) AS DOUBLE) AS x0, CAST(14 * (i % 5) AS DOUBLE) + CAST(0.7 AS DOUBLE) * (w % 4) AS top,
@@ -111,6 +112,22 @@ words AS (
          CAST(k * 40 - 100 AS DOUBLE), CAST(14 * (i % 5) AS DOUBLE) + 1, CAST(14 * (i % 5) AS DOUBLE) + 11, 'TimesNewRoman-BoldMT', CAST(11 AS DOUBLE)
   FROM doc_lines CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) q WHERE i % 10 = 2
 )"""
+# one pass over the lines: the two words of a caption, where k >= 0, follow a line's own
+_SPARK_PLACED = """
+words AS (
+  SELECT doc_id, page_idx, CASE WHEN k < 0 THEN (i % 5) * 100000 + w ELSE i % 5 * 100000 + 99998 + k END AS word_idx, word AS text,
+         CASE WHEN k < 0 THEN CAST(7 * w - 10 * (w % 3) AS DOUBLE) ELSE CAST(k * 40 - 100 AS DOUBLE) END AS x0,
+         CAST(14 * (i % 5) AS DOUBLE) + CASE WHEN k < 0 THEN CAST(0.7 AS DOUBLE) * (w % 4) ELSE 1 END AS top,
+         CASE WHEN k < 0 THEN CAST(14 * (i % 5) AS DOUBLE) + CAST(0.7 AS DOUBLE) * (w % 4) + 10 ELSE CAST(14 * (i % 5) AS DOUBLE) + 11 END AS bottom,
+         CASE WHEN k < 0 AND (i + w) % 5 < 3 THEN 'TimesNewRoman' ELSE 'TimesNewRoman-BoldMT' END AS fontname,
+         CASE WHEN k < 0 THEN CAST(10.5 AS DOUBLE) + (i + w) % 4 ELSE CAST(11 AS DOUBLE) END AS size
+  FROM (
+    SELECT doc_id, page_idx, i, w, word, w - m AS k
+    FROM (SELECT doc_id, page_idx, i, size(split(line, ' ')) AS m, split(line, ' ') AS own FROM page_lines)
+    LATERAL VIEW posexplode(CASE WHEN i % 10 = 2 THEN concat(own, array('Таблица', CAST(i + 1 AS STRING) || '.')) ELSE own END) t AS w, word
+    WHERE w >= m OR word <> ''
+  )
+)"""
 
 CONTENT = """
 content AS (
@@ -166,7 +183,7 @@ placed AS (
 NEEDS = {
     "entries": ("lines", "ENTRIES"),
     "text_lines": ("lines", "ENTRIES", "raw", "LINES"),
-    "words": ("lines", "words", "WORDS"),
+    "words": ("lines", "words", "placing"),
     "content": ("lines", "ENTRIES", "CONTENT"),
     "grids": ("GRID", "grid"),
     "placed": ("lines", "GRID", "grid", "PLACED"),
@@ -174,8 +191,8 @@ NEEDS = {
 
 
 def _parts(view: str, spark: bool) -> list[str]:
-    own = {"lines": (_DUCK_LINES, _SPARK_LINES), "raw": (_DUCK_RAW, _SPARK_RAW), "words": (_DUCK_WORDS, _SPARK_WORDS), "grid": (_DUCK_GRID, _SPARK_GRID)}
-    common = {"ENTRIES": ENTRIES, "LINES": LINES, "WORDS": WORDS, "CONTENT": CONTENT, "GRID": GRID, "PLACED": PLACED}
+    own = {"lines": (_DUCK_LINES, _SPARK_LINES), "raw": (_DUCK_RAW, _SPARK_RAW), "words": (_DUCK_WORDS, _SPARK_WORDS), "grid": (_DUCK_GRID, _SPARK_GRID), "placing": (_DUCK_PLACED, _SPARK_PLACED)}
+    common = {"ENTRIES": ENTRIES, "LINES": LINES, "CONTENT": CONTENT, "GRID": GRID, "PLACED": PLACED}
     return [own[p][spark] if p in own else common[p] for p in NEEDS[view]]
 
 
@@ -187,16 +204,32 @@ def duck(*views: str) -> str:
     return ",".join(parts).replace("DOCS", "(SELECT count(*) FROM slots)")
 
 
+#: Views whose texts are dealt by document before they are rendered, so nothing of theirs that goes by document is shuffled later.
+DEALT = ("text_lines", "content")
+#: Bytes of the documents' files for each part, whose rendered lines or words a task sorts in memory.
+PART_BYTES = 4 << 20
+
+
+def _parts_of(spark: SparkSession, documents: DataFrame) -> int:
+    """Parts into which texts are dealt: they grow with the files, whatever the setting."""
+    files = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files // PART_BYTES))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A rendered view over the whole tables at ``sf_dir``."""
     sql = f"WITH {','.join(_parts(name, True))} SELECT * FROM {name}"
     if "DOCS" in sql:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null").select("doc_id").distinct().count()
         sql = sql.replace("DOCS", str(max(1, docs)))
-    tables = [t for t in ("documents", "orders", "lineitem") if f" {t}" in sql]
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "orders", "lineitem") if f" {t}" in sql}
     for t in tables:
         sql = sql.replace(f"FROM {t}", "FROM {" + t + "}")
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    if name in DEALT:
+        tables["documents"] = tables["documents"].where("doc_id is not null").select("doc_id", "text").repartition(_parts_of(spark, tables["documents"]), "doc_id")
+    if "PARTS" in sql:
+        sql = sql.replace("PARTS", str(_parts_of(spark, tables["documents"])))
+    return spark.sql(sql, **tables)
 
 
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,11 +36,16 @@ PREDICATES = {
     "toc_leader": R.TOC_LEADER, "body_leader": R.BODY_LEADER, "page_number": R.PAGE_NUMBER, "plain_entry": R.PLAIN_ENTRY, "skipped": R.SKIPPED,
     "appendix": R.APPENDIX, "toc_header": R.TOC_HEADER, "citation": R.CITATION, "diagnostic": R.DIAGNOSTIC, "caption": R.CAPTION,
 }
+#: The same as functions of a stripped line, with cheaper tests before the patterns.
+TESTED = {
+    "toc_leader": T.is_toc_leader, "body_leader": T.is_leader, "page_number": T.is_page_number, "plain_entry": T.is_plain_entry, "skipped": T.is_skipped_line,
+    "appendix": T.is_appendix, "toc_header": T.is_toc_header, "citation": T.is_citation, "diagnostic": T.is_diagnostic, "caption": T.is_caption,
+}
 
 
 def line_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    s = T.strip(F.col("text"))
-    return rendered.view(spark, sf, "text_lines").select(*_long(*KEY), *[s.rlike(p).cast("long").alias(n) for n, p in PREDICATES.items()])
+    rows = rendered.view(spark, sf, "text_lines").withColumn("s", T.strip(F.col("text")))
+    return rows.select(*_long(*KEY), *[test(F.col("s")).cast("long").alias(n) for n, test in TESTED.items()])
 
 
 def heading_entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +80,7 @@ def page_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _headings(spark: SparkSession, sf: str) -> DataFrame:
-    return toc.headings(rendered.view(spark, sf, "text_lines"))
+    return toc.headings(rendered.view(spark, sf, "text_lines"), dealt=True)
 
 
 def headings(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,22 +101,22 @@ def outline(spark: SparkSession, sf: str) -> DataFrame:
 
 def _body(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = rendered.view(spark, sf, "text_lines")
-    return rows, toc.deduplicated(toc.headings(rows))
+    return rows, toc.deduplicated(toc.headings(rows, dealt=True))
 
 
 def section_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     rows, found = _body(spark, sf)
-    return sections.boundaries(rows, found).select(*_long("doc_id", "seq"), "kind", "number")
+    return sections.boundaries(rows, found, dealt=True).select(*_long("doc_id", "seq"), "kind", "number")
 
 
 def section_contents(spark: SparkSession, sf: str) -> DataFrame:
     rows, found = _body(spark, sf)
-    return sections.sections(rows, found).select(*_long("doc_id", "sec_pos", "depth"), "level", "number", "heading", "content")
+    return sections.sections(rows, found, dealt=True).select(*_long("doc_id", "sec_pos", "depth"), "level", "number", "heading", "content")
 
 
 def section_previews(spark: SparkSession, sf: str) -> DataFrame:
     rows, found = _body(spark, sf)
-    return sections.previews(sections.sections(rows, found)).select(*_long("doc_id", "sec_pos"), "line", "preview")
+    return sections.previews(sections.sections(rows, found, dealt=True)).select(*_long("doc_id", "sec_pos"), "line", "preview")
 
 
 def _lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,14 +152,14 @@ def table_captions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return sections.page_sections(*_body(spark, sf)).select(*_long("doc_id", "page_idx"), "number")
+    return sections.page_sections(*_body(spark, sf), dealt=True).select(*_long("doc_id", "page_idx"), "number")
 
 
 def _annotated(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections with lists and tables; table pages are moved onto the body's page numbers."""
+    """Sections with lists and tables; the body's pages are moved onto the tables' page numbers, so words stay where they are."""
     rows, found = _body(spark, sf)
-    shift = lambda df: df.withColumn("page_idx", F.col("page_idx") + 1000)
-    return lists.with_lists(tables.annotated(rows, found, shift(rendered.page_tables(spark, sf)), shift(rendered.view(spark, sf, "words"))))
+    body = rows.withColumn("page_idx", F.col("page_idx") - 1000)
+    return lists.with_lists(tables.annotated(body, found, rendered.page_tables(spark, sf), rendered.view(spark, sf, "words"), dealt=True))
 
 
 def section_tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,8 +219,10 @@ def dq_leaked_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dq_list_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _lists(spark, sf).where(F.size("lists") > 0)
-    return rows.select(*_long("doc_id", "sec"), quality.phrase_in_lists(F.col("lists"), F.col("heading")).cast("long").alias("found"))
+    # null without lists, and filtered afterwards: a filter of the lists would compute them once more
+    found = F.when(F.size("lists") > 0, F.struct(quality.phrase_in_lists(F.col("lists"), F.col("heading")).cast("long").alias("found")))
+    rows = _lists(spark, sf).select("doc_id", "sec", F.explode(F.array(found)).alias("x")).where("x is not null")
+    return rows.select(*_long("doc_id", "sec"), "x.found")
 
 
 def dq_table_phrases(spark: SparkSession, sf: str) -> DataFrame:
