@@ -20,6 +20,7 @@ TABLE_ENTRY = r"(?Uds)^(\d+(?:\.\d+)*)\s*\.?\s+(.*)$"
 # leaders, page numbers and what follows a title
 TOC_LEADER = r"(?Ud)\.{3,}|…{2,}|(?:[.…]\s*){3,}"
 BODY_LEADER = r"(?Ud)\.{3,}|…{2,}"
+THREE_DOTS = r"(?Ud)[.…]\s*[.…]\s*[.…]"
 PAGE_NUMBER = r"(?Ud)^\d{1,4}$"
 TRAILER_DOTS = r"(?Ud)[\s.…]{2,}\d*\s*$"
 TRAILER_PAGE = r"(?Ud)\s+\d{1,4}\s*$"
@@ -35,10 +36,13 @@ TOC_HEADER_OPEN = r"(?Udi)^\s*(?:Оглавление|Содержание)"
 BULLET = r"(?Udm)(?:^|(?<=[\s;.]))\s*[•●○▪■►]\s*"
 DASH = r"(?Udm)(?:^|(?<=\s))[-–—]\s+(?=[А-ЯЁA-Zа-яёa-z])"
 NUMBERED = r"(?Udm)(?:^|(?<=\s))\d{1,2}[)]\s+(?=[А-ЯЁA-Zа-яёa-z])|(?:^|(?<=\s))\d{1,2}[.]\s+(?=[А-ЯЁа-яё])"
+# the same with what stands first tried first, and what comes before it looked at only there
+DASH_FIRST = r"(?Ud)[-–—](?<!\S[-–—])\s+(?=[А-ЯЁA-Zа-яёa-z])"
+DIGIT_FIRST = r"(?Ud)\d(?<!\S\d)\d?(?:[)]\s+(?=[А-ЯЁA-Zа-яёa-z])|[.]\s+(?=[А-ЯЁа-яё]))"
 CITATION = r"(?Udi)\d{4}[;.,]|Vol\.|et al|// |pp?\.\s*\d|doi:|ISBN"
 # parts of CITATION: the year, and the page after one or two p
 CITED_YEAR = r"(?Ud)\d{4}[;.,]"
-CITED_PAGE = r"(?Ud)[pP]\.\s*\d"
+CITED_PAGE = r"(?Ud)p\.\s*\d"
 ENDS_SEMICOLON = r"(?Ud);\s*\z"
 LAST_SEMICOLON = r"(?Ud);\s*$"
 

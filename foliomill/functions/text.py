@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import regex as R
@@ -22,6 +22,17 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(R.WHITE))
 
 
+def _solid(c: Column) -> Column:
+    """Whether a text starts with a character known to be none of ``WHITE``."""
+    return ((c >= F.lit("!")) & (c < F.lit("\x7f"))) | ((c >= F.lit("\xa1")) & (c < F.lit("\u1680")))
+
+
+def stripped(rows: DataFrame, name: str = "text") -> DataFrame:
+    """Rows with ``s``, a text without white space at its edges; most have nothing to strip, as their last character tells."""
+    rows = rows.withColumn("_last", F.substring(name, -1, 1))
+    return rows.withColumn("s", F.when(_solid(F.col(name)) & _solid(F.col("_last")), F.col(name)).otherwise(strip(F.col(name)))).drop("_last")
+
+
 def _single_blanks(c: Column) -> Column:
     """Runs of white space to one blank; ``c`` is a plain column."""
     return F.when(F.contains(c, F.lit("  ")) | c.rlike(R.ODD_SPACE), F.regexp_replace(c, R.SPACE, " ")).otherwise(c)
@@ -29,7 +40,7 @@ def _single_blanks(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space to one blank, none at the edges; ``c`` is a plain column."""
-    return strip(_single_blanks(c))
+    return F.trim(_single_blanks(c))
 
 
 def may_number(c: Column) -> Column:
@@ -48,7 +59,8 @@ def is_leader(c: Column) -> Column:
 
 
 def is_toc_leader(c: Column) -> Column:
-    return (F.contains(c, F.lit(".")) | F.contains(c, F.lit("…"))) & c.rlike(R.TOC_LEADER)
+    """``TOC_LEADER``: three dots with no more than white space between, or two ellipses."""
+    return is_leader(c) | ((F.contains(c, F.lit(".")) | F.contains(c, F.lit("…"))) & c.rlike(R.THREE_DOTS))
 
 
 def is_plain_entry(stripped: Column) -> Column:
@@ -76,14 +88,13 @@ def any_of(c: Column, *words: str) -> Column:
 
 def is_citation(c: Column) -> Column:
     """``CITATION``: its words in lower case, unless a letter stands there that the pattern takes for i or s."""
-    low = F.lower(c)
-    words = any_of(low, "vol.", "et al", "// ", "doi:", "isbn") | (F.contains(low, F.lit("p.")) & c.rlike(R.CITED_PAGE))
-    return F.when(any_of(c, "ı", "İ", "ſ"), c.rlike(R.CITATION)).otherwise(c.rlike(R.CITED_YEAR) | words)
+    words = lambda low: any_of(low, "vol.", "et al", "// ", "doi:", "isbn") | (F.contains(low, F.lit("p.")) & low.rlike(R.CITED_PAGE))
+    return F.when(any_of(c, "ı", "İ", "ſ"), c.rlike(R.CITATION)).otherwise(c.rlike(R.CITED_YEAR) | let(F.lower(c), words))
 
 
 def is_caption(c: Column) -> Column:
     """``CAPTION``, which its words decide, unless a letter stands there that the pattern takes for т."""
-    return F.when(any_of(c, "\u1c84", "\u1c85"), c.rlike(R.CAPTION)).otherwise(any_of(F.lower(c), "табл", "table"))
+    return F.when(any_of(c, "\u1c84", "\u1c85"), c.rlike(R.CAPTION)).otherwise(let(F.lower(c), lambda low: any_of(low, "табл", "table")))
 
 
 def is_diagnostic(c: Column) -> Column:
@@ -118,7 +129,8 @@ def _letter(c: Column) -> Column:
 def _without(c: Column, pattern: str) -> Column:
     """Without a trailer, which neither a letter nor a letter and a full stop end; ``c`` is a plain column."""
     last, before = F.substring(c, -1, 1), F.substring(c, -2, 1)
-    return strip(F.when(_letter(last) | ((last == F.lit(".")) & _letter(before)), c).otherwise(F.regexp_replace(c, pattern, "")))
+    as_is = _letter(last) | ((last == F.lit(".")) & _letter(before))
+    return F.when(as_is, F.ltrim(c, F.lit(R.WHITE))).otherwise(strip(F.regexp_replace(c, pattern, "")))
 
 
 def strip_dots(c: Column) -> Column:
@@ -137,11 +149,24 @@ def is_page_number(c: Column) -> Column:
 
 def toc_entry(stripped: Column, fmt: Column) -> Column:
     """struct(number, title) of a table-of-contents line, null if it is none."""
+    title = let(F.regexp_extract(stripped, R.TOC_ENTRY, 2), lambda rest: toc_title(rest, fmt))
+    return F.when(is_toc_entry(stripped), let(title, lambda t: toc_named(stripped, t)))
+
+
+def is_toc_entry(stripped: Column) -> Column:
+    """Whether a line has the shape of an entry, with a title or not."""
+    return may_number(stripped) & stripped.rlike(R.TOC_ENTRY) & ~is_skipped_line(stripped) & ~is_page_number(stripped)
+
+
+def toc_title(rest: Column, fmt: Column) -> Column:
+    """The title in what follows an entry's number, a plain column."""
+    return F.when(fmt == "A", strip_dots(rest)).otherwise(strip_page(rest))
+
+
+def toc_named(stripped: Column, title: Column) -> Column:
+    """struct(number, title) of an entry with that title, null if it has none."""
     number = normalize_number(F.regexp_extract(stripped, R.TOC_ENTRY, 1))
-    title = let(F.regexp_extract(stripped, R.TOC_ENTRY, 2), lambda rest: F.when(fmt == "A", strip_dots(rest)).otherwise(strip_page(rest)))
-    ok = may_number(stripped) & stripped.rlike(R.TOC_ENTRY) & ~is_skipped_line(stripped) & ~is_page_number(stripped)
-    named = lambda t: F.when((t != "") & ~is_page_number(t), F.struct(number.alias("number"), t.alias("title")))
-    return F.when(ok, let(title, named))
+    return F.when((title != "") & ~is_page_number(title), F.struct(number.alias("number"), title.alias("title")))
 
 
 def normal_heading(c: Column) -> Column:
@@ -149,10 +174,19 @@ def normal_heading(c: Column) -> Column:
     return F.regexp_replace(F.lower(let(strip(c), _single_blanks)), r"(?Ud)[^\w\s]", "")
 
 
+def fragment_base(heading: Column) -> Column:
+    """A heading as ``is_part`` reads it."""
+    return F.lower(let(strip(heading), _single_blanks))
+
+
+def is_part(line: Column, base: Column) -> Column:
+    """``is_fragment`` of a heading given as its ``fragment_base``."""
+    return let(F.lower(let(strip_dots(line), _single_blanks)), lambda own: (own != "") & F.contains(base, own))
+
+
 def is_fragment(line: Column, heading: Column) -> Column:
     """Whether a line, without leaders, is part of a heading."""
-    own = F.lower(let(strip_dots(line), _single_blanks))
-    return let(own, lambda x: (x != "") & F.contains(F.lower(let(strip(heading), _single_blanks)), x))
+    return is_part(line, fragment_base(heading))
 
 
 def is_bold(fontname: Column) -> Column:
@@ -164,7 +198,7 @@ def is_heading_font(bold: Column, size: Column) -> Column:
 
 
 def clean_item(c: Column) -> Column:
-    return let(collapse(c), lambda x: F.when(F.endswith(x, F.lit(";")), strip(F.substring(x, F.lit(1), F.length(x) - 1))).otherwise(x))
+    return let(collapse(c), lambda x: F.when(F.endswith(x, F.lit(";")), F.trim(F.substring(x, F.lit(1), F.length(x) - 1))).otherwise(x))
 
 
 def clean_cell(c: Column) -> Column:

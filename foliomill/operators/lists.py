@@ -11,7 +11,7 @@ from ..functions import text as T
 
 LEAST_LENGTH, LEAST_ITEMS = 8, 2
 #: One of these stands in every match of a pattern.
-MARKS = {R.BULLET: "•●○▪■►", R.DASH: "-–—", R.NUMBERED: ")."}
+MARKS = {R.BULLET: "•●○▪■►", R.DASH_FIRST: "-–—", R.DIGIT_FIRST: ")."}
 ONE = schema.LISTS.removeprefix("array<").removesuffix(">")
 
 
@@ -51,9 +51,9 @@ def lists_of(content: Column, heading: Column) -> Column:
         return F.filter(every, lambda x: x.isNotNull())
 
     # each split and the topic are computed once
-    found = T.let(segments(c, R.DASH), lambda parts: F.struct(
+    found = T.let(segments(c, R.DASH_FIRST), lambda parts: F.struct(
         items(segments(c, R.BULLET)).alias("bullets"), parts.alias("parts"), items(parts).alias("dashes"),
-        items(segments(c, R.NUMBERED)).alias("numbers"), T.topic(heading).alias("topic"),
+        items(segments(c, R.DIGIT_FIRST)).alias("numbers"), T.topic(heading).alias("topic"),
     ))
     return F.when(T.strip(c) == "", F.array().cast(schema.LISTS)).otherwise(T.let(found, chosen))
 

@@ -75,7 +75,7 @@ def documents(body: DataFrame, headings: DataFrame, dealt: bool = False) -> Data
     already and are not shuffled.
     """
     page = Window.partitionBy("doc_id", "page_idx")
-    rows = (body if dealt else body.repartition("doc_id")).withColumn("s", T.strip(F.col("text")))
+    rows = T.stripped(body if dealt else body.repartition("doc_id"))
     rows = rows.withColumns({"line": T.normalize_line(F.col("s")), "plain": T.normalize_line(F.col("text")), "leader": T.is_leader(F.col("text"))})
     before = T.strip_dots(F.col("line"))
     only_leaders = T.is_leader(F.col("line")) & T.let(before, lambda x: (x == "") | T.is_page_number(x))
@@ -152,10 +152,11 @@ def _opened(docs: DataFrame, tables: bool = False) -> DataFrame:
 
     rows = docs.select("doc_id", "headers", F.explode(F.transform("opened", part)).alias("s")).select("doc_id", "headers", "s.*")
     header = lambda x: F.array_contains("headers", x["seq"])
-    wrap = lambda x: x["font"] & T.is_fragment(x["text"], F.col("key.text"))
-    clears = F.transform("own", lambda x: ~header(x) & ~wrap(x))
-    first = F.coalesce(F.nullif(F.array_position(clears, True), F.lit(0)).cast("int"), F.size("own") + 1)
-    rows = rows.withColumn("first", first)
+    rows = rows.withColumn("base", T.fragment_base(F.col("key.text")))
+    clear = lambda x: ~header(x) & ~(x["font"] & T.is_part(x["text"], F.col("base")))
+    # lines before the first clear one are counted up; that one turns the count negative, and no later line is looked at
+    count = lambda n, x: F.when(n < 0, n).when(clear(x), -n - 1).otherwise(n + 1)
+    rows = rows.withColumn("first", F.aggregate("own", F.lit(0), count, lambda n: F.when(n < 0, -n).otherwise(n + 1)))
     kept = F.concat(F.filter(F.slice("own", F.lit(1), F.col("first") - 1), header), F.slice("own", F.col("first"), F.size("own")))
     rows = rows.withColumn("joined", F.array_join(F.transform(kept, lambda x: x["text"]), " "))
     found = ["doc_id", "sec_pos", "key.level", "key.depth", F.col("key.num").alias("number"), F.col("key.text").alias("heading"), T.collapse(F.col("joined")).alias("content")]

@@ -18,7 +18,7 @@ def headings(text_lines: DataFrame, dealt: bool = False) -> DataFrame:
     ``dealt`` lines lie by document already and are not shuffled.
     """
     page = Window.partitionBy("doc_id", "page_idx")
-    rows = (text_lines if dealt else text_lines.repartition("doc_id")).withColumn("s", T.strip(F.col("text")))
+    rows = T.stripped(text_lines if dealt else text_lines.repartition("doc_id"))
     rows = rows.withColumn("leader", T.is_toc_leader(F.col("s")))
     leaders, plain = F.count_if(F.col("leader")).over(page), F.count_if(T.is_plain_entry(F.col("s"))).over(page)
     header = F.max((F.col("line_no") < 5) & T.is_toc_header(F.col("s"), whole=False)).over(page)
@@ -27,7 +27,10 @@ def headings(text_lines: DataFrame, dealt: bool = False) -> DataFrame:
     ahead = Window.partitionBy("doc_id").orderBy("page_idx").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     rows = rows.withColumn("gap", F.min(F.when(F.col("fmt") == "", F.col("page_idx"))).over(ahead)).where("fmt <> ''")
     rows = rows.withColumns({"whole": T.normalize_line(F.col("s")), "appendix": T.is_appendix(F.col("s")), "skipped": T.is_skipped_line(F.col("s"))})
-    rows = rows.withColumn("entry", T.toc_entry(F.col("whole"), F.col("fmt")))
+    # toc_entry of the whole line, each part a column of its own
+    rows = rows.withColumn("rest", F.when(T.is_toc_entry(F.col("whole")), F.regexp_extract("whole", R.TOC_ENTRY, 2)))
+    rows = rows.withColumn("title", T.toc_title(F.col("rest"), F.col("fmt")))
+    rows = rows.withColumn("entry", T.toc_named(F.col("whole"), F.col("title")))
     starts = F.when(F.col("whole") == F.col("s"), F.col("entry").isNotNull()).otherwise(T.toc_entry(F.col("s"), F.col("fmt")).isNotNull())
     stop = (F.col("s") == "") | T.is_page_number(F.col("s")) | F.col("skipped") | F.col("appendix") | starts
     rows = rows.withColumns({"stop": stop, "silent": F.col("appendix") & ~F.col("skipped")})

@@ -86,11 +86,20 @@ _RENDERED = (
     (_BODY_PAGE, "90", _PAGE_NO, "FALSE", "11.0", "i % 5 = 0"),
 )
 _FIELDS = ("page_idx", "ord", "text", "bold", "size")
-_ONE = lambda x: "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(_FIELDS, (*x[:4], f"CAST({x[4]} AS DOUBLE)"))) + ")"
-# one pass over the entries in Spark; a branch for each kind of line in DuckDB
+
+
+def _by_kind(field: int) -> str:
+    """A field of each kind of line; equal neighbours share a branch, which keeps the generated method short enough to be compiled."""
+    values = [f"CAST({x[field]} AS DOUBLE)" if field == 4 else x[field] for x in _RENDERED]
+    last = [k for k in range(len(values)) if k + 1 == len(values) or values[k + 1] != values[k]]
+    return "CASE " + " ".join(f"WHEN kind <= {k} THEN {values[k]}" for k in last[:-1]) + f" ELSE {values[-1]} END"
+
+
+# one pass over the entries in Spark, which makes the text of the kinds that apply only; a branch for each kind of line in DuckDB
 _SPARK_RAW = f"""
 raw_lines AS (
-  SELECT doc_id, x.* FROM entries LATERAL VIEW explode(array({", ".join(f"CASE WHEN {x[5]} THEN {_ONE(x)} END" for x in _RENDERED)})) t AS x WHERE x IS NOT NULL
+  SELECT doc_id, {", ".join(f"{_by_kind(k)} AS {n}" for k, n in enumerate(_FIELDS))}
+  FROM entries LATERAL VIEW explode(array({", ".join(map(str, range(len(_RENDERED))))})) t AS kind WHERE {_by_kind(5)}
 )"""
 _DUCK_RAW = f"""
 raw_lines AS ({" UNION ALL ".join(f"SELECT doc_id, {', '.join(f'{v} AS {n}' for n, v in zip(_FIELDS, x))} FROM entries WHERE {x[5]}" for x in _RENDERED)})"""

@@ -44,7 +44,7 @@ TESTED = {
 
 
 def line_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rendered.view(spark, sf, "text_lines").withColumn("s", T.strip(F.col("text")))
+    rows = T.stripped(rendered.view(spark, sf, "text_lines"))
     return rows.select(*_long(*KEY), *[test(F.col("s")).cast("long").alias(n) for n, test in TESTED.items()])
 
 
