@@ -24,44 +24,49 @@ def flat_text(rows: Column) -> Column:
 
 def first_cells(rows: Column) -> Column:
     """Cells of the first row with any text."""
-    cleaned = F.transform(rows, lambda r: F.transform(r, _flat_cell))
-    return F.coalesce(F.get(F.filter(cleaned, lambda r: F.exists(r, lambda c: c != "")), 0), F.array().cast("array<string>"))
+    first = F.get(F.filter(rows, lambda r: F.exists(r, lambda c: _flat_cell(c) != "")), 0)
+    return F.coalesce(F.transform(first, _flat_cell), F.array().cast("array<string>"))
 
 
 def is_checklist(rows: Column) -> Column:
     """Quality checklists, and rosters of authors."""
+    return T.let(T.unwrap(flat_text(rows)), _checklist_marks)
+
+
+def _checklist_marks(flat: Column) -> Column:
     # fixed values: the phrases below decide results
     any_of = lambda flat, *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(flat, w))
 
-    def marks(flat: Column) -> Column:
-        return (
-            any_of(flat, "да/нет", "да / нет")
-            | (F.contains(flat, F.lit("критерии качества")) & any_of(flat, "убедительности", "достоверности", "уур", "выполнения"))
-            | any_of(flat, "рабочей группы", "рабочая группа", "члены рабочей")
-            | (flat.rlike(R.CREDENTIALS) & flat.rlike(R.INSTITUTION))
-        )
-
-    return T.let(T.unwrap(flat_text(rows)), marks)
+    return (
+        any_of(flat, "да/нет", "да / нет")
+        | (F.contains(flat, F.lit("критерии качества")) & any_of(flat, "убедительности", "достоверности", "уур", "выполнения"))
+        | any_of(flat, "рабочей группы", "рабочая группа", "члены рабочей")
+        | (flat.rlike(R.CREDENTIALS) & flat.rlike(R.INSTITUTION))
+    )
 
 
 def is_legend(rows: Column) -> Column:
     """Explanations of evidence levels."""
-    # fixed values: the phrases below decide results
+    return T.let(_flat_and_first(rows), _legend_marks)
+
+
+def _flat_and_first(rows: Column) -> Column:
     first = T.strip(F.lower(F.coalesce(F.get(first_cells(rows), 0), F.lit(""))))
+    return F.struct(T.unwrap(flat_text(rows)).alias("flat"), first.alias("first"))
 
-    def marks(x: Column) -> Column:
-        has = lambda w: F.contains(x["flat"], F.lit(w))
-        return (
-            x["first"].isin("ууr", "уур", "удд")
-            | (has("сильная рекомендация") & has("уур"))
-            | has("уровень убедительности рекомендаций")
-            | has("несравнительные исследования")
-            | has("описание клинического случая")
-            | has("обоснование механизма действия")
-            | (x["first"].rlike(r"(?d)^[1-5]$") & (has("систематический обзор") | has("рандомизированн")))
-        )
 
-    return T.let(F.struct(T.unwrap(flat_text(rows)).alias("flat"), first.alias("first")), marks)
+def _legend_marks(x: Column) -> Column:
+    # fixed values: the phrases below decide results
+    has = lambda w: F.contains(x["flat"], F.lit(w))
+    return (
+        x["first"].isin("ууr", "уур", "удд")
+        | (has("сильная рекомендация") & has("уур"))
+        | has("уровень убедительности рекомендаций")
+        | has("несравнительные исследования")
+        | has("описание клинического случая")
+        | has("обоснование механизма действия")
+        | (x["first"].rlike(r"(?d)^[1-5]$") & (has("систематический обзор") | has("рандомизированн")))
+    )
 
 
 def _filled(c: Column) -> Column:
@@ -89,7 +94,8 @@ def is_wrapped_text(rows: Column) -> Column:
 
 
 def is_skipped(rows: Column) -> Column:
-    return is_artifact(rows) | is_checklist(rows) | is_legend(rows) | is_wrapped_text(rows)
+    # the flat text is made once for both, and last
+    return is_artifact(rows) | is_wrapped_text(rows) | T.let(_flat_and_first(rows), lambda x: _checklist_marks(x["flat"]) | _legend_marks(x))
 
 
 def clean_rows(rows: Column) -> Column:
@@ -111,7 +117,7 @@ def captions(tables: DataFrame, words: DataFrame) -> DataFrame:
     A range join within the page: tops from 22 points above the table's top to it, bottoms at most 4 below it. Tables of
     a page at one height share their words, which are streamed past the heights and not sorted for the join.
     """
-    heights = tables.groupBy("doc_id", "page_idx", F.col("bbox.top").alias("t_top")).agg(F.collect_list("table_idx").alias("ids"))
+    heights = tables.groupBy("doc_id", "page_idx", F.col("bbox.top").alias("t_top")).agg(F.collect_set("table_idx").alias("ids"))
     w = words.select("doc_id", "page_idx", "word_idx", "text", "x0", "top", "bottom")
     near = (F.col("top") >= F.col("t_top") - CAPTION_GAP) & (F.col("top") <= F.col("t_top")) & (F.col("bottom") <= F.col("t_top") + CAPTION_SLACK)
     hits = w.join(heights.hint("shuffle_hash"), ["doc_id", "page_idx"]).where(near)
@@ -123,8 +129,12 @@ def captions(tables: DataFrame, words: DataFrame) -> DataFrame:
 
 def kept_tables(tables: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, page_idx, table_idx, caption, rows) of tables worth keeping, with cleaned cells."""
-    good = tables.where(~is_skipped(F.col("rows"))).withColumn("rows", clean_rows(F.col("rows"))).where(keeps_width(F.col("rows")))
-    found = captions(good, words)
+    # width and first cell are those of the cleaned rows, which a filter of these would clean once more
+    first = T.clean_cell(F.get(F.get("rows", F.lit(0)), F.lit(0)))
+    wide = (width(F.col("rows")) >= 2) | T.let(first, is_diagnostic)
+    good = tables.where(~is_skipped(F.col("rows")) & wide).withColumn("rows", clean_rows(F.col("rows")))
+    # captions of all tables: their places alone are known without judging the rows a second time
+    found = captions(tables, words)
     return good.select("doc_id", "page_idx", "table_idx", "rows").join(found, ["doc_id", "page_idx", "table_idx"], "left").select("doc_id", "page_idx", "table_idx", "caption", "rows")
 
 
